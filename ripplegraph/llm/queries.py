@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from .decontam import op8_decontamination
 from .dedup import OP3_SQL, op3_exact_dedup
 from .langid import op1_language_id
+from .lengths import op9_token_lengths
+from .pieces import op5_sentencepiece
+from .quality import op6_quality
 
 
 def queries():
-    return {"op1_language_id": op1_language_id, "op3_exact_dedup": op3_exact_dedup}
+    return {
+        "op1_language_id": op1_language_id,
+        "op3_exact_dedup": op3_exact_dedup,
+        "op5_sentencepiece": op5_sentencepiece,
+        "op6_quality": op6_quality,
+        "op8_decontamination": op8_decontamination,
+        "op9_token_lengths": op9_token_lengths,
+    }
 
 
 def oracle_sql():
