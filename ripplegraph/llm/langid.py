@@ -79,11 +79,14 @@ def fit(docs: DataFrame, per_lang: int = DOCS_PER_LANG) -> LanguageModel:
     expected size is bounded. All languages of docs are learned, in alphabetical order.
     """
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-    share = rows.groupBy("lang").agg((F.lit(float(per_lang)) / F.count(F.lit(1))).alias("share"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
+    langs = sorted(sizes)
+    if not langs:
+        return LanguageModel([], np.zeros((0, 2, BINS)))
+    share = F.create_map(*(F.lit(x) for lang in langs for x in (lang, per_lang / sizes[lang])))
     chance = (F.xxhash64("text").bitwiseAND(0x7FFFFFFF)) / float(1 << 31)
-    some = rows.join(share, "lang").filter(chance < F.col("share")).select("lang", "text")
+    some = rows.filter(chance < share[F.col("lang")])
     counted = some.mapInArrow(_count, _COUNT).groupBy("lang", "kind", "bin").agg(F.sum("n").alias("n")).toArrow()
-    langs = sorted(set(counted["lang"].to_pylist()) | {r["lang"] for r in share.select("lang").toLocalIterator()})
     counts = np.zeros((len(langs), 2, BINS), np.int64)
     index = {lang: i for i, lang in enumerate(langs)}
     where = np.array([index[x] for x in counted["lang"].to_pylist()], np.int64)
