@@ -9,8 +9,10 @@ an item when so many consistent windows at one offset match that they span PASSA
 shorter item.
 
 A token is a run of letters or of digits (with points and commas between digits); case and all other characters do
-not matter. A number is a run of digits, a unit one of UNITS right after a number, a name a word with a capital that
-does not open a sentence. Windows with less than half plain words are no evidence and are not used.
+not matter. A number is a run of digits, a unit one of UNITS right after a number, a name a capitalised word that
+does not open a sentence (a word all in capitals is none). As a capital may have other reasons, each window is also
+read with its names as plain words, and either reading may match. Windows with less than half plain words are no
+evidence and are not used.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from ..session import ship
 from .common import chunks, code_points, digits, letters, mix, run_hashes, table, text_or_empty
 
 WINDOW, PASSAGE = 8, 13
+SHORTEST = 5  #: tokens; shorter items are no evidence
 #: Window hashes (8 bytes each) that are broadcast at once at most; a larger benchmark is taken in several blocks.
 BLOCK_WINDOWS = 2_000_000
 
@@ -93,30 +96,39 @@ class Tokens:
         upto = np.concatenate(([0], np.cumsum(breaks)))
         last = np.concatenate(([0], end[:-1]))
         opens = upto[begin] > upto[last]
-        self.capital = upper[codes[begin]]
+        capitalised = upper[codes[begin]] & (end - begin > 1) & ~upper[codes[begin + 1]]
         if len(begin):
-            self.kind[self.capital & ~opens & (self.kind == WORD)] = NAME
+            self.kind[capitalised & ~opens & (self.kind == WORD)] = NAME
             after = np.concatenate(([False], (self.kind[:-1] == NUMBER) & (self.text[1:] == self.text[:-1])))
             maybe = np.flatnonzero(after & (self.kind != NUMBER))
             self.kind[maybe[np.isin(self.value[maybe], _unit_hashes())]] = UNIT
-        self.template = np.where(self.kind == WORD, self.value, _SLOT_HASH[self.kind])
         self.bounds = np.searchsorted(self.text, np.arange(len(texts) + 1))
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions at which windows of this size within one text start, and their hashes (only those that are evidence)."""
-        n = len(self.template) - size + 1
+    def windows(self, size: int) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+        """For each reading: positions at which windows of this size within one text start, their hashes, and whether
+        names are slots. Only windows that are evidence, and in the second reading only those with a name."""
+        n = len(self.value) - size + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        h = np.full(n, size, np.uint64)
-        plain = np.zeros(n, np.int16)
-        for k in range(size):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + self.template[k : k + n]
-            plain += self.kind[k : k + n] == WORD
-        at = np.flatnonzero((self.text[:n] == self.text[size - 1 :]) & (2 * plain >= size))
-        return at, mix(h[at])
-
-    def slots(self, at: int, size: int) -> list[tuple[int, int]]:
-        return [(int(self.kind[i]), int(self.value[i].astype(np.int64))) for i in range(at, at + size) if self.kind[i] != WORD]
+            return []
+        out, whole = [], self.text[:n] == self.text[size - 1 :]
+        for names in (True, False):
+            kind = self.kind if names else np.where(self.kind == NAME, WORD, self.kind)
+            template = np.where(kind == WORD, self.value, _SLOT_HASH[kind])
+            upto = np.concatenate(([0], np.cumsum(kind == WORD)))
+            at = whole & (2 * (upto[size:] - upto[:-size]) >= size)
+            if not names:
+                upto = np.concatenate(([0], np.cumsum(self.kind == NAME)))
+                at &= upto[size:] > upto[:-size]
+            at = np.flatnonzero(at)
+            h = np.full(len(at), size, np.uint64)
+            for k in range(size):
+                h = h * np.uint64(0x9E3779B97F4A7C15) + template[at + k]
+            out.append((at, mix(h), names))
+        return out
+
+    def slots(self, at: int, size: int, names: bool) -> list[dict]:
+        own = (WORD,) if names else (WORD, NAME)
+        return [{"k": int(self.kind[i]), "v": int(self.value[i].astype(np.int64))} for i in range(at, at + size) if self.kind[i] not in own]
 
 
 def _item_windows(size: int):
@@ -126,18 +138,12 @@ def _item_windows(size: int):
             for item, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 t = Tokens([text or ""])
                 own = min(size, len(t.value))
-                if own < 2:
+                if own < SHORTEST:
                     continue
-                at, h = t.windows(own)
-                found = {(int(a), int(x.astype(np.int64))) for a, x in zip(at, h)}
-                slots = {a: t.slots(a, own) for a, _ in found}
-                if t.kind[0] == WORD and t.capital[0]:  # in a document it may stand within a sentence, as a name
-                    t.kind[0], t.template[0] = NAME, _SLOT_HASH[NAME]
-                    at, h = t.windows(own)
-                    if len(at) and at[0] == 0:
-                        rows.append((item, key, len(slots), 0, int(h[0].astype(np.int64)), t.slots(0, own), own))
-                rows += [(item, key, len(slots), a, x, slots[a], own) for a, x in found]
-            yield pa.RecordBatch.from_pylist([dict(zip([*_ITEM.names, "size"], (*r[:5], [{"k": k, "v": v} for k, v in r[5]], r[6]))) for r in rows], schema=_arrow_items())
+                found = [(int(a), int(x), t.slots(a, own, names)) for at, h, names in t.windows(own) for a, x in zip(at, h.view(np.int64))]
+                usable = len({a for a, _, _ in found})
+                rows += [(item, key, usable, a, x, slots, own) for a, x, slots in found]
+            yield pa.RecordBatch.from_pylist([dict(zip([*_ITEM.names, "size"], r)) for r in rows], schema=_arrow_items())
 
     return run
 
@@ -162,14 +168,14 @@ def _finder(spark: SparkSession, hashes: np.ndarray, sizes: list[int]):
             t = Tokens(part)
             found: list[list[dict]] = [[] for _ in part]
             for size in sizes:
-                at, h = t.windows(size)
-                near = np.flatnonzero(maybe[(h & np.uint64((1 << 21) - 1)).astype(np.int64)])
-                signed = h[near].view(np.int64)
-                place = np.minimum(np.searchsorted(known, signed), len(known) - 1)
-                for i in near[known[place] == signed]:
-                    a = int(at[i])
-                    own = int(t.text[a])
-                    found[own].append({"h": int(h[i].astype(np.int64)), "pos": a - int(t.bounds[own]), "slots": [{"k": k, "v": v} for k, v in t.slots(a, size)]})
+                for at, h, names in t.windows(size):
+                    near = np.flatnonzero(maybe[(h & np.uint64((1 << 21) - 1)).astype(np.int64)])
+                    signed = h[near].view(np.int64)
+                    place = np.minimum(np.searchsorted(known, signed), len(known) - 1)
+                    for i in near[known[place] == signed]:
+                        a = int(at[i])
+                        own = int(t.text[a])
+                        found[own].append({"h": int(h[i].astype(np.int64)), "pos": a - int(t.bounds[own]), "slots": t.slots(a, size, names)})
             out += found
         return pa.array(out, pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.struct([("k", pa.int32()), ("v", pa.int64())])))])))
 
@@ -181,8 +187,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pa
 
     Columns: doc_id; row_hash, of the document's id and text; item_id; matched_windows, the most consistent windows at
     one offset; item_windows; reparameterised, whether a slot there has another value than in the item. Null texts
-    match nothing, nor do items without a usable window (of less than two tokens, or mostly slots). Repeated
-    documents each have their row; repeated items of the same id and text count once.
+    match nothing, nor do items without a usable window (of less than SHORTEST tokens, or mostly slots).
+    Rows of the same id and text count once, among documents as among items.
     """
     spark = docs.sparkSession
     ship(spark)
