@@ -6,6 +6,7 @@ from .decontam import op8_decontamination
 from .dedup import OP3_SQL, op3_exact_dedup
 from .langid import op1_language_id
 from .lengths import op9_token_lengths
+from .neardup import op7_near_duplicates
 from .pieces import op5_sentencepiece
 from .quality import op6_quality
 
@@ -16,6 +17,7 @@ def queries():
         "op3_exact_dedup": op3_exact_dedup,
         "op5_sentencepiece": op5_sentencepiece,
         "op6_quality": op6_quality,
+        "op7_near_duplicates": op7_near_duplicates,
         "op8_decontamination": op8_decontamination,
         "op9_token_lengths": op9_token_lengths,
     }
