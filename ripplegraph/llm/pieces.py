@@ -2,8 +2,9 @@
 
 A sequence of vocabulary tokens is the BPE encoding of its text exactly when every pair of adjacent tokens is:
 when merging the text of the two from single characters anew gives these two tokens again. So the encoder walks
-from left to right: an Aho-Corasick automaton gives the tokens that start at each position, the longest
-compatible one is taken, and where none fits the walk goes back to the last token and shortens it. As the
+from left to right: an Aho-Corasick automaton gives the longest match at the position reached (and with its path
+the shorter ones), the longest compatible one is taken, and where none fits the walk goes back to the last token
+and shortens it. As the
 encoding of a prefix is unique, a position from which no token fits can be no token boundary at all; a bit field
 remembers such positions, so no position is tried twice.
 
@@ -75,8 +76,8 @@ class Encoder:
         body = "|".join(f"[{''.join(map(re.escape, k))}]+" for k in kinds if k)
         alone = f"[^{''.join(map(re.escape, joined))}{MARK}]"
         self.segments = re.compile(f"{MARK}*(?:{body})|{MARK}+|{alone}" if self.split_at_space else f"{body}|{alone}")
-        self.pair: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.pair: dict[tuple[str | None, str], bool] = {}
+        self.reach = max(map(len, vocabulary.ids), default=1)
         self.seen = _Recent(self.fresh)
         self.prefixes: dict[str, list[int]] = {}
         self.word = _Recent(self.word_ids)
@@ -103,24 +104,19 @@ class Encoder:
 
     def fits(self, left: str | None, right: str) -> bool:
         """Whether merging anew the text of both tokens gives these tokens."""
-        if left is None:
-            ok = self.whole.get(right)
-            if ok is None:
-                ok = self.whole[right] = self.merged(right) == [right]
-            return ok
         ok = self.pair.get((left, right))
         if ok is None:
             if len(self.pair) > 500_000:
                 self.pair.clear()
-            ok = self.pair[left, right] = self.merged(left + right) == [left, right]
+            ok = self.pair[left, right] = self.merged((left or "") + right) == ([left, right] if left else [right])
         return ok
 
     def lengths(self, token: str) -> list[int]:
-        """Lengths of the tokens that this token starts with, itself included, in ascending order."""
-        got = self.prefixes.get(token)
-        if got is None:
-            ids = self.v.ids
-            got = self.prefixes[token] = [k for k in range(1, len(token) + 1) if k == 1 or token[:k] in ids]
+        """Lengths of the tokens that this path of the automaton holds, in ascending order; one character always is a token."""
+        ids = self.v.ids
+        if len(self.prefixes) > 200_000:
+            self.prefixes.clear()
+        got = self.prefixes[token] = [k for k in range(1, len(token) + 1) if k == 1 or token[:k] in ids]
         return got
 
     def tokens(self, text: str) -> list[str]:
@@ -128,48 +124,32 @@ class Encoder:
         size = len(text)
         if size < 2:
             return list(text)
-        # The longest matches one after another, as the automaton gives them: where all of them go together,
-        # this is the walk without any step back.
-        out: list[str] = []
-        at, left, pair, whole = 0, None, self.pair, self.whole
-        for end, length in self.automaton.iter_long(text):
-            if end - length + 1 != at:
-                break
-            token = text[at : end + 1]
-            if not (whole.get(token) if left is None else pair.get((left, token))) and not self.fits(left, token):
-                break
-            out.append(token)
-            left, at = token, end + 1
-        else:
-            if at == size:
-                return out
-        longest = [1] * size
-        for end, length in self.automaton.iter(text):
-            longest[end - length + 1] = length
         failed = bytearray(size // 8 + 1)
-        tried: list[int] = []  # for each token so far, the options shorter than it
-        shorter = -1
+        out: list[str] = []
+        tried: list[int] = []  # for each token so far, which of the options at its start it was
+        pair, prefixes, longest = self.pair, self.prefixes, self.automaton.longest_prefix
+        at, left, shorter, tried_here = 0, None, -1, False
         while at < size:
-            options = self.lengths(text[at : at + longest[at]])
-            option = len(options) - 1 if shorter < 0 else shorter - 1
-            left = out[-1] if out else None
+            match = text[at : at + (longest(text[at : at + self.reach]) or 1)]
+            options = prefixes.get(match) or self.lengths(match)
+            option = shorter if tried_here else len(options) - 1
             while option >= 0:
                 end = at + options[option]
-                if not failed[end >> 3] >> (end & 7) & 1 and self.fits(left, text[at:end]):
-                    break
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    token = text[at:end]
+                    if pair.get((left, token)) or self.fits(left, token):
+                        break
                 option -= 1
             if option >= 0:
-                tried += [-1] * (len(out) - len(tried)) + [option]
-                out.append(text[at:end])
-                at, shorter = end, -1
-            else:
+                tried.append(option)
+                out.append(token)
+                at, left, tried_here = end, token, False
+            elif out:
                 failed[at >> 3] |= 1 << (at & 7)
-                if not out:
-                    raise AssertionError("a text without an encoding")
-                last = out.pop()
-                at -= len(last)
-                option = tried.pop() if len(tried) > len(out) else -1
-                shorter = option if option >= 0 else len(self.lengths(text[at : at + longest[at]])) - 1
+                at -= len(out.pop())
+                shorter, left, tried_here = tried.pop() - 1, out[-1] if out else None, True
+            else:
+                raise AssertionError("a text without an encoding")
         return out
 
     def token_ids(self, token: str) -> list[int]:
