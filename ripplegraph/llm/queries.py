@@ -14,6 +14,12 @@ from .quality import op6_quality
 from .secrets import OP2_SQL, op2_secret_scan
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
     return {
         "op1_language_id": op1_language_id,
@@ -26,6 +32,7 @@ def queries():
         "op8_decontamination": op8_decontamination,
         "op9_token_lengths": op9_token_lengths,
         "op10_personal_data": op10_personal_data,
+        "pipeline": pipeline,
     }
 
 
