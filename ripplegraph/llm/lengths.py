@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import written
 from .common import table, text_or_empty
 
 BLOCK = 1024
@@ -44,7 +45,7 @@ def counter(spark: SparkSession, ranks_path: str, pattern: str):
 
 
 def histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
-    """One row per distinct length, ascending suffix sums.
+    """One row per distinct length, with suffix sums.
 
     Columns: n_tokens; n_docs with that length; docs_at_least and tokens_at_least, over this and all greater lengths;
     truncated_total, the tokens that remain when every text is cut to n_tokens; share_shorter_or_equal. Null
@@ -52,7 +53,7 @@ def histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
     """
     n = F.col("n_tokens")
     counted = lengths.select(F.col(column).cast("long").alias("n_tokens")).filter(n.isNotNull()).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
-    counted = counted.withColumn("block", F.floor(n / BLOCK).cast("long"))
+    counted = written(counted.withColumn("block", F.floor(n / BLOCK).cast("long")), "histogram")
     within = W.partitionBy("block").orderBy(n.desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
     above = W.orderBy(F.col("block").desc()).rowsBetween(W.unboundedPreceding, -1)
     blocks = counted.groupBy("block").agg(F.sum("n_docs").alias("docs"), F.sum(n * F.col("n_docs")).alias("tokens"))
