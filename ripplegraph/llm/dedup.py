@@ -126,7 +126,8 @@ def assign_groups(keys: DataFrame, rows: int, id_col: str = "doc_id") -> DataFra
     flagged = keys.withColumn("again", flag(h))
     lone = flagged.filter(~F.col("again")).select(id_col, "digest", "row_key", F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     again = flagged.filter("again").drop("again")
-    groups = again.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    # Written, so that the join's two sides are exchanges of their own and a hot group can be split.
+    groups = written(again.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size")), "groups")
     met = again.join(groups, "digest").select(id_col, "digest", "row_key", F.col("first.id").alias("keep_id"), "group_size", (F.col("row_key") == F.col("first.key")).alias("kept"))
     return lone.unionByName(met)
 
@@ -151,7 +152,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = written(work.select("id", F.unhex("digest").alias("digest")), "digests")
     flag = repeat_filter(keys.select(F.xxhash64("digest").alias("h")), keys.count())
     tested = work.withColumn("again", flag(F.xxhash64(F.unhex("digest"))).alias("again"))
-    groups = keys.filter(flag(F.xxhash64("digest"))).groupBy(F.lower(F.hex("digest")).alias("digest")).agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"))).alias("first"))
+    groups = written(keys.filter(flag(F.xxhash64("digest"))).groupBy(F.lower(F.hex("digest")).alias("digest")).agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"))).alias("first")), "groups")
     again = tested.filter("again").join(groups, "digest").filter(F.col("id").eqNullSafe(F.col("first.id")))
     one = again.select("row", "digest").dropDuplicates(["digest"])
     return tested.filter(~F.col("again")).select("row.*").unionByName(one.select("row.*"))
