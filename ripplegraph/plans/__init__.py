@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph
+from . import graph, structure
 
-PARTS = (graph,)
+PARTS = (graph, structure)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
