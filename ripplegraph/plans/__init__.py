@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph, structure
+from . import dynamics, graph, structure
 
-PARTS = (graph, structure)
+PARTS = (graph, structure, dynamics)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
