@@ -8,36 +8,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplegraph.llm.common import table
+from ripplegraph.llm.common import prepare, table
 from ripplegraph.llm.decontam import drop_contaminated
 from ripplegraph.llm.dedup import drop_duplicates
 from ripplegraph.llm.neardup import drop_near_duplicates
 from ripplegraph.llm.pieces import digests, encode_decode
 from ripplegraph.llm.quality import keep_good
-from ripplegraph.session import ship, written
+from ripplegraph.session import written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the quality classifier does not reject."""
-    ship(spark)
+    prepare(spark)
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each text."""
-    ship(spark)
+    prepare(spark)
     return drop_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each class of near duplicates."""
-    ship(spark)
+    prepare(spark)
     return drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that no benchmark item contaminates."""
-    ship(spark)
+    prepare(spark)
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -45,7 +45,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes the documents and decodes the ids: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     import public_tokenizers
 
-    ship(spark)
+    prepare(spark)
     return digests(encode_decode(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")))
 
 

@@ -26,8 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship
-from .common import chunks, code_points, digits, letters, mix, run_hashes, table, text_or_empty
+from .common import chunks, code_points, digits, letters, mix, prepare, run_hashes, table, text_or_empty
 
 WINDOW, PASSAGE = 8, 13
 SHORTEST = 5  #: tokens; shorter items are no evidence
@@ -191,7 +190,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pa
     Rows of the same id and text count once, among documents as among items.
     """
     spark = docs.sparkSession
-    ship(spark)
+    prepare(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("item_key"), "text").filter("text IS NOT NULL").dropDuplicates(["item_id", "item_key"])
     sized = items.mapInArrow(_item_windows(window), T.StructType([*_ITEM.fields, T.StructField("size", T.IntegerType())])).persist()
     blocks = max(1, -(-sized.count() // BLOCK_WINDOWS))
