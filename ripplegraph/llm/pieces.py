@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import chunks, table, text_or_empty
 
 MARK = "▁"
-SEEN, SEEN_LENGTH = 120_000, 48  #: results in half a table, and the longest text whose result is held
+WALK = 20_000  #: segments that walk together
+RECENT, SEGMENTS = 250_000, 100_000  #: words and segments in half a table of results
+SEEN_LENGTH = 48  #: the longest text whose result is held
 
 
 class Vocabulary:
@@ -78,9 +80,10 @@ class Encoder:
         self.segments = re.compile(f"{MARK}*(?:{body})|{MARK}+|{alone}" if self.split_at_space else f"{body}|{alone}")
         self.pair: dict[tuple[str | None, str], bool] = {}
         self.reach = max(map(len, vocabulary.ids), default=1)
-        self.seen = _Recent(self.fresh)
+        self.seen = _Recent(self.fresh, SEGMENTS)
         self.prefixes: dict[str, list[int]] = {}
-        self.word = _Recent(self.word_ids)
+        self.word = _Recent(self.word_ids, RECENT)
+        self.tables = _Tables(self)
         self.surface = [p.replace(MARK, " ").encode() for p in vocabulary.pieces]
         for byte, i in vocabulary.bytes.items():
             self.surface[i] = bytes([byte])
@@ -152,6 +155,80 @@ class Encoder:
                 raise AssertionError("a text without an encoding")
         return out
 
+    def walk(self, texts: list[str]) -> list[bytes]:
+        """Ids of many short texts as 32-bit integers: the same walk as in tokens(), one step of all texts at a time.
+
+        Only for texts all of whose characters are tokens.
+        """
+        t = self.tables
+        joined = "".join(texts)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(sizes)
+        begin = ends - sizes
+        text_end = np.repeat(ends, sizes)
+        longest = t.longest(np.frombuffer(joined.encode("utf-32-le"), np.uint32), text_end)
+        total = len(joined)
+        failed = np.zeros(total + 1, np.bool_)
+        chosen = np.full(total, -1, np.int32)  # the token that starts here, if one does
+        came = np.full(total + 1, -1, np.int64)  # the start of the token that ends here
+        none = len(t.length)
+        at, limit = begin.copy(), ends
+        token = longest[at]
+        left = np.full(len(texts), none, np.int64)
+        live = np.flatnonzero(sizes > 0)
+        while len(live):
+            a, k, l = at[live], token[live], left[live]
+            stuck = k < 0
+            go = np.flatnonzero(~stuck)
+            stop = a[go] + t.length[k[go]]
+            free = ~failed[stop]
+            fit = np.zeros(len(go), np.bool_)
+            if free.any():
+                fit[free] = t.fits(l[go[free]], k[go[free]])
+            yes, no = go[fit], go[~fit]
+            token[live[no]] = t.shorter[k[no]]
+            i = live[yes]
+            chosen[a[yes]] = k[yes]
+            came[stop[fit]] = a[yes]
+            at[i], left[i] = stop[fit], k[yes]
+            inside = i[at[i] < limit[i]]
+            token[inside] = longest[at[inside]]
+            back = live[stuck]
+            if len(back):
+                failed[at[back]] = True
+                before = came[at[back]]
+                if (before < begin[back]).any():
+                    raise AssertionError("a text without an encoding")
+                token[back] = t.shorter[chosen[before]]
+                chosen[before] = -1
+                at[back] = before
+                prior = np.where(before > begin[back], came[before], -1)
+                left[back] = np.where(prior >= 0, chosen[np.maximum(prior, 0)], none)
+            live = live[(at[live] < limit[live])]
+        there = chosen >= 0
+        ids = t.ids[chosen[there]].tobytes()
+        upto = np.concatenate(([0], np.cumsum(there)))
+        cut = 4 * upto[np.concatenate((begin, [total]))]
+        return [ids[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+    def learn(self, texts: list[str]) -> None:
+        """Encodes at once the segments of these texts that are not held yet, for encode() to look up."""
+        if not self.split_at_space or not self.v.prefix:
+            return
+        known, words = self.word, set()
+        for text in texts:
+            words.update([w for w in text.split(" ") if w not in known])
+        words = {w: self.segments.findall(MARK + w) for w in words if w not in known.older and len(w) < SEEN_LENGTH}
+        held, simple = self.seen, self.tables.simple
+        new = {s for parts in words.values() for s in parts if s not in held}
+        todo = [s for s in new if s not in held.older and simple(s)]
+        for start in range(0, len(todo), WALK):
+            part = todo[start : start + WALK]
+            for segment, ids in zip(part, self.walk(part)):
+                held.put(segment, ids)
+        for word, parts in words.items():
+            known.put(word, held[parts[0]] if len(parts) == 1 else b"".join(map(held.__getitem__, parts)))
+
     def token_ids(self, token: str) -> list[int]:
         i = self.v.ids.get(token)
         if i is not None:
@@ -199,9 +276,9 @@ class Encoder:
 class _Recent(dict):
     """Results of a function by its argument. When too many are held, the older half goes, but for those asked for again."""
 
-    def __init__(self, function):
+    def __init__(self, function, size: int):
         super().__init__()
-        self.function, self.older = function, {}
+        self.function, self.size, self.older = function, size, {}
 
     def __missing__(self, text: str) -> bytes:
         got = self.older.get(text)
@@ -209,11 +286,110 @@ class _Recent(dict):
             got = self.function(text)
             if len(text) > SEEN_LENGTH:
                 return got
-        if len(self) >= SEEN:
+        self.put(text, got)
+        return got
+
+    def put(self, text: str, got: bytes) -> None:
+        if len(self) >= self.size:
             self.older = dict(self)
             self.clear()
         self[text] = got
-        return got
+
+
+class _Tables:
+    """The vocabulary as arrays. Tokens are numbered by their place in the sorted list of pieces; -1 is none."""
+
+    SLOTS = 1 << 20
+
+    def __init__(self, e: Encoder):
+        self.e = e
+        self.text = sorted(e.v.ids)
+        number = {p: i for i, p in enumerate(self.text)}
+        self.ids = np.array([e.v.ids[p] for p in self.text], np.int32)
+        self.length = np.array([len(p) for p in self.text], np.int64)
+        self.shorter = np.array([next((number[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in number), -1) for p in self.text], np.int32)
+        singles = {p for p in self.text if len(p) == 1}
+        self.singles = re.compile(f"[{''.join(map(re.escape, sorted(singles)))}]*") if singles else None
+        self.number, self.automaton = number, e.automaton
+        # pairs known to fit or not, in a table with one place for each hash
+        self.key = np.full(self.SLOTS, -1, np.int64)
+        self.value = np.zeros(self.SLOTS, np.bool_)
+        # the automaton's trie as a hash table of (node, character): next node
+        self._trie()
+
+    def simple(self, text: str) -> bool:
+        return self.singles is not None and self.singles.fullmatch(text) is not None
+
+    def _trie(self) -> None:
+        nodes, token = {"": 0}, [-1]
+        for p in self.text:  # sorted, so a prefix comes first
+            for k in range(1, len(p) + 1):
+                if p[:k] not in nodes:
+                    nodes[p[:k]] = len(token)
+                    token.append(self.number.get(p[:k], -1))
+        characters = sorted({c for p in self.text for c in p})
+        self.char = np.full(0x110000, len(characters) + 1, np.int64)
+        self.char[[ord(c) for c in characters]] = np.arange(1, len(characters) + 1)
+        self.width = len(characters) + 2
+        keys = np.array([nodes[p[:-1]] * self.width + self.char[ord(p[-1])] for p in nodes if p], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.next = keys[order], np.array([n for p, n in nodes.items() if p], np.int64)[order]
+        self.token = np.array(token, np.int32)
+        self.place = np.zeros(self.SLOTS + 1, np.int64)  # where the keys of each hash begin, keys being ordered by hash
+        h = self._hash(self.keys)
+        order = np.argsort(h, kind="stable")
+        self.keys, self.next, h = self.keys[order], self.next[order], h[order]
+        self.place = np.searchsorted(h, np.arange(self.SLOTS + 1))
+        self.most = int(np.diff(self.place).max())
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+    def _child(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        key = node * self.width + char
+        at = self.place[self._hash(key)]
+        out = np.full(len(key), -1, np.int64)
+        for k in range(self.most):
+            p = np.minimum(at + k, len(self.keys) - 1)
+            hit = self.keys[p] == key
+            out[hit] = self.next[p[hit]]
+        return out
+
+    def longest(self, codes: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The longest token that starts at each position and stays before end."""
+        char = self.char[codes]
+        out = np.full(len(codes), -1, np.int32)
+        at, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        depth = 0
+        while len(at):
+            node = self._child(node, char[at + depth])
+            on = node >= 0
+            at, node = at[on], node[on]
+            token = self.token[node]
+            whole = token >= 0
+            out[at[whole]] = token[whole]
+            depth += 1
+            inside = at + depth < end[at]
+            at, node = at[inside], node[inside]
+        return out
+
+    def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether re-merging two tokens gives them again; left len(length) is no token."""
+        key = left * (len(self.length) + 1) + right
+        slot = self._hash(key)
+        ok = self.value[slot]
+        new = np.flatnonzero(self.key[slot] != key)
+        if len(new):
+            some, where = np.unique(key[new], return_inverse=True)
+            base = len(self.length) + 1
+            text = [*self.text, None]
+            found = np.array([self.e.fits(text[x // base], text[x % base]) for x in some.tolist()], np.bool_)
+            ok[new] = found[where]
+            slot = self._hash(some)
+            self.key[slot], self.value[slot] = some, found
+            again = self.key[slot] == some  # two new keys of one slot: the last one holds it
+            self.value[slot[again]] = found[again]
+        return ok
 
 
 def _lenient(data: bytes) -> str:
@@ -256,11 +432,13 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", out_
     def run(texts: pa.Array) -> pa.Array:
         e = encoder(model.value)
         ids, sizes, decoded = [], [0], []
-        for text in texts:
-            found = e.encode(text.as_py() or "")
-            ids.append(found)
-            sizes.append(sizes[-1] + len(found))
-            decoded.append(e.decode(found))
+        for part in chunks(texts.to_pylist(), 2_000_000):
+            e.learn(part)
+            for text in part:
+                found = e.encode(text)
+                ids.append(found)
+                sizes.append(sizes[-1] + len(found))
+                decoded.append(e.decode(found))
         flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
         return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat)), pa.array(decoded, pa.string())], ["ids", "decoded"])
 
