@@ -222,7 +222,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pa
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that no benchmark item contaminates, with the columns of docs."""
     bad = contaminated(docs, benchmark).select("row_hash").distinct()
-    return docs.withColumn("_row_hash", F.xxhash64(F.col("doc_id"), F.col("text"))).join(bad, F.col("_row_hash") == F.col("row_hash"), "left_anti").drop("_row_hash")
+    work = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("row_hash"))
+    return work.join(bad, "row_hash", "left_anti").select("row.*")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,9 +38,10 @@ def features(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.n
         out.append(np.full(len(same), k))
         of.append(text[same])
     for n in GRAMS:  # windows whose inner characters are no white space; the outer ones may be word borders
-        inner = np.ones(len(c) - n + 1, np.bool_)
+        size = max(0, len(c) - n + 1)
+        inner = np.ones(size, np.bool_)
         for k in range(1, n - 1):
-            inner &= c[k : len(c) - n + 1 + k] != 0
+            inner &= c[k : size + k] != 0
         at = np.flatnonzero(inner)
         h = np.full(len(at), n, np.uint64)
         for k in range(n):
