@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import compact, written
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,14 +16,16 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     self-loops are ignored. All state is in written tables; a hub's edges meet in partial aggregates only.
     """
     current = written(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"), F.col(a).isNull().alias("x"), F.col(b).isNull().alias("y")).filter("NOT x AND NOT y AND u < v").select("u", "v").distinct(), "edges")
+    current = compact(current)
     labels = None
     while not current.isEmpty():
         both = current.union(current.select("v", "u"))
         parents = written(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.least("u", "v").alias("label")), "parents")
+        parents = compact(parents)
         while True:
             above = parents.select(F.col("id").alias("label"), F.col("label").alias("root"))
             jumped = parents.join(above, "label").select("id", F.col("root").alias("label"), (F.col("root") != F.col("label")).alias("moved"))
-            jumped = written(jumped, "parents")
+            jumped = compact(written(jumped, "parents"))
             parents = jumped.select("id", "label")
             if jumped.filter("moved").isEmpty():
                 break
@@ -34,7 +36,7 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             labels = written(labels.join(step, "label", "left").select("id", F.coalesce("next", "label").alias("label")), "labels")
         to = lambda c, out: parents.select(F.col("id").alias(c), F.col("label").alias(out))
         moved = current.join(to("u", "p"), "u").join(to("v", "q"), "v").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"))
-        current = written(moved.filter("u < v").distinct(), "edges")
+        current = compact(written(moved.filter("u < v").distinct(), "edges"))
     if labels is None:
         return current.select(F.col("u").alias("id"), F.col("v").alias("label"))
     return labels
