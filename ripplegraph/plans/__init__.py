@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dynamics, graph, structure
+from . import dynamics, graph, quality, structure
 
-PARTS = (graph, structure, dynamics)
+PARTS = (graph, structure, dynamics, quality)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
