@@ -75,17 +75,17 @@ class LanguageModel:
 def fit(docs: DataFrame, per_lang: int = DOCS_PER_LANG) -> LanguageModel:
     """Learn from the rows of docs (text, lang) with a lang and a text.
 
-    Of each language about per_lang texts are used, chosen by a hash of the text: the whole texts of a sample whose
-    expected size is bounded. All languages of docs are learned, in alphabetical order.
+    Of each language about per_lang texts are used, chosen by a hash of the row: the whole texts of a sample whose
+    expected size is bounded (copies of a text are drawn one by one). All languages of docs are learned, in alphabetical order.
     """
-    rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
+    rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
     langs = sorted(sizes)
     if not langs:
         return LanguageModel([], np.zeros((0, 2, BINS)))
     share = F.create_map(*(F.lit(x) for lang in langs for x in (lang, per_lang / sizes[lang])))
-    chance = (F.xxhash64("text").bitwiseAND(0x7FFFFFFF)) / float(1 << 31)
-    some = rows.filter(chance < share[F.col("lang")])
+    chance = (F.xxhash64(*docs.columns).bitwiseAND(0x7FFFFFFF)) / float(1 << 31)
+    some = rows.filter(chance < share[F.col("lang")]).select("lang", "text")
     counted = some.mapInArrow(_count, _COUNT).groupBy("lang", "kind", "bin").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(langs), 2, BINS), np.int64)
     index = {lang: i for i, lang in enumerate(langs)}
