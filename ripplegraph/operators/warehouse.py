@@ -189,3 +189,38 @@ def representation_sizes(edge: DataFrame, nodes: DataFrame) -> DataFrame:
     wide = F.when(F.col("top") < 256, 1).when(F.col("top") < 65536, 2).otherwise(4)
     cases = {"pairs of 64 bits": m * 24, "pairs of 32 bits": m * (8 + wide), "rows": (n + 1) * 8 + m * (4 + wide), "rows and columns": 2 * (n + 1) * 8 + m * (8 + 4 + wide)}
     return counts.select(F.explode(F.array(*(F.struct(F.lit(k).alias("case"), v.cast("long").alias("bytes"), (v / m).alias("per_edge")) for k, v in cases.items()))).alias("x")).select("x.*")
+
+
+def best_ratio(ratios: DataFrame) -> DataFrame:
+    """(subgraph, rate, median): the rate with the largest median ratio of each subgraph, of equal ones the smallest rate."""
+    return ratios.groupBy("subgraph").agg(F.max_by(F.struct("rate", "median"), F.struct("median", (-F.col("rate")).alias("low"))).alias("b")).select("subgraph", "b.*")
+
+
+def step_spread(series: DataFrame, key: str) -> DataFrame:
+    """(key, t, median, least, largest): pulses of a step over the runs of a key."""
+    return series.groupBy(key, "t").agg(F.median("pulses").alias("median"), F.min("pulses").alias("least"), F.max("pulses").alias("largest"))
+
+
+def equivalence_summary(comparisons: DataFrame, by: str) -> DataFrame:
+    """(by, comparisons, identical, largest): of comparisons with different (pulses in one run only) and gap (of potentials)."""
+    return comparisons.groupBy(by).agg(F.count(F.lit(1)).alias("comparisons"), F.count_if(F.col("different") == 0).alias("identical"), F.max("gap").alias("largest"))
+
+
+def set_digest(values: DataFrame, column: str) -> DataFrame:
+    """One row: order-independent digest of a column: number, and exclusive or of hashes (for tables of any size)."""
+    return values.agg(F.count(column).alias("n"), F.bit_xor(F.xxhash64(column)).alias("digest"))
+
+
+def list_digest(values: DataFrame, column: str, most: int = 100_000) -> DataFrame:
+    """One row: SHA-256 of the sorted values joined by commas, for a list of bounded length; longer ones raise."""
+    got = values.agg(F.count(column).alias("n"))
+    if got.first()["n"] > most:
+        raise ValueError(f"a list digest takes up to {most} values; use set_digest")
+    return values.agg(F.sha2(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(column)), lambda x: x.cast("string"))), 256).alias("digest"))
+
+
+#: Variants of a configuration for sensitivity runs: what each changes.
+SENSITIVITY = {
+    "baseline": {}, "tau_short": {"tau": 10.0}, "tau_long": {"tau": 40.0}, "no_hold": {"refractory": 0}, "long_hold": {"refractory": 8}, "delay_2": {"delay": 2}, "delay_5": {"delay": 5}, "low_threshold": {"theta": 0.8},
+    "high_threshold": {"theta": 1.2}, "weak_input": {"input_weight": 1.0}, "strong_input": {"input_weight": 4.0}, "low_reset": {"reset": -0.5}, "fine_step": {"dt": 0.5}, "linear": {"how": "linear"}, "sqrt": {"how": "sqrt"}, "clipped": {"how": "clipped"},
+}

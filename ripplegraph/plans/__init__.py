@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dynamics, graph, quality, structure
+from . import dynamics, graph, quality, reports, structure
 
-PARTS = (graph, structure, dynamics, quality)
+PARTS = (graph, structure, dynamics, quality, reports)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
