@@ -90,6 +90,9 @@ class Encoder:
         for i in vocabulary.controls:
             self.surface[i] = b""
         self.surface[vocabulary.unknown] = vocabulary.unknown_surface.encode()
+        self.flat = np.frombuffer(b"".join(self.surface), np.uint8)
+        self.size = np.array([len(x) for x in self.surface], np.int64)
+        self.start = np.cumsum(self.size) - self.size
 
     def merged(self, text: str) -> list[str]:
         """Plain BPE: merge the pair with the best score, the leftmost of equals, until none is in the vocabulary."""
@@ -215,19 +218,18 @@ class Encoder:
         """Encodes at once the segments of these texts that are not held yet, for encode() to look up."""
         if not self.split_at_space or not self.v.prefix:
             return
-        known, words = self.word, set()
+        words: set[str] = set()
         for text in texts:
-            words.update([w for w in text.split(" ") if w not in known])
-        words = {w: self.segments.findall(MARK + w) for w in words if w not in known.older and len(w) < SEEN_LENGTH}
-        held, simple = self.seen, self.tables.simple
-        new = {s for parts in words.values() for s in parts if s not in held}
-        todo = [s for s in new if s not in held.older and simple(s)]
+            words.update(text.split(" "))
+        new = self.word.absent(words)
+        split = {w: self.segments.findall(MARK + w) for w in new if len(w) < SEEN_LENGTH}
+        simple = self.tables.simple
+        todo = [s for s in self.seen.absent({s for parts in split.values() for s in parts}) if simple(s)]
         for start in range(0, len(todo), WALK):
             part = todo[start : start + WALK]
-            for segment, ids in zip(part, self.walk(part)):
-                held.put(segment, ids)
-        for word, parts in words.items():
-            known.put(word, held[parts[0]] if len(parts) == 1 else b"".join(map(held.__getitem__, parts)))
+            self.seen.add(dict(zip(part, self.walk(part))))
+        ids = self.seen.__getitem__
+        self.word.add({w: ids(parts[0]) if len(parts) == 1 else b"".join(map(ids, parts)) for w, parts in split.items()})
 
     def token_ids(self, token: str) -> list[int]:
         i = self.v.ids.get(token)
@@ -261,7 +263,18 @@ class Encoder:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of some ids as the sentencepiece library gives it."""
-        data = b"".join(map(self.surface.__getitem__, ids.tolist()))
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, lists: list[np.ndarray]) -> list[str]:
+        """The texts of several lists of ids; the bytes of all tokens are gathered at once."""
+        ids = np.concatenate(lists) if lists else np.zeros(0, np.int32)
+        size = self.size[ids]
+        end = np.cumsum(size)
+        data = self.flat[np.arange(end[-1] if len(end) else 0) + np.repeat(self.start[ids] - (end - size), size)].tobytes()
+        cut = np.concatenate(([0], end))[np.concatenate(([0], np.cumsum([len(x) for x in lists])))].tolist()
+        return [self._shown(own, data[a:b]) for own, a, b in zip(lists, cut, cut[1:])]
+
+    def _shown(self, ids: np.ndarray, data: bytes) -> str:
         if self.v.prefix and data[:1] == b" " and self.v.pieces[self._first_shown(ids)].startswith(MARK):
             data = data[1:]
         try:
@@ -270,7 +283,7 @@ class Encoder:
             return _lenient(data)
 
     def _first_shown(self, ids: np.ndarray) -> int:
-        return next((i for i in ids.tolist() if self.surface[i]), 0)
+        return next((int(i) for i in ids if self.surface[i]), 0)
 
 
 class _Recent(dict):
@@ -286,14 +299,26 @@ class _Recent(dict):
             got = self.function(text)
             if len(text) > SEEN_LENGTH:
                 return got
-        self.put(text, got)
+        self.add({text: got})
         return got
 
-    def put(self, text: str, got: bytes) -> None:
-        if len(self) >= self.size:
+    def add(self, results: dict[str, bytes]) -> None:
+        if len(self) + len(results) > self.size:
             self.older = dict(self)
             self.clear()
-        self[text] = got
+        self.update(results)
+
+    def absent(self, texts: set[str]) -> list[str]:
+        """Those of these texts whose results are not held; results in the older half move to the newer one."""
+        older, again, out = self.older, {}, []
+        for text in texts:
+            if text not in self:
+                if text in older:
+                    again[text] = older[text]
+                else:
+                    out.append(text)
+        self.add(again)
+        return out
 
 
 class _Tables:
@@ -431,15 +456,15 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", out_
     @F.arrow_udf("struct<ids:array<int>,decoded:string>")
     def run(texts: pa.Array) -> pa.Array:
         e = encoder(model.value)
-        ids, sizes, decoded = [], [0], []
+        ids, decoded = [], []
         for part in chunks(texts.to_pylist(), 2_000_000):
             e.learn(part)
-            for text in part:
-                found = e.encode(text)
-                ids.append(found)
-                sizes.append(sizes[-1] + len(found))
-                decoded.append(e.decode(found))
+            found = list(map(e.encode, part))
+            ids += found
+            for i in range(0, len(found), 64):
+                decoded += e.decode_all(found[i : i + 64])
         flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        sizes = np.cumsum([0, *map(len, ids)])
         return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat)), pa.array(decoded, pa.string())], ["ids", "decoded"])
 
     return docs.withColumn(out_col, run(text_or_empty(text_col)))
