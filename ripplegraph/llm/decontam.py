@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
 from .common import chunks, code_points, digits, letters, mix, prepare, run_hashes, table, text_or_empty
 
 WINDOW, PASSAGE = 8, 13
@@ -221,7 +222,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pa
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that no benchmark item contaminates, with the columns of docs."""
-    bad = contaminated(docs, benchmark).select("row_hash").distinct()
+    # Written, so that the planner knows its size before it decides whether the texts must be shuffled.
+    bad = written(contaminated(docs, benchmark).select("row_hash").distinct(), "contaminated")
     work = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("row_hash"))
     return work.join(bad, "row_hash", "left_anti").select("row.*")
 
