@@ -170,26 +170,36 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     score = met.groupBy("node").agg(F.sum("size").alias("score"))
     met = written(met.join(score, "node").select("band", "node", F.struct(F.col("score"), (-F.col("node")).alias("order")).alias("rank")), "buckets")
     bag = _bags_of(work, nodes.join(met.select("node").distinct(), "node", "left_semi"))
+    merges, _, _ = _merges(met, lambda pairs: _verified(pairs, bag, threshold))
+    named = nodes.withColumn("label", F.col("node"))
+    for merge in merges:
+        named = named.join(merge.select(F.col("id").alias("label"), F.col("label").alias("new")), "label", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
+    classes = named.groupBy("label").agg(F.min("first").alias("class_first"), F.sum("n").alias("class_rows"))
+    return rows.drop("bands"), named.join(classes, "label").select("k1", "k2", "label", F.col("class_first").alias("first"), "class_rows")
+
+
+def _merges(met: DataFrame, verified) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """Classes of the members of buckets (band, node, rank), as merges (id, label) to be applied one after another.
+
+    verified takes pairs (a, b) and returns those that are links. Also returns the buckets that hold several classes
+    at the end, and the pairs that were tested.
+    """
     # First each text with the highest score it meets, then what is still open.
     best = met.groupBy("band").agg(F.max("rank").alias("top"))
     first = met.join(best, "band").filter("rank <> top").groupBy("node").agg(F.max("top").alias("top"))
     todo = written(first.select(F.least("node", -F.col("top.order")).alias("a"), F.greatest("node", -F.col("top.order")).alias("b")).distinct(), "candidates")
     tested = todo
-    merges = [connected(written(_verified(todo, bag, threshold), "links"))]
-    state = _renamed(met.withColumn("label", F.col("node")), merges[0], touched_only=False)
+    merges = [connected(written(verified(todo), "links"))]
+    state = _renamed(met.withColumn("label", F.col("node")), merges[0]).withColumn("touched", F.lit(True))
     while True:
-        todo = compact(written(_open_pairs(state).join(tested, ["a", "b"], "left_anti"), "candidates"))
-        good = compact(written(_verified(todo, bag, threshold).join(todo, ["a", "b"]).select("label_a", "label_b"), "links"))
+        todo = compact(written(_open_pairs(state.filter("touched")).join(tested, ["a", "b"], "left_anti"), "candidates"))
+        good = compact(written(verified(todo).join(todo, ["a", "b"]).select("label_a", "label_b"), "links"))
+        tested = tested.union(todo.select("a", "b"))
         if good.isEmpty():
             break
-        tested = tested.union(todo.select("a", "b"))
         merges.append(connected(good, "label_a", "label_b"))
         state = _renamed(state, merges[-1])
-    named = nodes.withColumn("label", F.col("node"))
-    for merge in merges:
-        named = named.join(merge.select(F.col("id").alias("label"), F.col("label").alias("new")), "label", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
-    classes = named.groupBy("label").agg(F.min("first").alias("class_first"), F.sum("n").alias("class_rows"))
-    return rows.drop("bands"), named.join(classes, "label").select("k1", "k2", "label", F.col("class_first").alias("first"), "class_rows")
+    return merges, state, tested
 
 
 def _bags_of(work: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -202,15 +212,13 @@ def _bags_of(work: DataFrame, nodes: DataFrame) -> DataFrame:
     return written(found.groupBy("node").agg(F.first("text").alias("text")).select(F.col("node").alias("id"), _bag("text").alias("bag")), "bags")
 
 
-def _renamed(state: DataFrame, merge: DataFrame, touched_only: bool = True) -> DataFrame:
-    """The members of buckets (band, node, rank, label) under merged labels: those of buckets that still hold several
-    classes. After a full round also only those that the merge touched: in the others each text has met the
-    highest rank of another class already."""
+def _renamed(state: DataFrame, merge: DataFrame) -> DataFrame:
+    """The members of buckets (band, node, rank, label) under merged labels: those of all buckets that still hold
+    several classes, and whether the merge touched their bucket. In the others the highest ranks are the same as before."""
     new = state.join(merge.select(F.col("id").alias("label"), F.col("label").alias("new")), "label", "left")
-    named = new.select("band", "node", "rank", F.coalesce("new", "label").alias("label"), F.col("new").isNotNull().alias("touched"))
-    live = named.groupBy("band").agg(F.max("touched").alias("t"), F.min("label").alias("x"), F.max("label").alias("y")).filter(F.col("x") < F.col("y"))
-    live = (live.filter("t") if touched_only else live).select("band")
-    return compact(written(named.join(live, "band", "left_semi").drop("touched"), "buckets"))
+    named = new.select("band", "node", "rank", F.coalesce("new", "label").alias("label"), F.col("new").isNotNull().alias("moved"))
+    live = named.groupBy("band").agg(F.max("moved").alias("touched"), F.min("label").alias("x"), F.max("label").alias("y")).filter(F.col("x") < F.col("y"))
+    return compact(written(named.drop("moved").join(live.select("band", "touched"), "band"), "buckets"))
 
 
 def _open_pairs(state: DataFrame) -> DataFrame:

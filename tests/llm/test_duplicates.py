@@ -140,3 +140,25 @@ def test_pipeline_by_brute_force(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     assert decontam.WINDOW == 8 and corpus_pipeline.ORACLE_SQL is None
+
+
+def bucket_rows(spark, buckets, score):
+    rows = [(band, node, (score[node], -node)) for band, members in enumerate(buckets) for node in members]
+    return spark.createDataFrame(rows, "band long, node long, rank struct<score:long,order:long>")
+
+
+def merged(spark, merges, n):
+    label = list(range(n))
+    for merge in merges:
+        new = {r["id"]: r["label"] for r in merge.collect()}
+        label = [new.get(x, x) for x in label]
+    return label
+
+
+def test_buckets_come_back_when_a_later_merge_touches_them(spark):
+    h, t, s, x, y, z = range(6)
+    # t~s is found first; by it x and y join t's class, and only then y meets z, in a bucket that no merge touched before.
+    met = bucket_rows(spark, [(h, t, s, x, y), (t, s, x), (t, s, y), (x, y, z)], [100, 90, 80, 70, 60, 50])
+    links = spark.createDataFrame([(t, s), (s, x), (s, y), (y, z)], "a long, b long")
+    merges, _, _ = neardup._merges(met, lambda pairs: pairs.select("a", "b").join(links, ["a", "b"]))
+    assert merged(spark, merges, 6) == [h, t, t, t, t, t]
