@@ -11,12 +11,15 @@ is missed with probability 2.6e-5). Candidates are verified exactly on the bags
 connected component of verified links. No bucket is expanded into its pairs: a text's score is the number of texts it
 meets in all its buckets, which is largest for the least edited text of a group. Each text is compared with the
 highest scores it meets; then, in every bucket that still holds several classes, each text with the highest score of
-another class, round by round until a round links nothing. So the work is linear in the candidates, and small
-buckets are compared completely.
+another class, round by round until a round links nothing. The rounds find nearly all links at linear cost. What
+remains, all other pairs of a bucket whose texts are in different classes, is compared block by block on sketches that
+bound the similarity from above, and every pair that the bound does not exclude is verified exactly.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +34,8 @@ from .dedup import repeat_filter
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 COMPONENTS = BANDS * ROWS
+#: Members and sketch bytes that a block of a bucket holds on average at most.
+BLOCK_TEXTS, BLOCK_BYTES = 256, 65_536
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -141,6 +146,96 @@ def _similarity(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([similarity(_unbag(x.as_py()), _unbag(y.as_py())) for x, y in zip(a, b)], pa.float64())
 
 
+@F.arrow_udf(T.BinaryType())
+def _sketch(bags: pa.Array) -> pa.Array:
+    """A bag with its shingles cut to 16 bits: total weight, whether no weight is above 1, distinct values; then these
+    and, if a value's summed weight is above 1, the sums of all."""
+    out = []
+    for data in bags:
+        h, w = _unbag(data.as_py())
+        cell, at = np.unique((h & np.uint64(0xFFFF)).astype(np.uint16), return_inverse=True)
+        sums = np.bincount(at, weights=w.astype(np.float64), minlength=len(cell)).astype(np.uint32)
+        out.append(np.array([w.sum(), w.max(initial=0) <= 1, len(cell)], np.uint32).tobytes() + cell.tobytes() + (sums.tobytes() if (sums > 1).any() else b""))
+    return pa.array(out, pa.binary())
+
+
+def _unsketch(data: bytes) -> tuple[int, bool, np.ndarray, np.ndarray]:
+    total, unit, n = np.frombuffer(data, np.uint32, 3)
+    sums = data[12 + 2 * n :]
+    return int(total), bool(unit), np.frombuffer(data, np.uint16, n, 12), np.frombuffer(sums, np.uint32) if sums else np.ones(n, np.uint32)
+
+
+def bounds(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Upper bounds of the similarities of two lists of sketches.
+
+    Cutting shingles can only raise what two bags have in common. Of bags without repeated shingles that is a count c,
+    and their similarity c / (a + b - c). Of others, no coupling of two draws agrees more often than the smaller
+    shares add up to, and the probability Jaccard similarity is how often one coupling does.
+    """
+    parts = [_unsketch(x) for x in right]
+    total, unit = np.array([x[0] for x in parts], np.float64), np.array([x[1] for x in parts], np.bool_)
+    size = np.array([len(x[2]) for x in parts])
+    cell, weight = np.concatenate([x[2] for x in parts]), np.concatenate([x[3] for x in parts]).astype(np.float64)
+    begin, share = np.cumsum(size) - size, weight / np.repeat(total, size)
+    out, own = np.zeros((len(left), len(right))), np.zeros(1 << 16)
+    for i, data in enumerate(left):
+        n, single, c, w = _unsketch(data)
+        if not single or not unit.all():
+            own[c] = w / n
+            out[i] = np.add.reduceat(np.minimum(own[cell], share), begin)
+        if single and unit.any():
+            own[c] = w
+            common = np.add.reduceat(np.minimum(own[cell], weight), begin)
+            out[i] = np.where(unit, common / (n + total - common), out[i])
+        own[c] = 0
+    return out
+
+
+def _near_in_blocks(threshold: float):
+    """Of rows with the members (side, node, label, sketch) of two blocks of a bucket, or of one: the pairs of different
+    classes, one of each block, that the bound does not exclude."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, members in zip(batch.column(0).to_pylist(), batch.column(1)):
+                flat = members.values
+                side, node, label = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                sketch = flat.field(3).to_pylist()
+                left = np.arange(len(node)) if one else np.flatnonzero(side == 0)
+                right = left if one else np.flatnonzero(side == 1)
+                if not len(left) or not len(right) or label.min() == label.max():
+                    continue
+                near = bounds([sketch[k] for k in left], [sketch[k] for k in right]) >= threshold - 1e-9
+                near &= label[left][:, None] != label[right][None, :]
+                x, y = np.nonzero(np.triu(near) if one else near)
+                x, y = left[x], right[y]
+                swap = node[x] > node[y]
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
+                yield pa.record_batch([pa.array(v) for v in (node[x], node[y], label[x], label[y])], ["a", "b", "label_a", "label_b"])
+
+    return run
+
+
+def _rest(state: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a, b, label_a, label_b) of texts of different classes in a bucket that may be so similar.
+
+    Left out are only buckets of which the rounds have tested every such pair: those with two classes of which one is
+    a single text. A bucket is cut into blocks of bounded size, and each two blocks are one row, wherever they are.
+    """
+    inside = state.select("node").distinct()
+    sketch = written(bag.join(inside, bag["id"] == inside["node"], "left_semi").select(F.col("id").alias("node"), _sketch("bag").alias("sketch")), "sketches")
+    parts = state.join(sketch.select("node", F.length("sketch").alias("bytes")), "node").groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    sizes = parts.groupBy("band").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("classes"), F.min("n").alias("least"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    wide = written(sizes.filter("classes > 2 OR least > 1").select("band", blocks.alias("blocks")), "blocks")
+    dealt = state.join(wide, "band").select("band", "node", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    each = dealt.select("band", "node", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    at = each.join(sketch, "node").select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.struct((F.col("own") > F.col("other")).cast("int").alias("side"), "node", "label", "sketch").alias("member"))
+    tasks = at.repartition("band", "i", "j").groupBy("band", "i", "j").agg(F.collect_list("member").alias("members"))
+    found = tasks.select((F.col("i") == F.col("j")).alias("one"), "members").mapInArrow(_near_in_blocks(threshold), "a long, b long, label_a long, label_b long")
+    return found.distinct()
+
+
 def text_keys(text: str = "text"):
     """128 bits by which equal texts are recognised."""
     return [F.xxhash64(F.lit(17), text).alias("k1"), F.xxhash64(F.lit(71), text).alias("k2")]
@@ -170,7 +265,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     score = met.groupBy("node").agg(F.sum("size").alias("score"))
     met = written(met.join(score, "node").select("band", "node", F.struct(F.col("score"), (-F.col("node")).alias("order")).alias("rank")), "buckets")
     bag = _bags_of(work, nodes.join(met.select("node").distinct(), "node", "left_semi"))
-    merges, _, _ = _merges(met, lambda pairs: _verified(pairs, bag, threshold))
+    merges, state, tested = _merges(met, lambda pairs: _verified(pairs, bag, threshold))
+    merges.append(_last_merge(state, tested, bag, threshold))
     named = nodes.withColumn("label", F.col("node"))
     for merge in merges:
         named = named.join(merge.select(F.col("id").alias("label"), F.col("label").alias("new")), "label", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
@@ -202,6 +298,13 @@ def _merges(met: DataFrame, verified) -> tuple[list[DataFrame], DataFrame, DataF
     return merges, state, tested
 
 
+def _last_merge(state: DataFrame, tested: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
+    """The merge (id, label) by what the rounds did not test: afterwards every candidate pair is in one class, tested or
+    excluded by its bound."""
+    todo = written(_rest(state, bag, threshold).join(tested, ["a", "b"], "left_anti"), "candidates")
+    return connected(written(_verified(todo, bag, threshold).join(todo, ["a", "b"]).select("label_a", "label_b"), "links"), "label_a", "label_b")
+
+
 def _bags_of(work: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, bag) of some distinct texts: a Bloom filter of their keys picks their rows, so that few texts are shuffled."""
     wanted = written(nodes.select("k1", "k2", "node"), "wanted")

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +163,45 @@ def test_buckets_come_back_when_a_later_merge_touches_them(spark):
     links = spark.createDataFrame([(t, s), (s, x), (s, y), (y, z)], "a long, b long")
     merges, _, _ = neardup._merges(met, lambda pairs: pairs.select("a", "b").join(links, ["a", "b"]))
     assert merged(spark, merges, 6) == [h, t, t, t, t, t]
+
+
+def test_links_among_lower_classes_of_a_bucket(spark):
+    """Many texts on one template, mutual similarity below the threshold, with near duplicates among them."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    template = [word() for _ in range(200)]
+    texts = []
+    for _ in range(60):
+        w = list(template)
+        for k in range(3):
+            w[20 + 60 * k + rng.randrange(40)] = word()
+        texts.append(" ".join(w))
+    for k in range(0, 60, 3):
+        w = texts[k].split()
+        w[5] = word()
+        texts.append(" ".join(w))
+    bags = [neardup.bags([t])[1:] for t in texts]
+    met = bucket_rows(spark, [range(80)], [80 - k for k in range(80)])
+    table = spark.createDataFrame([(k, h.tobytes()) for k, (h, _) in enumerate(bags)], "id long, bag binary")
+    want = brute_classes(texts)
+    assert 20 < len(set(want)) < 80
+    merges, state, tested = neardup._merges(met, lambda pairs: neardup._verified(pairs, table, 0.8))
+    assert merged(spark, merges, 80) != want  # the rounds alone miss some
+    assert merged(spark, [*merges, neardup._last_merge(state, tested, table, 0.8)], 80) == want
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(documents(spark, texts)).collect()}
+    assert [got[k] for k in range(80)] == want
+
+
+def test_a_bound_is_never_below_the_similarity():
+    rng = np.random.default_rng(5)
+    bags = []
+    for k in range(40):
+        h = np.unique(rng.integers(1, 60 if k < 20 else 2**63, 50).astype(np.uint64) << np.uint64(8 * (k % 2)))
+        bags.append((h, np.ones(len(h), np.uint64) if k % 3 else rng.integers(1, 5, len(h)).astype(np.uint64)))
+    data = [h.tobytes() + (b"" if (w == 1).all() else np.zeros(1, np.uint64).tobytes() + w.tobytes()) for h, w in bags]
+    sketches = neardup._sketch.func(pa.array(data, pa.binary())).to_pylist()
+    got = neardup.bounds(sketches, sketches)
+    for i, a in enumerate(bags):
+        for j, b in enumerate(bags):
+            assert got[i, j] >= neardup.similarity(a, b) - 1e-9
+        assert abs(got[i, i] - 1) < 1e-9
