@@ -6,7 +6,8 @@ item meet at the same offset, the values in their slots must be consistent: the
 stands for the same value of the document, and different names for different names. So a question that was asked
 with other numbers and names is found, and a chance resemblance of templates is not. A document is contaminated by
 an item when so many consistent windows at one offset match that they span PASSAGE tokens, or all windows of a
-shorter item.
+shorter item. Consistent are all of them, or a run of neighbouring ones, or those that match with names as plain words
+(all or a run), or those whose slots have the item's own values: an altered value elsewhere does not excuse a passage.
 
 A token is a run of letters or of digits (with points and commas between digits); case and all other characters do
 not matter. A number is a run of digits, a unit one of UNITS right after a number, a name a capitalised word that
@@ -43,11 +44,15 @@ UNITS = (
 ).split()
 
 WORD, NUMBER, NAME, UNIT = 0, 1, 2, 3
+#: The kinds that are slots: with names, with names as plain words.
+READINGS = ((NUMBER, NAME, UNIT), (NUMBER, UNIT))
 
 _ITEM = T.StructType([
     T.StructField("item_id", T.LongType()),
     T.StructField("item_key", T.LongType()),
     T.StructField("item_windows", T.IntegerType()),
+    T.StructField("template_windows", T.IntegerType()),
+    T.StructField("template", T.BooleanType()),
     T.StructField("item_pos", T.IntegerType()),
     T.StructField("h", T.LongType()),
     T.StructField("item_slots", T.ArrayType(T.StructType([T.StructField("k", T.IntegerType()), T.StructField("v", T.LongType())]))),
@@ -104,31 +109,32 @@ class Tokens:
             self.kind[maybe[np.isin(self.value[maybe], _unit_hashes())]] = UNIT
         self.bounds = np.searchsorted(self.text, np.arange(len(texts) + 1))
 
-    def windows(self, size: int) -> list[tuple[np.ndarray, np.ndarray, bool]]:
-        """For each reading: positions at which windows of this size within one text start, their hashes, and whether
-        names are slots. Only windows that are evidence, and in the second reading only those with a name."""
+    def windows(self, size: int) -> list[tuple[np.ndarray, np.ndarray, tuple[int, ...]]]:
+        """For each reading: positions at which windows of this size within one text start, their hashes, and the kinds
+        that are slots. Only windows that are evidence; in the second reading only those with a name, in the third
+        those with a number or unit."""
         n = len(self.value) - size + 1
         if n <= 0:
             return []
         out, whole = [], self.text[:n] == self.text[size - 1 :]
-        for names in (True, False):
-            kind = self.kind if names else np.where(self.kind == NAME, WORD, self.kind)
-            template = np.where(kind == WORD, self.value, _SLOT_HASH[kind])
-            upto = np.concatenate(([0], np.cumsum(kind == WORD)))
+        for slots in READINGS:
+            free = np.isin(self.kind, slots)
+            template = np.where(free, _SLOT_HASH[self.kind], self.value)
+            upto = np.concatenate(([0], np.cumsum(~free)))
             at = whole & (2 * (upto[size:] - upto[:-size]) >= size)
-            if not names:
-                upto = np.concatenate(([0], np.cumsum(self.kind == NAME)))
+            if slots != READINGS[0]:
+                special = self.kind == NAME if slots else (self.kind == NUMBER) | (self.kind == UNIT)
+                upto = np.concatenate(([0], np.cumsum(special)))
                 at &= upto[size:] > upto[:-size]
             at = np.flatnonzero(at)
             h = np.full(len(at), size, np.uint64)
             for k in range(size):
                 h = h * np.uint64(0x9E3779B97F4A7C15) + template[at + k]
-            out.append((at, mix(h), names))
+            out.append((at, mix(h), slots))
         return out
 
-    def slots(self, at: int, size: int, names: bool) -> list[dict]:
-        own = (WORD,) if names else (WORD, NAME)
-        return [{"k": int(self.kind[i]), "v": int(self.value[i].astype(np.int64))} for i in range(at, at + size) if self.kind[i] not in own]
+    def slots(self, at: int, size: int, kinds: tuple[int, ...]) -> list[dict]:
+        return [{"k": int(self.kind[i]), "v": int(self.value[i].astype(np.int64))} for i in range(at, at + size) if self.kind[i] in kinds]
 
 
 def _item_windows(size: int):
@@ -140,9 +146,10 @@ def _item_windows(size: int):
                 own = min(size, len(t.value))
                 if own < SHORTEST:
                     continue
-                found = [(int(a), int(x), t.slots(a, own, names)) for at, h, names in t.windows(own) for a, x in zip(at, h.view(np.int64))]
-                usable = len({a for a, _, _ in found})
-                rows += [(item, key, usable, a, x, slots, own) for a, x, slots in found]
+                # Of verbatim windows the values are kept too, as each stands for itself.
+                found = [(int(a), int(x), t.slots(a, own, kinds or READINGS[0]), bool(kinds)) for at, h, kinds in t.windows(own) for a, x in zip(at, h.view(np.int64))]
+                usable = len({a for a, _, _, template in found if template})
+                rows += [(item, key, len(t.value) - own + 1, usable, template, a, x, slots, own) for a, x, slots, template in found]
             yield pa.RecordBatch.from_pylist([dict(zip([*_ITEM.names, "size"], r)) for r in rows], schema=_arrow_items())
 
     return run
@@ -150,7 +157,7 @@ def _item_windows(size: int):
 
 def _arrow_items() -> pa.Schema:
     slot = pa.list_(pa.struct([("k", pa.int32()), ("v", pa.int64())]))
-    return pa.schema([("item_id", pa.int64()), ("item_key", pa.int64()), ("item_windows", pa.int32()), ("item_pos", pa.int32()), ("h", pa.int64()), ("item_slots", slot), ("size", pa.int32())])
+    return pa.schema([("item_id", pa.int64()), ("item_key", pa.int64()), ("item_windows", pa.int32()), ("template_windows", pa.int32()), ("template", pa.bool_()), ("item_pos", pa.int32()), ("h", pa.int64()), ("item_slots", slot), ("size", pa.int32())])
 
 
 def _finder(spark: SparkSession, hashes: np.ndarray, sizes: list[int]):
@@ -168,26 +175,106 @@ def _finder(spark: SparkSession, hashes: np.ndarray, sizes: list[int]):
             t = Tokens(part)
             found: list[list[dict]] = [[] for _ in part]
             for size in sizes:
-                for at, h, names in t.windows(size):
+                for at, h, kinds in t.windows(size):
                     near = np.flatnonzero(maybe[(h & np.uint64((1 << 21) - 1)).astype(np.int64)])
                     signed = h[near].view(np.int64)
                     place = np.minimum(np.searchsorted(known, signed), len(known) - 1)
                     for i in near[known[place] == signed]:
                         a = int(at[i])
                         own = int(t.text[a])
-                        found[own].append({"h": int(h[i].astype(np.int64)), "pos": a - int(t.bounds[own]), "slots": t.slots(a, size, names)})
+                        found[own].append({"h": int(h[i].astype(np.int64)), "pos": a - int(t.bounds[own]), "slots": t.slots(a, size, kinds)})
             out += found
         return pa.array(out, pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.struct([("k", pa.int32()), ("v", pa.int64())])))])))
 
     return find
 
 
+def _runs(rows: list[tuple[int, list]]) -> tuple[int, bool]:
+    """The longest run of neighbouring positions whose slots are consistent, and whether one has another value.
+
+    rows: (position, [(kind, item's value, document's value)]) in order of position, with one or more a position.
+    """
+    forth: dict[tuple, dict] = {}  # what each value of the item stands for, and which names a name stands for
+    crowded, best, other = 0, 0, False
+
+    def count(bound: list, by: int) -> int:
+        change = 0
+        for k, i, d in bound:
+            for key, value in [((k, i), d)] + ([((-1, d), i)] if k == NAME else []):
+                held = forth.setdefault(key, {})
+                change -= len(held) > 1
+                held[value] = held.get(value, 0) + by
+                if not held[value]:
+                    del held[value]
+                change += len(held) > 1
+        return change
+
+    merged: dict[int, list] = {}
+    for at, bound in rows:
+        merged.setdefault(at, []).extend(bound)
+    places = sorted(merged)
+    start = 0
+    for end, at in enumerate(places):
+        if end and at != places[end - 1] + 1:
+            forth.clear()
+            start, crowded = end, 0
+        crowded += count(merged[at], 1)
+        while crowded:
+            crowded += count(merged[places[start]], -1)
+            start += 1
+        if end - start + 1 > best:
+            best = end - start + 1
+            other = any(i != d for p in places[start : end + 1] for _, i, d in merged[p])
+    return best, other
+
+
+def _consistent(rows: list[tuple[int, list]]) -> bool:
+    bound = {x for _, pairs in rows for x in pairs}
+    names = [x for x in bound if x[0] == NAME]
+    return len({x[:2] for x in bound}) == len(bound) and len({x[2] for x in names}) == len(names)
+
+
+def judged(rows: list[tuple[int, bool, list]], least: int, windows: int, template_windows: int) -> tuple[int, bool]:
+    """The most consistent windows of an occurrence, and whether a slot there has another value; 0 if they are too few.
+
+    rows: (position, whether the window is one of a template, [(kind, item's value, document's value)]).
+    """
+    plain = lambda some: [(at, t, [x for x in b if x[0] != NAME]) for at, t, b in some if not t or all(x[0] != NAME for x in b)]
+    template = [r for r in rows if r[1]]
+    best = (0, False)
+    for some, need in ((rows, windows), (template, template_windows), (plain(rows), windows), (plain(template), template_windows)):
+        need, pool = min(least, need), [(at, b) for at, _, b in some]
+        if not pool:
+            continue
+        found = (len({at for at, _ in pool}), any(i != d for _, b in pool for _, i, d in b)) if _consistent(pool) else _runs(pool)
+        if found[0] >= max(1, need) and found[0] > best[0]:
+            best = found
+    verbatim = [(at, t) for at, t, b in rows if all(i == d for _, i, d in b)]
+    for some, need in ((verbatim, windows), ([x for x in verbatim if x[1]], template_windows)):
+        n = len({at for at, _ in some})
+        if n >= max(1, min(least, need)) and n > best[0]:
+            best = (n, False)
+    return best
+
+
+def _judge(least: int):
+    @F.arrow_udf("struct<matched:int,other:boolean>")
+    def judge(rows: pa.Array, windows: pa.Array, template_windows: pa.Array) -> pa.Array:
+        out = []
+        for some, n, m in zip(rows, windows.to_pylist(), template_windows.to_pylist()):
+            read = [(r["at"], r["template"], [(x["k"], x["item"], x["doc"]) for x in r["bound"]]) for r in some.as_py()]
+            out.append(dict(zip(("matched", "other"), judged(read, least, n, m))))
+        return pa.array(out, pa.struct([("matched", pa.int32()), ("other", pa.bool_())]))
+
+    return judge
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, passage: int = PASSAGE) -> DataFrame:
     """One row per document and benchmark item that contaminates it.
 
     Columns: doc_id; row_hash, of the document's id and text; item_id; matched_windows, the most consistent windows at
-    one offset; item_windows; reparameterised, whether a slot there has another value than in the item. Null texts
-    match nothing, nor do items without a usable window (of less than SHORTEST tokens, or mostly slots).
+    one offset; item_windows, all of the item; reparameterised, whether a slot there has another value than in the item. Null texts
+    match nothing, nor do items of less than SHORTEST tokens.
     Rows of the same id and text count once, among documents as among items.
     """
     spark = docs.sparkSession
@@ -208,16 +295,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pa
         met = part if met is None else met.unionByName(part)
     if met is None:
         return spark.createDataFrame([], T.StructType([docs.schema["doc_id"], T.StructField("row_hash", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("matched_windows", T.LongType()), T.StructField("item_windows", T.IntegerType()), T.StructField("reparameterised", T.BooleanType())]))
-    pairs = F.zip_with("item_slots", "slots", lambda i, d: F.struct(i["k"].alias("k"), i["v"].alias("item"), d["v"].alias("doc")))
-    # An occurrence has no more rows than the item has windows (and a second first one).
-    at = met.groupBy("doc_id", "row_hash", "item_id", "item_key", "item_windows", (F.col("pos") - F.col("item_pos")).alias("offset")).agg(F.countDistinct("item_pos").alias("matched_windows"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("bound"))
-    functional = F.size(F.array_distinct(F.transform("bound", lambda b: F.struct(b["k"], b["item"])))) == F.size("bound")
-    names = F.filter("bound", lambda b: b["k"] == NAME)
-    apart = F.size(F.array_distinct(F.transform(names, lambda b: b["doc"]))) == F.size(names)
-    enough = F.col("matched_windows") >= F.least(F.col("item_windows"), F.lit(max(1, passage - window + 1)))
-    good = at.filter(functional & apart & enough)
-    best = F.max(F.struct("matched_windows", F.negative("offset").alias("first"), F.exists("bound", lambda b: b["item"] != b["doc"]).alias("other")))
-    return good.groupBy("doc_id", "row_hash", "item_id", "item_key", "item_windows").agg(best.alias("best")).select("doc_id", "row_hash", "item_id", F.col("best.matched_windows").alias("matched_windows"), "item_windows", F.col("best.other").alias("reparameterised"))
+    zipped = F.zip_with("item_slots", "slots", lambda i, d: F.struct(i["k"].alias("k"), i["v"].alias("item"), d["v"].alias("doc")))
+    same = F.transform("item_slots", lambda i: F.struct(i["k"].alias("k"), i["v"].alias("item"), i["v"].alias("doc")))
+    bound = F.when(F.size("slots") < F.size("item_slots"), same).otherwise(zipped)  # fewer: a verbatim window
+    # An occurrence has no more rows than the item has windows, in at most three readings each.
+    key = ["doc_id", "row_hash", "item_id", "item_key", "item_windows"]
+    rows = F.collect_list(F.struct(F.col("item_pos").alias("at"), "template", bound.alias("bound"))).alias("rows")
+    at = met.groupBy(*key, "template_windows", (F.col("pos") - F.col("item_pos")).alias("offset")).agg(rows)
+    judged = at.select(*key, "offset", _judge(max(1, passage - window + 1))("rows", "item_windows", "template_windows").alias("found")).filter("found.matched > 0")
+    best = F.max(F.struct(F.col("found.matched").cast("long").alias("matched_windows"), F.negative("offset").alias("first"), F.col("found.other").alias("other")))
+    return judged.groupBy(*key).agg(best.alias("best")).select("doc_id", "row_hash", "item_id", F.col("best.matched_windows").alias("matched_windows"), "item_windows", F.col("best.other").alias("reparameterised"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -292,6 +292,22 @@ def test_decontamination_by_brute_force(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
 
 
+def found_items(spark, texts, items):
+    got = decontam.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    return {(r["doc_id"], r["item_id"]) for r in got.collect()}
+
+
+def test_an_altered_value_does_not_excuse_a_passage(spark):
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe", "ri") for b in "bcdfghjklm"]
+    item = list(words)
+    item[10], item[50] = "Haus", "Haus"
+    number = list(words)
+    number[10], number[50] = "17", "17"
+    altered, renumbered = list(item), list(number)
+    altered[50], renumbered[50] = "Baum", "18"
+    assert found_items(spark, [" ".join(altered), " ".join(renumbered)], [" ".join(item), " ".join(number)]) >= {(0, 0), (1, 1)}
+
+
 def test_remainders(spark):
     from ripplegraph.llm.common import remainder
 
