@@ -13,7 +13,8 @@ A token is a run of letters or of digits (with points and commas between digits)
 not matter. A number is a run of digits, a unit one of UNITS right after a number, a name a capitalised word that
 does not open a sentence (a word all in capitals is none). As a capital may have other reasons, each window is also
 read with its names as plain words, and either reading may match. Windows with less than half plain words are no
-evidence and are not used.
+evidence in these readings. In a third one, of windows with a number or unit, every token stands for itself, so that
+verbatim passages match whatever they consist of.
 """
 
 from __future__ import annotations
@@ -44,8 +45,8 @@ UNITS = (
 ).split()
 
 WORD, NUMBER, NAME, UNIT = 0, 1, 2, 3
-#: The kinds that are slots: with names, with names as plain words.
-READINGS = ((NUMBER, NAME, UNIT), (NUMBER, UNIT))
+#: The kinds that are slots: with names, with names as plain words, and verbatim.
+READINGS = ((NUMBER, NAME, UNIT), (NUMBER, UNIT), ())
 
 _ITEM = T.StructType([
     T.StructField("item_id", T.LongType()),

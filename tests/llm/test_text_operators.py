@@ -308,6 +308,13 @@ def test_an_altered_value_does_not_excuse_a_passage(spark):
     assert found_items(spark, [" ".join(altered), " ".join(renumbered)], [" ".join(item), " ".join(number)]) >= {(0, 0), (1, 1)}
 
 
+def test_verbatim_passages_of_numbers(spark):
+    item = "Compute 17 + 23 * 45 - 12 / 4 + 9"
+    long = " ".join(str(k) for k in range(100, 130))
+    texts = ["So " + item + " now", "Compute 18 + 24 * 46 - 13 / 5 + 8", "x " + " ".join(str(k) for k in range(105, 120)), "x " + " ".join(str(k) for k in range(105, 116))]
+    assert found_items(spark, texts, [item, long]) == {(0, 0), (2, 1)}
+
+
 def test_remainders(spark):
     from ripplegraph.llm.common import remainder
 
