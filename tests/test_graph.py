@@ -206,3 +206,26 @@ def test_entry_survives_without_the_corpus_package():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def whole_events(spark, least):
+    from ripplegraph.plans import graph as plans
+
+    edge, nodes = plans.events(spark, SMALL)
+    return {(r["src"], r["dst"]) for r in edge.filter(f"weight >= {least}").collect()}, sorted(r["id"] for r in nodes.collect())
+
+
+SMALL = "/root/testdata/sf0.01"
+
+
+def test_triad_query_counts_the_whole_graph(spark):
+    from ripplegraph.plans import structure
+
+    arcs, nodes = whole_events(spark, 1)
+    got = {r["triad"]: r["n"] for r in structure.g9_triad_census(spark, SMALL).collect()}
+    mutual = sum((b, a) in arcs for a, b in arcs if a != b) // 2
+    one_way = len({e for e in arcs if e[0] != e[1]}) - 2 * mutual
+    kinds = {k: k[:3] for k in got}
+    assert sum(got.values()) == math.comb(len(nodes), 3)
+    assert sum(n * int(kinds[k][0]) for k, n in got.items()) == mutual * (len(nodes) - 2)
+    assert sum(n * int(kinds[k][1]) for k, n in got.items()) == one_way * (len(nodes) - 2)
