@@ -229,3 +229,30 @@ def test_triad_query_counts_the_whole_graph(spark):
     assert sum(got.values()) == math.comb(len(nodes), 3)
     assert sum(n * int(kinds[k][0]) for k, n in got.items()) == mutual * (len(nodes) - 2)
     assert sum(n * int(kinds[k][1]) for k, n in got.items()) == one_way * (len(nodes) - 2)
+
+
+def test_component_queries_take_the_whole_graph(spark):
+    from ripplegraph.plans import structure
+
+    arcs, nodes = whole_events(spark, 2)
+
+    def reach(start, step):
+        seen, todo = {start}, [start]
+        while todo:
+            for v in step.get(todo.pop(), ()):
+                if v not in seen:
+                    seen.add(v)
+                    todo.append(v)
+        return seen
+
+    forth, back, both = {}, {}, {}
+    for a, b in arcs:
+        forth.setdefault(a, set()).add(b)
+        back.setdefault(b, set()).add(a)
+        both.setdefault(a, set()).add(b)
+        both.setdefault(b, set()).add(a)
+    weak = {r["id"]: r["component"] for r in structure.g4_weak_components(spark, SMALL).collect()}
+    assert weak == {a: min(reach(a, both)) for a in nodes}
+    strong = {r["id"]: r["component"] for r in structure.g5_strong_components(spark, SMALL).collect()}
+    assert strong == {a: min(reach(a, forth) & reach(a, back)) for a in nodes}
+    assert structure.g4_component_report(spark, SMALL).first()["components"] == len(set(weak.values()))
