@@ -124,8 +124,6 @@ def predict(texts: list[str], langs: list[str], gram_log: np.ndarray, context_lo
         pi, like = _mixture(p, local, cuts, n, start, SET_STEPS if k > 1 else 0)
         value = like - penalty * (k - 1) * np.log(n + 1.0)
         better = value > best
-        if k > 1 and not better.any():
-            break
         best = np.where(better, value, best)
         best_pi = np.where(better[:, None], pi, best_pi)
     top = best_pi.argmax(1)

@@ -54,6 +54,14 @@ def test_language_set_by_brute_force():
     assert sorted(got[0][2].split(",")) == ["a:0.5000", "b:0.5000"] and got[1][0] == "c" and got[2][0] == "und"
 
 
+def test_language_set_goes_on_where_a_pair_does_not_pay(monkeypatch):
+    logs = np.array([[-3, -3, -1], [-1, -1, -1], [0, -3, -3], [-3, 0, -1], [-3, -1, -2], [0, -1, 0]], float)
+    each = np.arange(len(logs))
+    monkeypatch.setattr(langid, "trigrams", lambda texts: (each, 0 * each, each, 0 * each))
+    pred, score, mixture = langid.predict(["x"], ["a", "b", "c"], logs, np.zeros((1, 3)), 0.2)[0]
+    assert pred == "c" and score < 0.5 and mixture.count(":") == 3
+
+
 def brute_secrets(text):
     out = []
     for kind, pattern in list(secrets.PATTERNS.items())[:3]:
