@@ -256,3 +256,11 @@ def test_component_queries_take_the_whole_graph(spark):
     strong = {r["id"]: r["component"] for r in structure.g5_strong_components(spark, SMALL).collect()}
     assert strong == {a: min(reach(a, forth) & reach(a, back)) for a in nodes}
     assert structure.g4_component_report(spark, SMALL).first()["components"] == len(set(weak.values()))
+
+
+def test_strict_lookup_takes_all_nodes(spark):
+    from ripplegraph.plans import graph as plans
+    from ripplegraph.sources import adapters
+
+    got = {r["id"]: r["found"] for r in plans.p5_strict_lookup(spark, SMALL).collect()}
+    assert got == {r["id"]: True for r in adapters.part_nodes(spark, SMALL).collect()}
