@@ -15,14 +15,18 @@ from ..session import ship
 CHUNK_CHARS = 400_000
 
 
-#: Rows that a Python worker receives at once; whole texts are long, and a batch is held several times over.
-BATCH_ROWS = 1000
+#: Rows and bytes that a Python worker receives at once, but for a single longer row; a batch is held several times over.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: Rows of a batch of the Parquet reader; whole texts are long, and a vector of them is one array.
+SCAN_ROWS = 512
 
 
 def prepare(spark: SparkSession) -> None:
     """Session settings that the operators' Python workers need: where the package is, and small batches."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", SCAN_ROWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +38,12 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def row_hash(df: DataFrame):
+    """A hash of all columns, but for those with maps, which have no order."""
+    names = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*(F.col(f"`{n.replace('`', '``')}`") for n in names)) if names else F.lit(0).cast("long")
+
+
 def remainder(doc_id, n: int):
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import written
-from .common import table, text_or_empty
+from .common import row_hash, table, text_or_empty
 
 BITS_PER_ROW, MIN_BITS, MAX_BITS = 16, 1 << 16, 1 << 28
 SHARD = 1 << 16  #: bits in a shard; positions in it fit 16 bits
@@ -99,8 +99,8 @@ def repeat_filter(hashes: DataFrame, rows: int):
     parts = hashes.mapInArrow(_local_tables(bits), _PART)
     merged = parts.repartition(min(shards, 256), "shard").mapInArrow(_merged_tables, _PART).select("shard", "more")
     repeated = np.zeros((shards, SHARD // 8), np.uint8)
-    for row in merged.toLocalIterator():
-        repeated[row["shard"]] = np.frombuffer(row["more"], np.uint8)
+    for shard, more in zip(*(c.to_pylist() for c in merged.toArrow().columns)):
+        repeated[shard] = np.frombuffer(more, np.uint8)
     shared = hashes.sparkSession.sparkContext.broadcast(repeated.tobytes())
 
     @F.arrow_udf("boolean")
@@ -146,14 +146,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without all but the first row of each text, with the columns of docs.
 
+    The first row has the smallest id (a null id is the largest); of equal ids, the smallest hash of all its columns.
     Rows that the filter shows to be unique keep their place; only possibly repeated rows are shuffled.
     """
-    work = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.sha2(normalised(text_col), 256).alias("digest"))
-    keys = written(work.select("id", F.unhex("digest").alias("digest")), "digests")
+    work = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), row_hash(docs).alias("tie"), F.unhex(F.sha2(normalised(text_col), 256)).alias("digest"))
+    keys = written(work.select("id", "tie", "digest"), "digests")
     flag = repeat_filter(keys.select(F.xxhash64("digest").alias("h")), keys.count())
-    tested = work.withColumn("again", flag(F.xxhash64(F.unhex("digest"))).alias("again"))
-    groups = written(keys.filter(flag(F.xxhash64("digest"))).groupBy(F.lower(F.hex("digest")).alias("digest")).agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"))).alias("first")), "groups")
-    again = tested.filter("again").join(groups, "digest").filter(F.col("id").eqNullSafe(F.col("first.id")))
+    tested = work.withColumn("again", flag(F.xxhash64("digest")))
+    order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("tie").alias("tie"))
+    groups = written(keys.filter(flag(F.xxhash64("digest"))).groupBy("digest").agg(F.min(order).alias("first")), "groups")
+    again = tested.filter("again").join(groups, "digest").filter(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("tie") == F.col("first.tie")))
+    # Rows that agree in text, id and hash are the same row several times.
     one = again.select("row", "digest").dropDuplicates(["digest"])
     return tested.filter(~F.col("again")).select("row.*").unionByName(one.select("row.*"))
 

@@ -10,10 +10,12 @@ Signatures are cut into BANDS bands; documents that agree in a whole band are ca
 is missed with probability 2.6e-5). Candidates are verified exactly on the bags of both texts, and a class is a
 connected component of verified links. No bucket is expanded into its pairs: a text's score is the number of texts it
 meets in all its buckets, which is largest for the least edited text of a group. Each text is compared with the
-highest scores it meets; then, in every bucket that still holds several classes, each text with the highest score of
-another class, round by round until a round links nothing. The rounds find nearly all links at linear cost. What
-remains, all other pairs of a bucket whose texts are in different classes, is compared block by block on sketches that
-bound the similarity from above, and every pair that the bound does not exclude is verified exactly.
+highest scores it meets, which finds nearly all links at linear cost. What remains, all other pairs of a bucket whose
+texts are in different classes, is compared block by block on sketches that bound the similarity from above, and every pair that the bound does not
+exclude is verified exactly: no candidate pair of different classes stays untested.
+
+Null texts count as empty. Texts without words are in a class with equal texts only. Of rows with the same id the first is
+the one with the smaller hash of all its columns.
 """
 
 from __future__ import annotations
@@ -27,13 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import connected
-from ..session import compact, written
-from .common import chunks, code_points, mix, owner, run_hashes, runs, spaces, table, text_or_empty
+from ..session import written
+from .common import chunks, code_points, mix, owner, prepare, row_hash, run_hashes, runs, spaces, table, text_or_empty
 from .dedup import repeat_filter
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 COMPONENTS = BANDS * ROWS
+#: Code points whose signatures are made at once, but for a single longer text.
+SIGNED_CHARS = 120_000
 #: Members and sketch bytes that a block of a bucket holds on average at most.
 BLOCK_TEXTS, BLOCK_BYTES = 256, 65_536
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -110,16 +114,18 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float((1 / (upto[last] / x + above[last] / y)).sum())
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
-def _bands(texts: pa.Array) -> pa.Array:
-    keys, sizes = [np.zeros(0, np.int64)], [0]
-    for part in chunks(texts.to_pylist(), 250_000):
-        text, h, w = bags(part)
-        key = band_keys(signatures(len(part), text, h, w)).view(np.int64)
-        some = np.bincount(text, minlength=len(part)) > 0
-        keys.append(key[some].ravel())
-        sizes += (BANDS * some).tolist()
-    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(keys)))
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches whose last column is a text, with the text replaced by its band keys (none without words)."""
+    for batch in batches:
+        keys, sizes = [np.zeros(0, np.int64)], [0]
+        for part in chunks(batch.column(batch.num_columns - 1).to_pylist(), SIGNED_CHARS):
+            text, h, w = bags(part)
+            key = band_keys(signatures(len(part), text, h, w)).view(np.int64)
+            some = np.bincount(text, minlength=len(part)) > 0
+            keys.append(key[some].ravel())
+            sizes += (BANDS * some).tolist()
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(keys)))
+        yield pa.record_batch([*batch.columns[:-1], lists], [*batch.schema.names[:-1], "bands"])
 
 
 @F.arrow_udf(T.BinaryType())
@@ -192,22 +198,20 @@ def bounds(left: list[bytes], right: list[bytes]) -> np.ndarray:
 
 
 def _near_in_blocks(threshold: float):
-    """Of rows with the members (side, node, label, sketch) of two blocks of a bucket, or of one: the pairs of different
-    classes, one of each block, that the bound does not exclude."""
+    """Of rows with the members (side, node, label, sketch) of two blocks of a bucket: the pairs of different classes, one
+    of each side, that the bound does not exclude."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for one, members in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for members in batch.column(0):
                 flat = members.values
                 side, node, label = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
                 sketch = flat.field(3).to_pylist()
-                left = np.arange(len(node)) if one else np.flatnonzero(side == 0)
-                right = left if one else np.flatnonzero(side == 1)
-                if not len(left) or not len(right) or label.min() == label.max():
+                left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+                if not len(left) or not len(right):
                     continue
                 near = bounds([sketch[k] for k in left], [sketch[k] for k in right]) >= threshold - 1e-9
-                near &= label[left][:, None] != label[right][None, :]
-                x, y = np.nonzero(np.triu(near) if one else near)
+                x, y = np.nonzero(near & (label[left][:, None] != label[right][None, :]))
                 x, y = left[x], right[y]
                 swap = node[x] > node[y]
                 x, y = np.where(swap, y, x), np.where(swap, x, y)
@@ -219,21 +223,24 @@ def _near_in_blocks(threshold: float):
 def _rest(state: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
     """All pairs (a, b, label_a, label_b) of texts of different classes in a bucket that may be so similar.
 
-    Left out are only buckets of which the rounds have tested every such pair: those with two classes of which one is
-    a single text. A bucket is cut into blocks of bounded size, and each two blocks are one row, wherever they are.
+    In a bucket, every text outside its largest class is compared with all texts of other classes. Both sides are cut into
+    blocks of bounded size, and each two blocks are one row, wherever they are.
     """
     inside = state.select("node").distinct()
     sketch = written(bag.join(inside, bag["id"] == inside["node"], "left_semi").select(F.col("id").alias("node"), _sketch("bag").alias("sketch")), "sketches")
-    parts = state.join(sketch.select("node", F.length("sketch").alias("bytes")), "node").groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
-    sizes = parts.groupBy("band").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("classes"), F.min("n").alias("least"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    wide = written(sizes.filter("classes > 2 OR least > 1").select("band", blocks.alias("blocks")), "blocks")
-    dealt = state.join(wide, "band").select("band", "node", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
-    each = dealt.select("band", "node", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    at = each.join(sketch, "node").select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.struct((F.col("own") > F.col("other")).cast("int").alias("side"), "node", "label", "sketch").alias("member"))
+    parts = written(state.join(sketch.select("node", F.length("sketch").alias("bytes")), "node").groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")), "classes")
+    largest = F.max(F.struct("n", "bytes", "label")).alias("top")
+    sizes = parts.groupBy("band").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), largest)
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK_TEXTS), F.ceil(size / BLOCK_BYTES)).cast("int")
+    wide = written(sizes.select("band", F.col("top.label").alias("main"), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("rows"), blocks(F.col("n"), F.col("bytes")).alias("columns")), "blocks")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    dealt = state.join(wide, "band").select("node", "label", "band", "main", "rows", "columns")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lower = dealt.filter("label <> main").select("band", "node", "label", F.lit(0).alias("side"), own("rows").alias("i"), upto("columns").alias("j"))
+    upper = dealt.select("band", "node", "label", F.lit(1).alias("side"), upto("rows").alias("i"), own("columns").alias("j"))
+    at = lower.unionByName(upper).join(sketch, "node").select("band", "i", "j", F.struct("side", "node", "label", "sketch").alias("member"))
     tasks = at.repartition("band", "i", "j").groupBy("band", "i", "j").agg(F.collect_list("member").alias("members"))
-    found = tasks.select((F.col("i") == F.col("j")).alias("one"), "members").mapInArrow(_near_in_blocks(threshold), "a long, b long, label_a long, label_b long")
-    return found.distinct()
+    return tasks.select("members").mapInArrow(_near_in_blocks(threshold), "a long, b long, label_a long, label_b long").distinct()
 
 
 def text_keys(text: str = "text"):
@@ -252,57 +259,51 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Classes of near duplicates: (rows, nodes).
 
     rows: one per row of docs with id, k1, k2 (of its text) and row_key. nodes: one per distinct text with k1, k2,
-    label (of its class), first (the class's first row: smallest id, nulls last, then smallest row_key) and
-    class_rows. Null texts count as empty; texts without words are in a class with equal texts only.
+    label (of its class), first (the class's first row: smallest id, nulls last, then smallest hash of its columns, then
+    smallest row_key) and class_rows.
     """
-    work = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    rows = written(work.select("id", *text_keys(), F.monotonically_increasing_id().alias("row_key"), _bands("text").alias("bands")), "signatures")
-    order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("row_key").alias("key"))
+    prepare(docs.sparkSession)
+    work = docs.select(F.col(id_col).alias("id"), row_hash(docs).alias("tie"), text_or_empty(text_col).alias("text"))
+    keyed = work.select("id", *text_keys(), F.monotonically_increasing_id().alias("row_key"), "tie", "text")
+    schema = T.StructType([*keyed.drop("text").schema.fields, T.StructField("bands", T.ArrayType(T.LongType()))])
+    rows = written(keyed.mapInArrow(_signed, schema), "signatures")
+    order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("tie").alias("tie"), F.col("row_key").alias("key"))
     nodes = written(rows.groupBy("k1", "k2").agg(F.min("row_key").alias("node"), F.min(order).alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    # Written, so that a join's two sides are exchanges of their own and a hot bucket can be split.
+    buckets = written(banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
     met = written(banded.join(buckets, "band"), "buckets")
     score = met.groupBy("node").agg(F.sum("size").alias("score"))
     met = written(met.join(score, "node").select("band", "node", F.struct(F.col("score"), (-F.col("node")).alias("order")).alias("rank")), "buckets")
     bag = _bags_of(work, nodes.join(met.select("node").distinct(), "node", "left_semi"))
-    merges, state, tested = _merges(met, lambda pairs: _verified(pairs, bag, threshold))
-    merges.append(_last_merge(state, tested, bag, threshold))
+    merge, state, tested = _first_merge(met, lambda pairs: _verified(pairs, bag, threshold))
+    merges = [merge] if state.isEmpty() else [merge, _last_merge(state, tested, bag, threshold)]
     named = nodes.withColumn("label", F.col("node"))
     for merge in merges:
         named = named.join(merge.select(F.col("id").alias("label"), F.col("label").alias("new")), "label", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
-    classes = named.groupBy("label").agg(F.min("first").alias("class_first"), F.sum("n").alias("class_rows"))
+    named = written(named.drop("bands"), "named")
+    classes = written(named.groupBy("label").agg(F.min("first").alias("class_first"), F.sum("n").alias("class_rows")), "classes")
     return rows.drop("bands"), named.join(classes, "label").select("k1", "k2", "label", F.col("class_first").alias("first"), "class_rows")
 
 
-def _merges(met: DataFrame, verified) -> tuple[list[DataFrame], DataFrame, DataFrame]:
-    """Classes of the members of buckets (band, node, rank), as merges (id, label) to be applied one after another.
+def _first_merge(met: DataFrame, verified) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the members of buckets (band, node, rank): the merge (id, label) by the links of each text with the highest rank
+    it meets, the buckets that hold several classes then, and the pairs (a, b) that were tested.
 
-    verified takes pairs (a, b) and returns those that are links. Also returns the buckets that hold several classes
-    at the end, and the pairs that were tested.
+    verified takes pairs (a, b) and returns those that are links.
     """
-    # First each text with the highest score it meets, then what is still open.
-    best = met.groupBy("band").agg(F.max("rank").alias("top"))
-    first = met.join(best, "band").filter("rank <> top").groupBy("node").agg(F.max("top").alias("top"))
-    todo = written(first.select(F.least("node", -F.col("top.order")).alias("a"), F.greatest("node", -F.col("top.order")).alias("b")).distinct(), "candidates")
-    tested = todo
-    merges = [connected(written(verified(todo), "links"))]
-    state = _renamed(met.withColumn("label", F.col("node")), merges[0]).withColumn("touched", F.lit(True))
-    while True:
-        todo = compact(written(_open_pairs(state.filter("touched")).join(tested, ["a", "b"], "left_anti"), "candidates"))
-        good = compact(written(verified(todo).join(todo, ["a", "b"]).select("label_a", "label_b"), "links"))
-        tested = tested.union(todo.select("a", "b"))
-        if good.isEmpty():
-            break
-        merges.append(connected(good, "label_a", "label_b"))
-        state = _renamed(state, merges[-1])
-    return merges, state, tested
+    top = written(met.groupBy("band").agg(F.max("rank").alias("top")), "tops")
+    first = met.join(top, "band").filter("rank <> top").groupBy("node").agg(F.max("top").alias("top"))
+    tested = written(first.select(F.least("node", -F.col("top.order")).alias("a"), F.greatest("node", -F.col("top.order")).alias("b")).distinct(), "candidates")
+    merge = connected(verified(tested))
+    return merge, _open_buckets(met, merge), tested
 
 
 def _last_merge(state: DataFrame, tested: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
-    """The merge (id, label) by what the rounds did not test: afterwards every candidate pair is in one class, tested or
+    """The merge (id, label) by what was not tested at first: afterwards every candidate pair is in one class, tested or
     excluded by its bound."""
     todo = written(_rest(state, bag, threshold).join(tested, ["a", "b"], "left_anti"), "candidates")
-    return connected(written(_verified(todo, bag, threshold).join(todo, ["a", "b"]).select("label_a", "label_b"), "links"), "label_a", "label_b")
+    return connected(_verified(todo, bag, threshold).join(todo, ["a", "b"]).select("label_a", "label_b"), "label_a", "label_b")
 
 
 def _bags_of(work: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -315,24 +316,12 @@ def _bags_of(work: DataFrame, nodes: DataFrame) -> DataFrame:
     return written(found.groupBy("node").agg(F.first("text").alias("text")).select(F.col("node").alias("id"), _bag("text").alias("bag")), "bags")
 
 
-def _renamed(state: DataFrame, merge: DataFrame) -> DataFrame:
-    """The members of buckets (band, node, rank, label) under merged labels: those of all buckets that still hold
-    several classes, and whether the merge touched their bucket. In the others the highest ranks are the same as before."""
-    new = state.join(merge.select(F.col("id").alias("label"), F.col("label").alias("new")), "label", "left")
-    named = new.select("band", "node", "rank", F.coalesce("new", "label").alias("label"), F.col("new").isNotNull().alias("moved"))
-    live = named.groupBy("band").agg(F.max("moved").alias("touched"), F.min("label").alias("x"), F.max("label").alias("y")).filter(F.col("x") < F.col("y"))
-    return compact(written(named.drop("moved").join(live.select("band", "touched"), "band"), "buckets"))
-
-
-def _open_pairs(state: DataFrame) -> DataFrame:
-    """In every bucket, each text with the highest rank of another class: a, b, label_a, label_b."""
-    tops = state.groupBy("band", "label").agg(F.max("rank").alias("rank"))
-    one = tops.groupBy("band").agg(F.max(F.struct("rank", "label")).alias("one"))
-    two = tops.join(one, "band").filter(F.col("label") != F.col("one.label")).groupBy("band").agg(F.first("one").alias("one"), F.max(F.struct("rank", "label")).alias("two"))
-    pair = state.join(two, "band").select("node", "label", F.when(F.col("label") == F.col("one.label"), F.col("two")).otherwise(F.col("one")).alias("o"))
-    ends = pair.select("node", "label", (-F.col("o.rank.order")).alias("other"), F.col("o.label").alias("other_label"))
-    first = F.col("node") < F.col("other")
-    return ends.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), F.when(first, F.col("label")).otherwise(F.col("other_label")).alias("label_a"), F.when(first, F.col("other_label")).otherwise(F.col("label")).alias("label_b")).distinct()
+def _open_buckets(met: DataFrame, merge: DataFrame) -> DataFrame:
+    """The members of buckets with their labels (band, node, label): those of all buckets that hold several classes."""
+    new = met.select("band", "node").join(merge.withColumnRenamed("id", "node"), "node", "left")
+    named = written(new.select("band", "node", F.coalesce("label", "node").alias("label")), "named")
+    live = written(named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter(F.col("x") < F.col("y")).select("band"), "live")
+    return written(named.join(live, "band"), "buckets")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,14 +337,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     A Bloom filter of the texts in classes of several rows lets all other rows pass without a shuffle.
     """
     _, nodes = near_classes(docs, id_col, text_col)
-    grouped = written(nodes.filter("class_rows > 1").select("k1", "k2", F.col("first.id").alias("keep"), F.col("first.key").alias("key"), "label"), "grouped")
+    grouped = written(nodes.filter("class_rows > 1").select("k1", "k2", F.col("first.id").alias("keep"), F.col("first.tie").alias("keep_tie"), "label"), "grouped")
     hashes = grouped.select(F.xxhash64("k1", "k2").alias("h"))
     flag = repeat_filter(hashes.union(hashes), 2 * grouped.count())
-    work = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).select("row", "id", *text_keys())
+    work = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), row_hash(docs).alias("tie"), text_or_empty(text_col).alias("text")).select("row", "id", "tie", *text_keys())
     tested = work.withColumn("again", flag(F.xxhash64("k1", "k2")))
     maybe = tested.filter("again").drop("again").join(grouped, ["k1", "k2"], "left")
     alone = maybe.filter("label IS NULL").select("row")
-    one = maybe.filter(F.col("label").isNotNull() & F.col("id").eqNullSafe(F.col("keep"))).dropDuplicates(["label"]).select("row")
+    # Rows that agree in id and hash are the same row several times.
+    one = maybe.filter(F.col("label").isNotNull() & F.col("id").eqNullSafe(F.col("keep")) & (F.col("tie") == F.col("keep_tie"))).dropDuplicates(["label"]).select("row")
     return tested.filter(~F.col("again")).select("row").unionByName(alone).unionByName(one).select("row.*")
 
 

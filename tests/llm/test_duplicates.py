@@ -156,13 +156,22 @@ def merged(spark, merges, n):
     return label
 
 
-def test_buckets_come_back_when_a_later_merge_touches_them(spark):
+def bag_table(spark, sets):
+    return spark.createDataFrame([(k, np.unique(np.array(sorted(x), np.uint64)).tobytes()) for k, x in enumerate(sets)], "id long, bag binary")
+
+
+def test_buckets_that_only_a_later_link_makes_interesting(spark):
     h, t, s, x, y, z = range(6)
-    # t~s is found first; by it x and y join t's class, and only then y meets z, in a bucket that no merge touched before.
+    # Links: t~s, s~x, s~y, y~z. y meets z only in a bucket whose top, x, is like neither.
+    new = iter(range(1000, 2000))
+    change = lambda base, begin: {v for v in base if not begin <= v < begin + 10} | {next(new) for _ in range(10)}
+    base = set(range(1, 101))
+    sets = [set(range(500, 600)), change(base, 1), base, change(base, 11), change(base, 21), None]
+    sets[z] = change(sets[y], 31)
+    table = bag_table(spark, sets)
     met = bucket_rows(spark, [(h, t, s, x, y), (t, s, x), (t, s, y), (x, y, z)], [100, 90, 80, 70, 60, 50])
-    links = spark.createDataFrame([(t, s), (s, x), (s, y), (y, z)], "a long, b long")
-    merges, _, _ = neardup._merges(met, lambda pairs: pairs.select("a", "b").join(links, ["a", "b"]))
-    assert merged(spark, merges, 6) == [h, t, t, t, t, t]
+    merge, state, tested = neardup._first_merge(met, lambda pairs: neardup._verified(pairs, table, 0.8))
+    assert merged(spark, [merge, neardup._last_merge(state, tested, table, 0.8)], 6) == [h, t, t, t, t, t]
 
 
 def test_links_among_lower_classes_of_a_bucket(spark):
@@ -185,9 +194,9 @@ def test_links_among_lower_classes_of_a_bucket(spark):
     table = spark.createDataFrame([(k, h.tobytes()) for k, (h, _) in enumerate(bags)], "id long, bag binary")
     want = brute_classes(texts)
     assert 20 < len(set(want)) < 80
-    merges, state, tested = neardup._merges(met, lambda pairs: neardup._verified(pairs, table, 0.8))
-    assert merged(spark, merges, 80) != want  # the rounds alone miss some
-    assert merged(spark, [*merges, neardup._last_merge(state, tested, table, 0.8)], 80) == want
+    merge, state, tested = neardup._first_merge(met, lambda pairs: neardup._verified(pairs, table, 0.8))
+    assert merged(spark, [merge], 80) != want  # the first links alone miss some
+    assert merged(spark, [merge, neardup._last_merge(state, tested, table, 0.8)], 80) == want
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(documents(spark, texts)).collect()}
     assert [got[k] for k in range(80)] == want
 
