@@ -63,18 +63,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage of a small table in a loop by a reliable checkpoint."""
-    scratch_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-#: Rows up to which a table is handled by one task without a shuffle.
-SMALL_ROWS = 20_000
-
-
-def compact(df: DataFrame) -> DataFrame:
-    """A written table as one partition if it is small: joins and aggregates of such tables need no exchange."""
-    return df.coalesce(1) if df.count() <= SMALL_ROWS else df
