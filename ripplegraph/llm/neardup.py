@@ -197,31 +197,57 @@ def bounds(left: list[bytes], right: list[bytes]) -> np.ndarray:
     return out
 
 
-def _near_in_blocks(threshold: float):
+def _forest(score: np.ndarray, x: np.ndarray, y: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Of pairs of members, the indices of those that join the classes they are in, highest scores first, without a cycle."""
+    order = np.lexsort((y, x, -score))
+    low, high = np.minimum(label[x], label[y])[order], np.maximum(label[x], label[y])[order]
+    _, first = np.unique(np.stack([low, high]), axis=1, return_index=True)
+    root: dict[int, int] = {}
+    out = []
+    for k in np.sort(first).tolist():
+        ends = []
+        for end in (int(low[k]), int(high[k])):
+            while (up := root.get(end, end)) != end:
+                root[end] = root.get(up, up)
+                end = up
+            ends.append(end)
+        if ends[0] != ends[1]:
+            root[ends[1]] = ends[0]
+            out.append(k)
+    return order[out]
+
+
+def _near_in_blocks(threshold: float, forest: bool):
     """Of rows with the members (side, node, label, sketch) of two blocks of a bucket: the pairs of different classes, one
-    of each side, that the bound does not exclude."""
+    of each side, that the bound does not exclude; with forest, only as many as connect the same classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for members in batch.column(0):
                 flat = members.values
                 side, node, label = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                sketch = flat.field(3).to_pylist()
+                order = np.argsort(node, kind="stable")
+                side, node, label = side[order], node[order], label[order]
+                sketch = flat.field(3).take(pa.array(order)).to_pylist()
                 left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
                 if not len(left) or not len(right):
                     continue
-                near = bounds([sketch[k] for k in left], [sketch[k] for k in right]) >= threshold - 1e-9
-                x, y = np.nonzero(near & (label[left][:, None] != label[right][None, :]))
-                x, y = left[x], right[y]
+                bound = bounds([sketch[k] for k in left], [sketch[k] for k in right])
+                i, j = np.nonzero((bound >= threshold - 1e-9) & (label[left][:, None] != label[right][None, :]))
+                x, y = np.minimum(left[i], right[j]), np.maximum(left[i], right[j])
                 swap = node[x] > node[y]
                 x, y = np.where(swap, y, x), np.where(swap, x, y)
+                if forest and len(x):
+                    keep = _forest(bound[i, j], x, y, label)
+                    x, y = x[keep], y[keep]
                 yield pa.record_batch([pa.array(v) for v in (node[x], node[y], label[x], label[y])], ["a", "b", "label_a", "label_b"])
 
     return run
 
 
-def _rest(state: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
-    """All pairs (a, b, label_a, label_b) of texts of different classes in a bucket that may be so similar.
+def _rest(state: DataFrame, bag: DataFrame, threshold: float, forest: bool = False) -> DataFrame:
+    """All pairs (a, b, label_a, label_b) of texts of different classes in a bucket that may be so similar; with forest, of
+    each two blocks only pairs that connect the classes which these pairs connect.
 
     In a bucket, every text outside its largest class is compared with all texts of other classes. Both sides are cut into
     blocks of bounded size, and each two blocks are one row, wherever they are.
@@ -240,7 +266,7 @@ def _rest(state: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
     upper = dealt.select("band", "node", "label", F.lit(1).alias("side"), upto("rows").alias("i"), own("columns").alias("j"))
     at = lower.unionByName(upper).join(sketch, "node").select("band", "i", "j", F.struct("side", "node", "label", "sketch").alias("member"))
     tasks = at.repartition("band", "i", "j").groupBy("band", "i", "j").agg(F.collect_list("member").alias("members"))
-    return tasks.select("members").mapInArrow(_near_in_blocks(threshold), "a long, b long, label_a long, label_b long").distinct()
+    return tasks.select("members").mapInArrow(_near_in_blocks(threshold, forest), "a long, b long, label_a long, label_b long").distinct()
 
 
 def text_keys(text: str = "text"):
@@ -277,7 +303,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     met = written(met.join(score, "node").select("band", "node", F.struct(F.col("score"), (-F.col("node")).alias("order")).alias("rank")), "buckets")
     bag = _bags_of(work, nodes.join(met.select("node").distinct(), "node", "left_semi"))
     merge, state, tested = _first_merge(met, lambda pairs: _verified(pairs, bag, threshold))
-    merges = [merge] if state.isEmpty() else [merge, _last_merge(state, tested, bag, threshold)]
+    merges = [merge] if state.isEmpty() else [merge, *_last_merges(state, tested, bag, threshold)]
     named = nodes.withColumn("label", F.col("node"))
     for merge in merges:
         named = named.join(merge.select(F.col("id").alias("label"), F.col("label").alias("new")), "label", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
@@ -296,14 +322,25 @@ def _first_merge(met: DataFrame, verified) -> tuple[DataFrame, DataFrame, DataFr
     first = met.join(top, "band").filter("rank <> top").groupBy("node").agg(F.max("top").alias("top"))
     tested = written(first.select(F.least("node", -F.col("top.order")).alias("a"), F.greatest("node", -F.col("top.order")).alias("b")).distinct(), "candidates")
     merge = connected(verified(tested))
-    return merge, _open_buckets(met, merge), tested
+    return merge, _open_buckets(met.select("band", "node", F.col("node").alias("label")), merge), tested
+
 
+def _last_merges(state: DataFrame, tested: DataFrame, bag: DataFrame, threshold: float) -> list[DataFrame]:
+    """The merges (id, label) by what was not tested at first: afterwards every candidate pair is in one class, tested or
+    excluded by its bound.
 
-def _last_merge(state: DataFrame, tested: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
-    """The merge (id, label) by what was not tested at first: afterwards every candidate pair is in one class, tested or
-    excluded by its bound."""
-    todo = written(_rest(state, bag, threshold).join(tested, ["a", "b"], "left_anti"), "candidates")
-    return connected(_verified(todo, bag, threshold).join(todo, ["a", "b"]).select("label_a", "label_b"), "label_a", "label_b")
+    As the bound is seldom far from the similarity, links that connect the classes of each two blocks are verified first,
+    which are no more than there are members. The pairs that are still in different classes then are all verified.
+    """
+    merges = []
+    for forest in (True, False):
+        todo = written(_rest(state, bag, threshold, forest).join(tested, ["a", "b"], "left_anti"), "candidates")
+        merges.append(connected(_verified(todo, bag, threshold).join(todo, ["a", "b"]).select("label_a", "label_b"), "label_a", "label_b"))
+        if forest:
+            tested, state = tested.union(todo.select("a", "b")), _open_buckets(state, merges[0])
+            if state.isEmpty():
+                break
+    return merges
 
 
 def _bags_of(work: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -316,10 +353,10 @@ def _bags_of(work: DataFrame, nodes: DataFrame) -> DataFrame:
     return written(found.groupBy("node").agg(F.first("text").alias("text")).select(F.col("node").alias("id"), _bag("text").alias("bag")), "bags")
 
 
-def _open_buckets(met: DataFrame, merge: DataFrame) -> DataFrame:
-    """The members of buckets with their labels (band, node, label): those of all buckets that hold several classes."""
-    new = met.select("band", "node").join(merge.withColumnRenamed("id", "node"), "node", "left")
-    named = written(new.select("band", "node", F.coalesce("label", "node").alias("label")), "named")
+def _open_buckets(state: DataFrame, merge: DataFrame) -> DataFrame:
+    """The members of buckets (band, node, label) under merged labels: those of all buckets that hold several classes."""
+    new = state.join(merge.select(F.col("id").alias("label"), F.col("label").alias("new")), "label", "left")
+    named = written(new.select("band", "node", F.coalesce("new", "label").alias("label")), "named")
     live = written(named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter(F.col("x") < F.col("y")).select("band"), "live")
     return written(named.join(live, "band"), "buckets")
 

@@ -171,7 +171,7 @@ def test_buckets_that_only_a_later_link_makes_interesting(spark):
     table = bag_table(spark, sets)
     met = bucket_rows(spark, [(h, t, s, x, y), (t, s, x), (t, s, y), (x, y, z)], [100, 90, 80, 70, 60, 50])
     merge, state, tested = neardup._first_merge(met, lambda pairs: neardup._verified(pairs, table, 0.8))
-    assert merged(spark, [merge, neardup._last_merge(state, tested, table, 0.8)], 6) == [h, t, t, t, t, t]
+    assert merged(spark, [merge, *neardup._last_merges(state, tested, table, 0.8)], 6) == [h, t, t, t, t, t]
 
 
 def test_links_among_lower_classes_of_a_bucket(spark):
@@ -196,7 +196,7 @@ def test_links_among_lower_classes_of_a_bucket(spark):
     assert 20 < len(set(want)) < 80
     merge, state, tested = neardup._first_merge(met, lambda pairs: neardup._verified(pairs, table, 0.8))
     assert merged(spark, [merge], 80) != want  # the first links alone miss some
-    assert merged(spark, [merge, neardup._last_merge(state, tested, table, 0.8)], 80) == want
+    assert merged(spark, [merge, *neardup._last_merges(state, tested, table, 0.8)], 80) == want
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(documents(spark, texts)).collect()}
     assert [got[k] for k in range(80)] == want
 
