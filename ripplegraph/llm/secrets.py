@@ -35,7 +35,8 @@ PATTERNS = {  # kind: pattern, whose group 1 is the value where there is one
     "hex": "([0-9a-f]{32,})",
     "identifier": f"(?:{either_case('client_?id|access_?key_?id|user_?name|user|login|account|tenant|app_?id')}){_IS}([A-Za-z0-9@._-]{{3,}})",
     "weak_secret": f"(?:{either_case('pass|pwd|private_?key|auth|credential|signature|bearer')}){_IS}([A-Za-z0-9+/_.=-]{{4,}})",
-    "endpoint": r"""((?:[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D"'<>]+)|(?:[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}))""",
+    # No group is repeated (the matcher would take a stack frame a time), and what stands before the colon is of bounded length.
+    "endpoint": r"""([a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D"'<>]+|[a-z0-9-]{1,63}\.[a-z0-9.-]{0,252}[a-z0-9-]:[0-9]{2,5})""",
 }
 #: Only texts that hold one of these are searched for the pattern; each is part of every match.
 NEEDED = {"assign": None, "access": "AKIA", "hex": None, "identifier": None, "weak_secret": None, "endpoint": ":"}
