@@ -9,6 +9,7 @@ lengths, so no task holds more than a block or the list of blocks.
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -21,6 +22,9 @@ from ..session import written
 from .common import table, text_or_empty
 
 BLOCK = 1024
+#: The encoder's matcher keeps a state for each white-space character of a run and gives up at a million of them.
+LONG_RUN = 10_000
+_LONG_RUN = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_RUN},}}")
 
 
 @lru_cache(2)
@@ -31,15 +35,35 @@ def _encoding(ranks: bytes, pattern: str):
     return tiktoken.Encoding("lengths", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
+def n_tokens(encoding, text: str) -> int:
+    """Tokens of a text under a pattern with the alternatives \\s+(?!\\S) and \\s+ for runs of white space.
+
+    There a run of two or more is a piece of its own, but for its last character where something else follows. So the text
+    is cut around very long runs, and these are encoded as the pieces that they are.
+    """
+    total = at = 0
+    if len(text) >= LONG_RUN:
+        for m in _LONG_RUN.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            total += len(encoding.encode_ordinary(text[at : m.start()])) + len(encoding._encode_single_piece(text[m.start() : end]))
+            at = end
+    return total + len(encoding.encode_ordinary(text[at:] if at else text))
+
+
 def counter(spark: SparkSession, ranks_path: str, pattern: str):
-    """A function of a text column: its number of tokens under a file of byte-pair ranks. Null counts as empty, 0."""
+    """A function of a text column: its number of tokens under a file of byte-pair ranks. Null counts as empty, 0.
+
+    The pattern must end in \\s+(?!\\S)|\\s+, as those of the public byte-pair files do (see n_tokens).
+    """
+    if not pattern.endswith(r"|\s+(?!\S)|\s+"):
+        raise ValueError("a pattern that treats white space in another way")
     with open(ranks_path, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())
 
     @F.arrow_udf("bigint")
     def count(texts: pa.Array) -> pa.Array:
-        encode = _encoding(ranks.value, pattern).encode_ordinary
-        return pa.array(np.fromiter((len(encode(t.as_py() or "")) for t in texts), np.int64, len(texts)))
+        encoding = _encoding(ranks.value, pattern)
+        return pa.array(np.fromiter((n_tokens(encoding, t.as_py() or "") for t in texts), np.int64, len(texts)))
 
     return count
 
