@@ -14,7 +14,7 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections import deque
+from collections import Counter, deque
 from functools import cache
 
 import numpy as np
@@ -57,16 +57,26 @@ ROLE_OF_WORD = {
 _BIT = {r: 1 << i for i, r in enumerate(ROLES)}
 _WORDS = {w: _BIT[r] for r, words in ROLE_OF_WORD.items() for w in words.split()}
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|[!?][^>]*>|/[^>]*>)""", re.S)
+# An unquoted < ends a tag that was not closed, so no search runs over the same text again and again.
+_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/<>"']*+)((?:[^<>"']++|"[^"]*"|'[^']*')*+)>|[!?][^<>]*+>|/[^<>]*+>)""", re.S)
 _ATTR = re.compile(r"""(?:^|[\s/"'])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""", re.I)
-_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in SKIPPED}
+_END = {t: re.compile(rf"</{t}(?=[\s/>])[^<>]*+>", re.I) for t in SKIPPED}
+
+
+class Element:
+    """An open or closed element: its tag, the roles of it and of those above, its parent and how deep it is."""
+
+    __slots__ = ("depth", "mask", "parent", "tag")
+
+    def __init__(self, tag: str, mask: int, parent: Element | None):
+        self.tag, self.mask, self.parent, self.depth = tag, mask, parent, parent.depth + 1 if parent else 1
 
 
 class Block:
-    __slots__ = ("depth", "links", "mask", "parent", "path", "tag", "text")
+    __slots__ = ("element", "links", "text")
 
-    def __init__(self, text, tag, mask, path, links):
-        self.text, self.tag, self.mask, self.path, self.links = text, tag, mask, path, links
+    def __init__(self, text: str, element: Element, links: float):
+        self.text, self.element, self.links = text, element, links
 
 
 def _role(tag: str, attributes: str) -> int:
@@ -87,16 +97,17 @@ def _role(tag: str, attributes: str) -> int:
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order. Unclosed and misplaced tags are taken as browsers mostly take them; whatever is no tag is text."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, roles here and above, number of the element
+    stack = [Element("", 0, None)]
+    opened: Counter[str] = Counter()  # how many elements of a tag are open
     held: list[str] = []
-    links, in_link, number, at = 0, False, 0, 0
+    links, in_link, at = 0, False, 0
 
     def flush() -> None:
         nonlocal links
         if held:
             text = " ".join("".join(held).split())
             if text:
-                out.append(Block(text, stack[-1][0], stack[-1][1], tuple(s[2] for s in stack), min(1.0, links / len(text))))
+                out.append(Block(text, stack[-1], min(1.0, links / len(text))))
             held.clear()
             links = 0
 
@@ -107,6 +118,11 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 links += len(held[-1])
 
+    def close() -> str:
+        tag = stack.pop().tag
+        opened[tag] -= 1
+        return tag
+
     while m := _TAG.search(page, at):
         say(page[at : m.start()])
         at, tag = m.end(), m[2]
@@ -116,9 +132,8 @@ def blocks(page: str) -> list[Block]:
         if not m[1] and tag in SKIPPED and not m[3].endswith("/"):
             if tag == "head":
                 continue  # its own elements are skipped one by one
-            if tag != "title" or True:
-                end = _END[tag].search(page, at)
-                at = end.end() if end else len(page)
+            end = _END[tag].search(page, at)
+            at = end.end() if end else len(page)
             if tag in BLOCKS:
                 flush()
             continue
@@ -130,18 +145,16 @@ def blocks(page: str) -> list[Block]:
             flush()
             in_link = False
             if m[1]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                while opened[tag] and close() != tag:
+                    pass
             elif tag not in VOID:
-                if stack[-1][0] == "p" or stack[-1][0] in HEADINGS and tag in HEADINGS:
-                    stack.pop()
+                if stack[-1].tag == "p" or stack[-1].tag in HEADINGS and tag in HEADINGS:
+                    close()
                 for _ in range(2):
-                    if stack[-1][0] in CLOSES.get(tag, ()):
-                        stack.pop()
-                number += 1
-                stack.append((tag, stack[-1][1] | _role(tag, m[3]), number))
+                    if stack[-1].tag in CLOSES.get(tag, ()):
+                        close()
+                stack.append(Element(tag, stack[-1].mask | _role(tag, m[3]), stack[-1]))
+                opened[tag] += 1
     say(page[at:])
     flush()
     return out
@@ -150,7 +163,8 @@ def blocks(page: str) -> list[Block]:
 def features(b: Block) -> tuple:
     """What the classifier sees of a block: roles, element, and coarse measures of its text."""
     words = b.text.count(" ") + 1
-    return b.mask, b.tag if b.tag in ("p", "li", "td", "h1", "h2", "h3") else "other", min(int(words).bit_length(), 7), round(3 * b.links), b.text[-1] in ".!?…\"”»", len(b.path) > 6
+    e = b.element
+    return e.mask, e.tag if e.tag in ("p", "li", "td", "h1", "h2", "h3") else "other", min(int(words).bit_length(), 7), round(3 * b.links), b.text[-1] in ".!?…\"”»", e.depth > 6
 
 
 def _vector(f: tuple) -> np.ndarray:
@@ -277,14 +291,17 @@ class MinimumCut:
                         break
 
 
-def _apart(a: Block, b: Block) -> int:
-    """Elements between two blocks in the tree."""
-    shared = 0
-    for x, y in zip(a.path, b.path):
-        if x != y:
-            break
-        shared += 1
-    return len(a.path) + len(b.path) - 2 * shared
+def _apart(a: Element, b: Element) -> int:
+    """Elements between two elements in the tree. Of neighbouring blocks these were opened or closed between them, so all
+    distances of a page take time in proportion to its tags."""
+    steps = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+        steps += 1
+    return steps
 
 
 class Extractor:
@@ -303,11 +320,11 @@ class Extractor:
 
     def labels(self, found: list[Block]) -> list[bool]:
         cut = MinimumCut([self.odds(b) for b in found])
-        last: dict[int, int] = {}  # of each element, the last block in one of its children or itself
+        last: dict[Element, int] = {}  # of each element, the last block in one of its children or itself
         for i, b in enumerate(found):
             if i:
-                cut.join(i - 1, i, self.adjacent / (1 + 0.5 * _apart(found[i - 1], b)))
-            element = b.path[-2] if len(b.path) > 1 else b.path[-1]
+                cut.join(i - 1, i, self.adjacent / (1 + 0.5 * _apart(found[i - 1].element, b.element)))
+            element = b.element.parent or b.element
             if element in last:
                 cut.join(last[element], i, self.sibling)
             last[element] = i
