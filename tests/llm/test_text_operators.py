@@ -239,19 +239,81 @@ def test_personal_model_held_out():
     assert hit / found > 0.9 and hit / there > 0.9
 
 
-def test_semi_markov_programme_by_brute_force():
-    """The labelling is the best among all sets of disjoint candidate segments."""
-    model = pii.trained()
-    for text in ["call +1 (212) 555-0100 or 10.0.0.1 now", "Name: Anna Berg, born 1.2.1970", "a 1 b 22 c"]:
-        line = pii.Line(text)
-        scored = [(i, j, max(sum(model.weights.get((k, f), 0.0) for f in line.features(i, j)) for k in pii.KINDS)) for i, j in line.candidates()]
-        scored = [x for x in scored if x[2] > 0]
+def segmentations(model, line, scored):
+    """All segmentations with their scores: lists of (first, end, kind) with tokens outside in between."""
+    n, out = len(line.tokens), pii.OUTSIDE
+
+    def rest(at, last):
+        if at == n:
+            yield model.moves[last][out], ()
+            return
+        for score, tail in rest(at + 1, out):
+            yield model.moves[last][out] + score, tail
+        for i, j, kind, own in scored:
+            if i == at:
+                for score, tail in rest(j, kind):
+                    yield model.moves[last][kind] + own + score, ((i, j, pii.KINDS[kind]), *tail)
+
+    return list(rest(0, out))
+
 
-        def best(at, scored=scored):
-            return max([0.0] + [s + best(j) for i, j, s in scored if i >= at])
+def scored_segments(model, line):
+    rows = [(i, j, [model.weights[f] for f in line.features(i, j) if f in model.weights]) for i, j in line.candidates()]
+    return [(i, j, k, sum(w[k] for w in some)) for i, j, some in rows for k in range(pii.OUTSIDE)]
 
-        value = {(i, j): s for i, j, s in scored}
-        assert abs(sum(value[i, j] for i, j, _ in model.best(line)) - best(0)) < 1e-9
+
+def test_semi_markov_programme_by_brute_force():
+    """The labelling is the best among all segmentations, also where none of its kinds is pruned."""
+    rng = random.Random(4)
+    for model in (pii.trained(), pii.Model(pii.trained().weights, [[rng.uniform(-3, 3) for _ in range(pii.OUTSIDE + 1)] for _ in range(pii.OUTSIDE + 1)])):
+        for text in ["+1 2125550100 or 10.0.0.1", "Mr Anna Berg, 1.2.1970", "a 1 b 22 c", "12-34 56"]:
+            line = pii.Line(text)
+            every = segmentations(model, line, scored_segments(model, line))
+            best = max(score for score, _ in every)
+            got = tuple(model.best(line))
+            assert abs(max(score for score, x in every if x == got) - best) < 1e-9
+
+
+def test_forward_backward_by_brute_force():
+    rng, number = random.Random(6), {}
+    for text in ["Mr Al 1.2.1970", "a@b 1234 x", "nothing here"]:
+        lesson = pii.Lesson(text, [], number)
+        scores = np.array([[rng.uniform(-1, 1) for _ in range(pii.OUTSIDE)] for _ in lesson.segments]).reshape(-1, pii.OUTSIDE)
+        moves = np.array([[rng.uniform(-1, 1) for _ in range(pii.OUTSIDE + 1)] for _ in range(pii.OUTSIDE + 1)])
+        p, follow, total = lesson.expected(scores, moves)
+        model, line = pii.Model({}, moves.tolist()), pii.Line(text)
+        every = segmentations(model, line, [(i, j, k, scores[n, k]) for n, (i, j) in enumerate(lesson.segments) for k in range(pii.OUTSIDE)])
+        want = np.logaddexp.reduce([s for s, _ in every])
+        assert abs(total - want) < 1e-9
+        for n, (i, j) in enumerate(lesson.segments):
+            for k in range(pii.OUTSIDE):
+                share = sum(np.exp(s - want) for s, x in every if (i, j, pii.KINDS[k]) in x)
+                assert abs(p[n, k] - share) < 1e-9
+        assert abs(follow.sum() - 1 - sum(np.exp(s - want) * (lesson.n - sum(j - i - 1 for i, j, _ in x)) for s, x in every)) < 1e-9
+
+
+def test_parts_of_a_text_give_what_the_whole_does():
+    model, rng = pii.trained(), random.Random(5)
+    for _ in range(300):
+        text = ""
+        for _ in range(rng.randint(1, 6)):
+            filler = " ".join("w" * rng.randint(1, 30) for _ in range(rng.randint(0, 60)))
+            text += pii.made_up(rng)[0] + rng.choice([" ", "\n", f" {filler} ", " Mr ", " 1 ", "straße 5 ", "@", " 12 " + "A" * 90 + " Street "])
+        base, line = pii.base_spans(text), pii.Line(text)
+        whole = [(line.tokens[i][0], line.tokens[j - 1][1], k) for i, j, k in model.best(line)]
+        whole = [x for x in whole if not any(a < x[1] and x[0] < b for a, b, _ in base)]
+        assert sorted(pii.all_spans(text, model)[1]) == sorted(base + whole)
+
+
+def test_personal_examples():
+    model = pii.trained()
+    spans = lambda text: {(text[s:e], k) for s, e, k in pii.all_spans(text, model)[1]}
+    long = "A" + "b" * 70
+    assert spans(f"12 {long} Street") == {(f"12 {long} Street", "address")}
+    assert spans("born " + "x" * 90 + " 1.2.1970") == {("1.2.1970", "birthdate")}
+    assert spans("Mr Anna Maria Berg met us") == {("Anna Maria Berg", "person")}
+    assert spans("call (212) 555-0100; DE89 3704 0044 0532 0130 00, 5 Elm St") == {("(212) 555-0100", "phone"), ("DE89 3704 0044 0532 0130 00", "iban"), ("5 Elm St", "address")}
+    assert not spans("in 2019 about 12345 people, 3.14 or 1999-2003, CC BY 4.0, v1.2.3, page 12 of 300")
 
 
 def test_personal_frame(spark):
