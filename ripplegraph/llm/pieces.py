@@ -2,9 +2,9 @@
 
 A sequence of vocabulary tokens is the BPE encoding of its text exactly when every pair of adjacent tokens is:
 when merging the text of the two from single characters anew gives these two tokens again. So the encoder walks
-from left to right: an Aho-Corasick automaton gives the longest match at the position reached (and with its path
-the shorter ones), the longest compatible one is taken, and where none fits the walk goes back to the last token
-and shortens it. As the
+from left to right: one pass of an Aho-Corasick automaton over the text has listed the longest match at each position; the
+longest compatible prefix of it that is a token is taken, and where none fits the walk goes back to the last token and
+shortens it. As the
 encoding of a prefix is unique, a position from which no token fits can be no token boundary at all; a bit field
 remembers such positions, so no position is tried twice.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -63,9 +64,10 @@ class Encoder:
 
         self.v = vocabulary
         self.automaton = ahocorasick.Automaton()
-        for piece in vocabulary.ids:
-            self.automaton.add_word(piece, len(piece))
-        self.automaton.make_automaton()
+        for number, piece in enumerate(sorted(vocabulary.ids)):
+            self.automaton.add_word(piece, number)
+        if vocabulary.ids:
+            self.automaton.make_automaton()
         long = [p for p in vocabulary.ids if len(p) > 1]
         joined = sorted({c for p in long for c in p} - {MARK})
         pairs = {(a, b) for p in long for a, b in zip(p, p[1:])}
@@ -79,7 +81,6 @@ class Encoder:
         alone = f"[^{''.join(map(re.escape, joined))}{MARK}]"
         self.segments = re.compile(f"{MARK}*(?:{body})|{MARK}+|{alone}" if self.split_at_space else f"{body}|{alone}")
         self.pair: dict[tuple[str | None, str], bool] = {}
-        self.reach = max(map(len, vocabulary.ids), default=1)
         self.seen = _Recent(self.fresh, SEGMENTS)
         self.prefixes: dict[str, list[int]] = {}
         self.word = _Recent(self.word_ids, RECENT)
@@ -118,7 +119,7 @@ class Encoder:
         return ok
 
     def lengths(self, token: str) -> list[int]:
-        """Lengths of the tokens that this path of the automaton holds, in ascending order; one character always is a token."""
+        """Lengths of the prefixes of a match that are tokens, in ascending order; one character always is a token."""
         ids = self.v.ids
         if len(self.prefixes) > 200_000:
             self.prefixes.clear()
@@ -133,10 +134,11 @@ class Encoder:
         failed = bytearray(size // 8 + 1)
         out: list[str] = []
         tried: list[int] = []  # for each token so far, which of the options at its start it was
-        pair, prefixes, longest = self.pair, self.prefixes, self.automaton.longest_prefix
+        pair, prefixes = self.pair, self.prefixes
+        lengths = np.append(self.tables.length, 1)[self.tables.longest(text)].tolist()  # a character that is no token stands alone
         at, left, shorter, tried_here = 0, None, -1, False
         while at < size:
-            match = text[at : at + (longest(text[at : at + self.reach]) or 1)]
+            match = text[at : at + lengths[at]]
             options = prefixes.get(match) or self.lengths(match)
             option = shorter if tried_here else len(options) - 1
             while option >= 0:
@@ -168,9 +170,9 @@ class Encoder:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = np.cumsum(sizes)
         begin = ends - sizes
-        text_end = np.repeat(ends, sizes)
-        longest = t.longest(np.frombuffer(joined.encode("utf-32-le"), np.uint32), text_end)
         total = len(joined)
+        # No token holds the character in between, so no match crosses from one text into the next.
+        longest = t.longest(t.between.join(texts) + t.between)[np.arange(total) + np.repeat(np.arange(len(texts)), sizes)]
         failed = np.zeros(total + 1, np.bool_)
         chosen = np.full(total, -1, np.int32)  # the token that starts here, if one does
         came = np.full(total + 1, -1, np.int64)  # the start of the token that ends here
@@ -335,67 +337,29 @@ class _Tables:
         self.shorter = np.array([next((number[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in number), -1) for p in self.text], np.int32)
         singles = {p for p in self.text if len(p) == 1}
         self.singles = re.compile(f"[{''.join(map(re.escape, sorted(singles)))}]*") if singles else None
-        self.number, self.automaton = number, e.automaton
+        self.automaton = e.automaton
         # pairs known to fit or not, in a table with one place for each hash
         self.key = np.full(self.SLOTS, -1, np.int64)
         self.value = np.zeros(self.SLOTS, np.bool_)
-        # the automaton's trie as a hash table of (node, character): next node
-        self._trie()
+        held = {c for p in self.text for c in p}
+        self.between = next(c for c in map(chr, range(1, 0x110000)) if c not in held)
 
     def simple(self, text: str) -> bool:
         return self.singles is not None and self.singles.fullmatch(text) is not None
 
-    def _trie(self) -> None:
-        nodes, token = {"": 0}, [-1]
-        for p in self.text:  # sorted, so a prefix comes first
-            for k in range(1, len(p) + 1):
-                if p[:k] not in nodes:
-                    nodes[p[:k]] = len(token)
-                    token.append(self.number.get(p[:k], -1))
-        characters = sorted({c for p in self.text for c in p})
-        self.char = np.full(0x110000, len(characters) + 1, np.int64)
-        self.char[[ord(c) for c in characters]] = np.arange(1, len(characters) + 1)
-        self.width = len(characters) + 2
-        keys = np.array([nodes[p[:-1]] * self.width + self.char[ord(p[-1])] for p in nodes if p], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.next = keys[order], np.array([n for p, n in nodes.items() if p], np.int64)[order]
-        self.token = np.array(token, np.int32)
-        self.place = np.zeros(self.SLOTS + 1, np.int64)  # where the keys of each hash begin, keys being ordered by hash
-        h = self._hash(self.keys)
-        order = np.argsort(h, kind="stable")
-        self.keys, self.next, h = self.keys[order], self.next[order], h[order]
-        self.place = np.searchsorted(h, np.arange(self.SLOTS + 1))
-        self.most = int(np.diff(self.place).max())
-
     def _hash(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
-    def _child(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
-        key = node * self.width + char
-        at = self.place[self._hash(key)]
-        out = np.full(len(key), -1, np.int64)
-        for k in range(self.most):
-            p = np.minimum(at + k, len(self.keys) - 1)
-            hit = self.keys[p] == key
-            out[hit] = self.next[p[hit]]
-        return out
+    def longest(self, text: str) -> np.ndarray:
+        """The longest token that starts at each position (-1: none), from one pass of the automaton.
 
-    def longest(self, codes: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The longest token that starts at each position and stays before end."""
-        char = self.char[codes]
-        out = np.full(len(codes), -1, np.int32)
-        at, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
-        depth = 0
-        while len(at):
-            node = self._child(node, char[at + depth])
-            on = node >= 0
-            at, node = at[on], node[on]
-            token = self.token[node]
-            whole = token >= 0
-            out[at[whole]] = token[whole]
-            depth += 1
-            inside = at + depth < end[at]
-            at, node = at[inside], node[inside]
+        It reports tokens by their ends, so of those with one start the last is the longest.
+        """
+        out = np.full(len(text), -1, np.int32)
+        if self.text:
+            flat = np.fromiter(chain.from_iterable(self.automaton.iter(text)), np.int64)
+            end, token = flat[::2], flat[1::2]
+            out[end + 1 - self.length[token]] = token
         return out
 
     def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
