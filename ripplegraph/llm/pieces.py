@@ -65,8 +65,9 @@ class Encoder:
         self.v = vocabulary
         self.automaton = ahocorasick.Automaton()
         for number, piece in enumerate(sorted(vocabulary.ids)):
-            self.automaton.add_word(piece, number)
-        if vocabulary.ids:
+            if len(piece) > 1:  # tokens of one character are looked up
+                self.automaton.add_word(piece, number)
+        if len(self.automaton):
             self.automaton.make_automaton()
         long = [p for p in vocabulary.ids if len(p) > 1]
         joined = sorted({c for p in long for c in p} - {MARK})
@@ -342,6 +343,8 @@ class _Tables:
         self.key = np.full(self.SLOTS, -1, np.int64)
         self.value = np.zeros(self.SLOTS, np.bool_)
         held = {c for p in self.text for c in p}
+        self.single = np.full(0x110000, -1, np.int32)
+        self.single[[ord(p) for p in self.text if len(p) == 1]] = [number[p] for p in self.text if len(p) == 1]
         self.between = next(c for c in map(chr, range(1, 0x110000)) if c not in held)
 
     def simple(self, text: str) -> bool:
@@ -355,8 +358,8 @@ class _Tables:
 
         It reports tokens by their ends, so of those with one start the last is the longest.
         """
-        out = np.full(len(text), -1, np.int32)
-        if self.text:
+        out = self.single[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        if len(self.automaton):
             flat = np.fromiter(chain.from_iterable(self.automaton.iter(text)), np.int64)
             end, token = flat[::2], flat[1::2]
             out[end + 1 - self.length[token]] = token
