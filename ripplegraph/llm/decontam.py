@@ -10,11 +10,14 @@ shorter item. Consistent are all of them, or a run of neighbouring ones, or thos
 (all or a run), or those whose slots have the item's own values: an altered value elsewhere does not excuse a passage.
 
 A token is a run of letters or of digits (with points and commas between digits); case and all other characters do
-not matter. A number is a run of digits, a unit one of UNITS right after a number, a name a capitalised word that
-does not open a sentence (a word all in capitals is none). As a capital may have other reasons, each window is also
-read with its names as plain words, and either reading may match. Windows with less than half plain words are no
-evidence in these readings. In a third one, of windows with a number or unit, every token stands for itself, so that
-verbatim passages match whatever they consist of.
+not matter. A number is a run of digits, a unit one of UNITS right after a number, a name a run of capitalised words
+within a sentence (a word all in capitals is none): one placeholder, so that a name of two words can stand for one of one. As a
+capital may have other reasons, the first word of a sentence is read as a name too, and each text is also read with names as plain words; either
+reading may match. Windows with less than half plain words are no evidence in these readings. In a third one, of windows with
+a number or unit, every token stands for itself, so that verbatim passages match whatever they consist of.
+
+Null texts match nothing, nor do items of less than SHORTEST tokens. An item in which a window of tokens is repeated n times
+meets a text that repeats it m times in n x m rows.
 """
 
 from __future__ import annotations
@@ -45,13 +48,15 @@ UNITS = (
 ).split()
 
 WORD, NUMBER, NAME, UNIT = 0, 1, 2, 3
-#: The kinds that are slots: with names, with names as plain words, and verbatim.
+#: The kinds that are slots: with names (over words or runs of names), with names as plain words, and verbatim (over words).
 READINGS = ((NUMBER, NAME, UNIT), (NUMBER, UNIT), ())
 
 _ITEM = T.StructType([
     T.StructField("item_id", T.LongType()),
     T.StructField("item_key", T.LongType()),
     T.StructField("item_windows", T.IntegerType()),
+    T.StructField("named", T.BooleanType()),
+    T.StructField("windows", T.IntegerType()),
     T.StructField("template_windows", T.IntegerType()),
     T.StructField("template", T.BooleanType()),
     T.StructField("item_pos", T.IntegerType()),
@@ -84,73 +89,80 @@ _SLOT_HASH = mix(np.array([11, 12, 13, 14], np.uint64))
 
 
 class Tokens:
-    """The tokens of several texts: hashes, kinds, template hashes, and the text of each."""
-
-    def __init__(self, texts: list[str]):
-        codes, starts = code_points(texts)
-        kind = letters()[codes].view(np.uint8) + 2 * digits()[codes].view(np.uint8)
-        point = np.flatnonzero((codes == ord(".")) | (codes == ord(",")))
-        kind[point[(kind[point - 1] == 2) & (kind[point + 1] == 2)]] = 2
-        change = np.flatnonzero(kind[1:] != kind[:-1]) + 1
-        begin = change[kind[change] != 0]
-        end = change[kind[change - 1] != 0]
-        low, upper = _folding()
-        self.value = run_hashes(low[codes], begin, end)
-        self.text = np.searchsorted(starts, begin, side="right") - 1
-        self.kind = np.where(kind[begin] == 2, NUMBER, WORD).astype(np.int8)
-        breaks = np.isin(codes, np.array([ord(x) for x in ".!?\n"], np.uint32)) & (kind == 0)
-        upto = np.concatenate(([0], np.cumsum(breaks)))
-        last = np.concatenate(([0], end[:-1]))
-        opens = upto[begin] > upto[last]
-        capitalised = upper[codes[begin]] & (end - begin > 1) & ~upper[codes[begin + 1]]
-        if len(begin):
-            self.kind[capitalised & ~opens & (self.kind == WORD)] = NAME
-            after = np.concatenate(([False], (self.kind[:-1] == NUMBER) & (self.text[1:] == self.text[:-1])))
-            maybe = np.flatnonzero(after & (self.kind != NUMBER))
-            self.kind[maybe[np.isin(self.value[maybe], _unit_hashes())]] = UNIT
-        self.bounds = np.searchsorted(self.text, np.arange(len(texts) + 1))
-
-    def windows(self, size: int) -> list[tuple[np.ndarray, np.ndarray, tuple[int, ...]]]:
-        """For each reading: positions at which windows of this size within one text start, their hashes, and the kinds
-        that are slots. Only windows that are evidence; in the second reading only those with a name, in the third
-        those with a number or unit."""
+    """A sequence of tokens of several texts: hashes, kinds, the text of each and where each text begins."""
+
+    def __init__(self, value: np.ndarray, kind: np.ndarray, text: np.ndarray, texts: int):
+        self.value, self.kind, self.text = value, kind, text
+        self.bounds = np.searchsorted(text, np.arange(texts + 1))
+
+    def windows(self, size: int, slots: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Positions at which windows of this size within one text start that are evidence, and their hashes."""
         n = len(self.value) - size + 1
         if n <= 0:
-            return []
-        out, whole = [], self.text[:n] == self.text[size - 1 :]
-        for slots in READINGS:
-            free = np.isin(self.kind, slots)
-            template = np.where(free, _SLOT_HASH[self.kind], self.value)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        free = np.isin(self.kind, slots)
+        template = np.where(free, _SLOT_HASH[self.kind], self.value)
+        at = self.text[:n] == self.text[size - 1 :]
+        if slots:
             upto = np.concatenate(([0], np.cumsum(~free)))
-            at = whole & (2 * (upto[size:] - upto[:-size]) >= size)
-            if slots != READINGS[0]:
-                special = self.kind == NAME if slots else (self.kind == NUMBER) | (self.kind == UNIT)
-                upto = np.concatenate(([0], np.cumsum(special)))
-                at &= upto[size:] > upto[:-size]
-            at = np.flatnonzero(at)
-            h = np.full(len(at), size, np.uint64)
-            for k in range(size):
-                h = h * np.uint64(0x9E3779B97F4A7C15) + template[at + k]
-            out.append((at, mix(h), slots))
-        return out
+            at &= 2 * (upto[size:] - upto[:-size]) >= size
+        else:
+            upto = np.concatenate(([0], np.cumsum((self.kind == NUMBER) | (self.kind == UNIT))))
+            at &= upto[size:] > upto[:-size]
+        at = np.flatnonzero(at)
+        h = np.full(len(at), 2 * size + (NAME in slots), np.uint64)
+        for k in range(size):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + template[at + k]
+        return at, mix(h)
 
     def slots(self, at: int, size: int, kinds: tuple[int, ...]) -> list[dict]:
         return [{"k": int(self.kind[i]), "v": int(self.value[i].astype(np.int64))} for i in range(at, at + size) if self.kind[i] in kinds]
 
 
+def tokens(texts: list[str]) -> tuple[Tokens, Tokens]:
+    """The tokens of several texts, with each run of names within a sentence as one, and with all words apart."""
+    codes, starts = code_points(texts)
+    kind = letters()[codes].view(np.uint8) + 2 * digits()[codes].view(np.uint8)
+    point = np.flatnonzero((codes == ord(".")) | (codes == ord(",")))
+    kind[point[(kind[point - 1] == 2) & (kind[point + 1] == 2)]] = 2
+    change = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+    begin = change[kind[change] != 0]
+    end = change[kind[change - 1] != 0]
+    low, upper = _folding()
+    value = run_hashes(low[codes], begin, end)
+    text = np.searchsorted(starts, begin, side="right") - 1
+    what = np.where(kind[begin] == 2, NUMBER, WORD).astype(np.int8)
+    joined = np.zeros(len(begin), np.bool_)
+    if len(begin):
+        what[upper[codes[begin]] & (end - begin > 1) & ~upper[codes[begin + 1]] & (what == WORD)] = NAME
+        after = np.concatenate(([False], (what[:-1] == NUMBER) & (text[1:] == text[:-1])))
+        maybe = np.flatnonzero(after & (what != NUMBER))
+        what[maybe[np.isin(value[maybe], _unit_hashes())]] = UNIT
+        breaks = np.concatenate(([0], np.cumsum(np.isin(codes, np.array([ord(x) for x in ".!?\n"], np.uint32)) & (kind == 0))))
+        joined[1:] = (what[1:] == NAME) & (what[:-1] == NAME) & (text[1:] == text[:-1]) & (breaks[begin[1:]] == breaks[end[:-1]])
+    first = np.flatnonzero(~joined)
+    place = (np.arange(len(begin)) - np.repeat(first, np.diff(np.append(first, len(begin))))).astype(np.uint64)
+    names = np.add.reduceat(np.where(place > 0, mix(value + place), value), first) if len(first) else value
+    return Tokens(names, what[first], text[first], len(texts)), Tokens(value, what, text, len(texts))
+
+
 def _item_windows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for item, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                t = Tokens([text or ""])
-                own = min(size, len(t.value))
-                if own < SHORTEST:
+                named, plain = tokens([text or ""])
+                if len(plain.value) < SHORTEST:
                     continue
-                # Of verbatim windows the values are kept too, as each stands for itself.
-                found = [(int(a), int(x), t.slots(a, own, kinds or READINGS[0]), bool(kinds)) for at, h, kinds in t.windows(own) for a, x in zip(at, h.view(np.int64))]
-                usable = len({a for a, _, _, template in found if template})
-                rows += [(item, key, len(t.value) - own + 1, usable, template, a, x, slots, own) for a, x, slots, template in found]
+                own = min(size, len(plain.value))
+                for t, readings in ((named, READINGS[:1]), (plain, READINGS[1:])):
+                    if len(t.value) < min(own, SHORTEST):
+                        continue
+                    width = min(own, len(t.value))
+                    # Of verbatim windows the values are kept too, as each stands for itself.
+                    found = [(int(a), int(x), t.slots(a, width, kinds or READINGS[0]), bool(kinds)) for kinds in readings for a, x in zip(*(v.view(np.int64) for v in t.windows(width, kinds)))]
+                    usable = len({a for a, _, _, template in found if template})
+                    rows += [(item, key, len(plain.value) - own + 1, t is named, len(t.value) - width + 1, usable, template, a, x, slots, width) for a, x, slots, template in found]
             yield pa.RecordBatch.from_pylist([dict(zip([*_ITEM.names, "size"], r)) for r in rows], schema=_arrow_items())
 
     return run
@@ -158,7 +170,7 @@ def _item_windows(size: int):
 
 def _arrow_items() -> pa.Schema:
     slot = pa.list_(pa.struct([("k", pa.int32()), ("v", pa.int64())]))
-    return pa.schema([("item_id", pa.int64()), ("item_key", pa.int64()), ("item_windows", pa.int32()), ("template_windows", pa.int32()), ("template", pa.bool_()), ("item_pos", pa.int32()), ("h", pa.int64()), ("item_slots", slot), ("size", pa.int32())])
+    return pa.schema([("item_id", pa.int64()), ("item_key", pa.int64()), ("item_windows", pa.int32()), ("named", pa.bool_()), ("windows", pa.int32()), ("template_windows", pa.int32()), ("template", pa.bool_()), ("item_pos", pa.int32()), ("h", pa.int64()), ("item_slots", slot), ("size", pa.int32())])
 
 
 def _finder(spark: SparkSession, hashes: np.ndarray, sizes: list[int]):
@@ -173,10 +185,11 @@ def _finder(spark: SparkSession, hashes: np.ndarray, sizes: list[int]):
         maybe = np.unpackbits(np.frombuffer(packed, np.uint8)).view(np.bool_)
         out: list[list[dict]] = []
         for part in chunks([t or "" for t in texts.to_pylist()]):
-            t = Tokens(part)
+            named, plain = tokens(part)
             found: list[list[dict]] = [[] for _ in part]
             for size in sizes:
-                for at, h, kinds in t.windows(size):
+                for t, kinds in ((named, READINGS[0]), (plain, READINGS[1]), (plain, READINGS[2])):
+                    at, h = t.windows(size, kinds)
                     near = np.flatnonzero(maybe[(h & np.uint64((1 << 21) - 1)).astype(np.int64)])
                     signed = h[near].view(np.int64)
                     place = np.minimum(np.searchsorted(known, signed), len(known) - 1)
@@ -274,8 +287,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pa
     """One row per document and benchmark item that contaminates it.
 
     Columns: doc_id; row_hash, of the document's id and text; item_id; matched_windows, the most consistent windows at
-    one offset; item_windows, all of the item; reparameterised, whether a slot there has another value than in the item. Null texts
-    match nothing, nor do items of less than SHORTEST tokens.
+    one offset; item_windows, all of the item; reparameterised, whether a slot there has another value than in the item.
     Rows of the same id and text count once, among documents as among items.
     """
     spark = docs.sparkSession
@@ -302,8 +314,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pa
     # An occurrence has no more rows than the item has windows, in at most three readings each.
     key = ["doc_id", "row_hash", "item_id", "item_key", "item_windows"]
     rows = F.collect_list(F.struct(F.col("item_pos").alias("at"), "template", bound.alias("bound"))).alias("rows")
-    at = met.groupBy(*key, "template_windows", (F.col("pos") - F.col("item_pos")).alias("offset")).agg(rows)
-    judged = at.select(*key, "offset", _judge(max(1, passage - window + 1))("rows", "item_windows", "template_windows").alias("found")).filter("found.matched > 0")
+    at = met.groupBy(*key, "named", "windows", "template_windows", (F.col("pos") - F.col("item_pos")).alias("offset")).agg(rows)
+    judged = at.select(*key, "offset", _judge(max(1, passage - window + 1))("rows", "windows", "template_windows").alias("found")).filter("found.matched > 0")
     best = F.max(F.struct(F.col("found.matched").cast("long").alias("matched_windows"), F.negative("offset").alias("first"), F.col("found.other").alias("other")))
     return judged.groupBy(*key).agg(best.alias("best")).select("doc_id", "row_hash", "item_id", F.col("best.matched_windows").alias("matched_windows"), "item_windows", F.col("best.other").alias("reparameterised"))
 

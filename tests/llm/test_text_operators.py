@@ -367,6 +367,28 @@ def found_items(spark, texts, items):
     return {(r["doc_id"], r["item_id"]) for r in got.collect()}
 
 
+def test_reparameterised_items(spark):
+    """Items asked again with other numbers, and with other names, of one word or two, also where they open a sentence."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("bcdfghjklm") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    items, texts = [], []
+    for k in range(40):
+        first, last, stem = word().title(), word().title(), [word() for _ in range(34)]
+
+        def ask(name, other, number, stem=stem):
+            return f"{name} {' '.join(stem[:6])} {number} {stem[6]} {stem[7]} {other} {' '.join(stem[8:18])}. {name} {' '.join(stem[18:26])} {number} {' '.join(stem[26:])}"
+
+        items.append(ask(first, last, rng.randint(2, 99)))
+        name, other = word().title(), word().title()
+        if k % 2:
+            name, other = f"{name} {word().title()}", f"{other} {word().title()}"
+        texts.append(f"{word()} {word()}. " + ask(name, other, rng.randint(100, 999)))
+    found = found_items(spark, texts, items)
+    assert found <= {(k, k) for k in range(40)} and len(found) >= 38
+    swapped = ask("Anna", "Bob", 5).replace("Bob", "Anna")  # one name for both
+    assert found_items(spark, [swapped], [ask("Anna", "Bob", 5)]) <= {(0, 0)}
+
+
 def test_an_altered_value_does_not_excuse_a_passage(spark):
     words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe", "ri") for b in "bcdfghjklm"]
     item = list(words)
