@@ -14,6 +14,7 @@ from math import exp
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.draws import uniform32
@@ -71,23 +72,42 @@ def network_meta(edge: DataFrame, network: DataFrame) -> DataFrame:
     return network.agg(F.count(F.lit(1)).alias("kept"), F.count_if(F.col("w") > 0).alias("excitatory"), F.count_if(F.col("w") < 0).alias("inhibitory"), F.avg(F.abs("w")).alias("mean_abs"), F.max(F.abs("w")).alias("max_abs")).crossJoin(all_).withColumn("removed", F.col("edges") - F.col("kept"))
 
 
-def stimulus(nodes: DataFrame, steps: int, rate: float, seed: int, pattern: str = "poisson", period: int = 50, on: int = 10, on_steps: int | None = None, fraction: float = 1.0) -> DataFrame:
-    """(t, id) of outside input. Patterns: none, poisson, burst (poisson while t % period < on), pulse (at each period a new set of
-    rate x n nodes), sparse_pattern (each node at its own offset in the period). Only a fraction of the nodes, chosen by
-    hash, is eligible; on_steps ends all input."""
+def lowest(rows: DataFrame, keys: list[str], many: int, draw: str = "h", id_col: str = "id", bins: int = 4096) -> DataFrame:
+    """Of each key, exactly the `many` rows with the smallest (draw, id); draw is uniform on [0, 2^32).
+
+    A histogram of the draws gives the bin in which the last of them falls; only that bin's rows are ranked.
+    """
+    binned = rows.withColumn("bin", F.floor(F.col(draw) / (2**32 // bins)).cast("int"))
+    counts = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(*keys).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    met = binned.join(counts.select(*keys, "bin", "n", before.alias("before")).filter(F.col("before") < many), [*keys, "bin"])
+    whole = met.filter(F.col("before") + F.col("n") <= many)
+    part = met.filter(F.col("before") + F.col("n") > many).withColumn("place", F.row_number().over(W.partitionBy(*keys, "bin").orderBy(draw, id_col)))
+    return whole.select(rows.columns).unionByName(part.filter(F.col("before") + F.col("place") <= many).select(rows.columns))
+
+
+def stimulus(nodes: DataFrame, steps: int, rate: float, seed: int, pattern: str = "poisson", period: int = 50, on: int = 10, on_steps: int | None = None, fraction: float = 1.0, members: int = 50) -> DataFrame:
+    """(t, id) of outside input. Patterns: none, poisson, burst (poisson while t % period < on), pulse (at each period exactly
+    round(rate x eligible) newly drawn nodes), sparse_pattern (`members` nodes, each at its own offset below `on` in every
+    period). Exactly max(1, round(fraction x nodes)) nodes are eligible; on_steps ends all input."""
     spark = nodes.sparkSession
     times = spark.range(0 if pattern == "none" else min(steps, on_steps if on_steps is not None else steps)).select(F.col("id").cast("int").alias("t"))
-    limit = F.lit(int(fraction * 2**32))
-    some = nodes.select("id").filter(uniform32(seed, F.lit("e"), F.col("id")) < limit) if fraction < 1 else nodes.select("id")
-    hit = uniform32(seed, F.col("t"), F.col("id")) < F.lit(int(rate * 2**32))
+    n, some = None, nodes.select("id")
+    if fraction < 1 or pattern == "pulse":
+        n = max(1, round(fraction * nodes.count()))
+    if fraction < 1:
+        some = lowest(some.select(F.lit(0).alias("key"), "id", uniform32(seed, F.lit("e"), F.col("id")).alias("h")), ["key"], n).select("id")
+    draw = uniform32(seed, F.col("t"), F.col("id"))
     if pattern in ("none", "poisson"):
-        return times.crossJoin(some).filter(hit).select("t", "id")
+        return times.crossJoin(some).filter(draw < F.lit(int(rate * 2**32))).select("t", "id")
     if pattern == "burst":
-        return times.filter(F.col("t") % period < on).crossJoin(some).filter(hit).select("t", "id")
+        return times.filter(F.col("t") % period < on).crossJoin(some).filter(draw < F.lit(int(rate * 2**32))).select("t", "id")
     if pattern == "pulse":
-        return times.filter(F.col("t") % period == 0).crossJoin(some).filter(hit).select("t", "id")
+        return lowest(times.filter(F.col("t") % period == 0).crossJoin(some).select("t", "id", draw.alias("h")), ["t"], round(rate * n)).select("t", "id")
     if pattern == "sparse_pattern":
-        return times.crossJoin(some).filter(F.col("t") % period == uniform32(seed, F.lit("o"), F.col("id")) % period).select("t", "id")
+        drawn = lowest(some.select(F.lit(0).alias("key"), "id", uniform32(seed, F.lit("m"), F.col("id")).alias("h")), ["key"], members)
+        at = drawn.select("id", (uniform32(seed, F.lit("o"), F.col("id")) % on).cast("int").alias("offset"))
+        return times.withColumn("offset", F.col("t") % period).filter(F.col("offset") < on).join(F.broadcast(at), "offset").select("t", "id")
     raise ValueError(pattern)
 
 
@@ -181,7 +201,7 @@ def simulate(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int, times: np.
 
 
 def kernel(spark: SparkSession, network: DataFrame, configs: DataFrame, n: int, steps: int, p: Params, off: int = 0, most_edges: int = 20_000_000) -> DataFrame:
-    """(run, t, pulses, arrivals) for every row of configs (run, gain, rate, seed): one task a run, gain scales the weights.
+    """(run, t, pulses, arrivals, external) for every row of configs (run, gain, rate, seed): one task a run, gain scales the weights.
 
     Nodes are 0..n-1. The network is read by every task, so its edges are counted before.
     """
@@ -201,38 +221,52 @@ def kernel(spark: SparkSession, network: DataFrame, configs: DataFrame, n: int,
             rng = np.random.default_rng([int(r.seed), 17])
             times, targets = np.nonzero(rng.random((steps - off, n)) < r.rate)
             pulses, _, _ = simulate(src, dst, w * r.gain, n, times, targets, p, steps)
-            out += [(r.run, t, len(x), int(degree[x].sum())) for t, x in enumerate(pulses)]
-        return pd.DataFrame(out, columns=["run", "t", "pulses", "arrivals"])
+            given = np.bincount(times, minlength=steps)
+            out += [(r.run, t, len(x), int(degree[x].sum()), int(given[t])) for t, x in enumerate(pulses)]
+        return pd.DataFrame(out, columns=["run", "t", "pulses", "arrivals", "external"])
 
-    return configs.groupBy("run").applyInPandas(run, "run long, t int, pulses int, arrivals long")
+    return configs.groupBy("run").applyInPandas(run, "run long, t int, pulses int, arrivals long, external long")
 
 
 def run_summary(series: DataFrame, n: int, p: Params) -> DataFrame:
-    """Of each run (run, t, pulses, arrivals): totals, mean rate in Hz, events per pulse, refractory occupancy."""
+    """Of each run (run, t, pulses, arrivals): totals, mean rate in Hz, events per pulse (0 without pulses), refractory
+    occupancy, share of slots with a pulse, and the largest share of nodes in a step."""
     steps = F.max("t") + 1
-    by = series.groupBy("run").agg(F.sum("pulses").alias("pulses"), F.sum("arrivals").alias("arrivals"), steps.alias("steps"))
+    by = series.groupBy("run").agg(F.sum("pulses").alias("pulses"), F.sum("arrivals").alias("arrivals"), F.max("pulses").alias("most"), steps.alias("steps"))
     occupied = series.join(by.select("run", "steps"), "run").groupBy("run").agg(F.sum(F.col("pulses") * F.least(F.lit(p.refractory), F.col("steps") - 1 - F.col("t"))).alias("held"))
     got = by.join(occupied, "run")
-    return got.select("run", "steps", "pulses", "arrivals", (F.col("pulses") * 1000.0 / (n * F.col("steps") * p.dt)).alias("hz"), F.try_divide("arrivals", "pulses").alias("per_pulse"), (F.col("held") / (n * F.col("steps"))).alias("occupancy"))
+    return got.select("run", "steps", "pulses", "arrivals", (F.col("pulses") * 1000.0 / (n * F.col("steps") * p.dt)).alias("hz"), (F.col("arrivals") / F.greatest("pulses", F.lit(1))).alias("per_pulse"), (F.col("held") / (n * F.col("steps"))).alias("occupancy"), (F.col("pulses") / (n * F.col("steps"))).alias("per_slot"), (F.col("most") / n).alias("largest_step"))
 
 
 # Bounds of the regime rules.
-RULES = {"off_growth": 1.05, "saturation": 0.5, "silence": 0.1}
+RULES = {"dead_amplification": 1.05, "saturated_share": 0.5, "runaway_share": 0.1}
+
+
+def tail_steps(steps, off_from: int):
+    """Length of the last third of the steps after the input ended: at least one, none without such steps."""
+    return F.when(steps > off_from, F.greatest(F.floor((steps - off_from) / 3), F.lit(1))).otherwise(0)
 
 
 def regimes(series: DataFrame, n: int, off_from: int, p: Params) -> DataFrame:
-    """(run, regime): DEAD, STABLE or SATURATED from pulses per step while input is on and in the last third after it ended.
+    """Of each run (run, t, pulses, external): rates a node and step while input is on and in the last third after it ended,
+    amplification (pulses while on for each outside event), regime and whether activity sustains itself.
 
-    SATURATED: pulses while on exceed a half of the ceiling that the hold sets, or the last third is busier than the on part;
-    DEAD: less than a tenth of a pulse a step while on.
+    SATURATED: while on at least half of the highest rate that the hold allows, or late at least a tenth of it. DEAD: less
+    than 1.05 pulses for each outside event while on, and none late. STABLE: all others.
     """
-    last = series.groupBy().agg((F.max("t") + 1).alias("steps"))
-    s = series.crossJoin(F.broadcast(last))
-    tail = F.col("steps") - F.floor((F.col("steps") - off_from) / 3)
-    m = s.groupBy("run").agg(F.avg(F.when(F.col("t") < off_from, F.col("pulses"))).alias("on"), F.coalesce(F.avg(F.when(F.col("t") >= tail, F.col("pulses"))), F.lit(0.0)).alias("late"))
-    ceiling = n / (p.refractory + 1)
-    regime = F.when((F.col("on") > RULES["saturation"] * ceiling) | (F.col("late") > RULES["off_growth"] * F.col("on")), "SATURATED").when(F.col("on") < RULES["silence"], "DEAD").otherwise("STABLE")
-    return m.select("run", F.round("on", 6).alias("on"), F.round("late", 6).alias("late"), regime.alias("regime"), (F.col("late") > 0).alias("self_sustained"))
+    s = series.join(series.groupBy("run").agg((F.max("t") + 1).alias("steps")), "run")
+    late = F.col("t") >= F.col("steps") - tail_steps(F.col("steps"), off_from)
+    of = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
+    on = F.col("t") < off_from
+    m = s.groupBy("run", "steps").agg(of("pulses", on).alias("on"), of("external", on).alias("external"), of("pulses", late & (F.col("t") >= off_from)).alias("late"))
+    size = max(n, 1)
+    rate_on = F.col("on") / (size * max(off_from, 1))
+    rate_late = F.col("late") / (size * F.greatest(tail_steps(F.col("steps"), off_from), F.lit(1)))
+    m = m.select("run", rate_on.alias("rate_on"), rate_late.alias("rate_late"), (F.col("on") / F.greatest("external", F.lit(1))).alias("amplification"))
+    highest = 1.0 / (p.refractory + 1)
+    saturated = (F.col("rate_on") >= RULES["saturated_share"] * highest) | (F.col("rate_late") >= RULES["runaway_share"] * highest)
+    dead = (F.col("amplification") < RULES["dead_amplification"]) & (F.col("rate_late") == 0)
+    return m.withColumn("regime", F.when(saturated, "SATURATED").when(dead, "DEAD").otherwise("STABLE")).withColumn("self_sustained", F.col("rate_late") > 0)
 
 
 def raster_difference(a: DataFrame, b: DataFrame) -> DataFrame:

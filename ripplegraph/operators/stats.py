@@ -113,14 +113,24 @@ def rich_club(edge: DataFrame, nodes: DataFrame, ks: list[int]) -> DataFrame:
     return got.select("k", "nodes", "edges", F.when(F.col("nodes") > 1, F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))).alias("phi"))
 
 
-def rich_club_regime(curve: DataFrame, above: float = 1.01) -> DataFrame:
-    """One row on a normalised curve (k, value): first and last k above the bound, whether all between are above, largest and smallest value and
-    their k, first later k below 1."""
-    c = curve.filter("value IS NOT NULL AND NOT isnan(value)")
-    hit = F.col("value") > above
-    ends = c.agg(F.min(F.when(hit, F.col("k"))).alias("first_k"), F.max(F.when(hit, F.col("k"))).alias("last_k"), F.max("value").alias("top"), F.min("value").alias("low"), F.max_by("k", "value").alias("top_k"), F.min_by("k", "value").alias("low_k"), F.count_if(hit).alias("hits"))
-    inside = c.crossJoin(F.broadcast(ends)).agg(F.first("first_k").alias("first_k"), F.first("last_k").alias("last_k"), (F.count_if(F.col("k").between(F.col("first_k"), F.col("last_k"))) == F.first("hits")).alias("contiguous"), F.first("top").alias("top"), F.first("top_k").alias("top_k"), F.first("low").alias("low"), F.first("low_k").alias("low_k"), F.min(F.when((F.col("value") < 1) & (F.col("k") > F.col("first_k")), F.col("k"))).alias("below_one_k"))
-    return inside
+def rich_club_regime(curve: DataFrame, above: float = 1.01, least: int = 10) -> DataFrame:
+    """One row on a normalised curve (k, value, nodes): first and last k above the bound, nodes above the first, whether all between
+    are above (false if none is), largest and smallest value with their k and nodes, and the first k after the largest
+    value whose value is below 1. Only points with at least `least` nodes count; of equal values the first k does."""
+    c = curve.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.col("nodes") >= least))
+    hit, point = F.col("value") > above, F.struct(F.col("k"), F.col("value"), F.col("nodes"))
+    first = F.min(F.when(hit, F.struct("k", "nodes"))).alias("first")
+    # the points of a curve are as many as the ks that were asked for, so a list of them is short
+    ends = c.agg(first, F.max(F.when(hit, F.col("k"))).alias("last_k"), F.max_by(point, F.struct("value", F.negative("k"))).alias("most"), F.min_by(point, F.struct("value", "k")).alias("fewest"), F.array_sort(F.collect_list(point)).alias("points"))
+    inside = F.filter("points", lambda x: x["k"].between(F.col("first.k"), F.col("last_k")))
+    below = F.filter("points", lambda x: (x["k"] > F.col("most.k")) & (x["value"] < 1))
+    return ends.select(
+        F.col("first.k").alias("first_k"), F.col("first.nodes").alias("first_nodes"), "last_k",
+        F.coalesce(F.col("first").isNotNull() & F.forall(inside, lambda x: x["value"] > above), F.lit(False)).alias("contiguous"),
+        F.col("most.value").alias("top"), F.col("most.k").alias("top_k"), F.col("most.nodes").alias("top_nodes"),
+        F.col("fewest.value").alias("low"), F.col("fewest.k").alias("low_k"), F.col("fewest.nodes").alias("low_nodes"),
+        F.when(F.size(below) > 0, below[0]["k"]).alias("below_one_k"),
+    )
 
 
 def histogram(values: DataFrame, column: str, bounds: list[int]) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .dynamics import tail_steps
+
 
 def experiment_id(*parts: str):
     """The name of a run: its fields joined by underscores, rates in plain digits."""
@@ -48,26 +50,46 @@ def paired(runs: DataFrame, measure: str, a: str, b: str) -> DataFrame:
     return both.groupBy("subgraph", "rate").agg(F.count(F.lit(1)).alias("pairs"), F.median("r").alias("median"), F.min("r").alias("least"), F.max("r").alias("largest"), F.try_divide(F.median(a), F.median(b)).alias("of_medians"))
 
 
-def outcome(ratios: DataFrame, by: float = 0.05) -> DataFrame:
-    """Adds class: A, faster by at least `by` with all pairs above 1; C, slower likewise; B otherwise."""
-    c = F.when((F.col("median") >= 1 + by) & (F.col("least") > 1), "A").when((F.col("median") <= 1 / (1 + by)) & (F.col("largest") < 1), "C").otherwise("B")
-    return ratios.withColumn("class", c)
+def significant(ratios: DataFrame, by: float = 0.05) -> DataFrame:
+    """Adds significant: the median is at least `by` from 1, and 1 is not within the range of the pairs."""
+    return ratios.withColumn("significant", (F.abs(F.col("median") - 1) >= by) & ~F.lit(1.0).between(F.col("least"), F.col("largest")))
+
+
+# Bounds of the median and of the least (A) or largest (C) pair.
+CASES = {"A": (1.25, 1.05), "C": (0.8, 0.95)}
+
+
+def outcome(ratios: DataFrame) -> DataFrame:
+    """Adds class: A, faster by the median with all pairs above a bound; C, slower likewise; B otherwise."""
+    a, c = CASES["A"], CASES["C"]
+    found = F.when((F.col("median") >= a[0]) & (F.col("least") > a[1]), "A").when((F.col("median") <= c[0]) & (F.col("largest") < c[1]), "C").otherwise("B")
+    return ratios.withColumn("class", found)
 
 
 def majority(outcomes: DataFrame) -> DataFrame:
-    """(subgraph, class): the class that more than half of a subgraph's rates have, else null."""
-    n = outcomes.groupBy("subgraph", "class").agg(F.count(F.lit(1)).alias("n"))
-    top = n.groupBy("subgraph").agg(F.sum("n").alias("all"), F.max(F.struct("n", "class")).alias("top"))
-    return top.select("subgraph", F.when(2 * F.col("top.n") > F.col("all"), F.col("top.class")).alias("class"))
+    """One row: cells of each class, and the class that more than half of all cells have (null: none)."""
+    n = outcomes.agg(*(F.count_if(F.col("class") == k).alias(k.lower()) for k in "ABC"))
+    half = (F.col("a") + F.col("b") + F.col("c")) / 2
+    return n.withColumn("class", F.when(F.col("a") > half, "A").when(F.col("b") > half, "B").when(F.col("c") > half, "C"))
 
 
-def crossover(ratios: DataFrame, value: str = "median") -> DataFrame:
-    """(subgraph, rate): where the ratio first crosses 1 between two adjacent rates, log-linear in both."""
+def crossover(ratios: DataFrame, value: str = "median", geometric: tuple[str, ...] = (), linear: tuple[str, ...] = ()) -> DataFrame:
+    """One row per subgraph with any ratio: status (crossover, multiple crossings, faster everywhere, slower everywhere), rate at
+    the first place where the ratio passes from above 1 to 1 or below or back between adjacent rates (log-linear in both),
+    between which rates, whether it is faster below, and the ratio nearest to the other side where nothing crosses. Further
+    columns are interpolated there as their logarithm (geometric) or as they are (linear)."""
     w = W.partitionBy("subgraph").orderBy("rate")
-    step = ratios.select("subgraph", "rate", F.ln("rate").alias("x"), F.ln(value).alias("y")).filter("y IS NOT NULL").withColumns({"x2": F.lead("x").over(w), "y2": F.lead("y").over(w)})
-    hit = step.filter((F.col("x2").isNotNull()) & (F.signum("y") != F.signum("y2")))
-    place = F.exp(F.col("x") - F.col("y") * (F.col("x2") - F.col("x")) / (F.col("y2") - F.col("y")))
-    return hit.groupBy("subgraph").agg(F.min_by(place, "x").alias("rate"))
+    names = ["rate", value, *geometric, *linear]
+    step = ratios.filter(F.col(value).isNotNull()).select("subgraph", *names)
+    step = step.withColumns({f"{c}_2": F.lead(c).over(w) for c in names}).withColumn("over", F.col(value) > 1)
+    turn = F.col("rate_2").isNotNull() & (F.col("over") != (F.col(f"{value}_2") > 1))
+    f = F.ln(value) / (F.ln(value) - F.ln(f"{value}_2"))
+    log = lambda c: F.ln(F.greatest(F.col(c), F.lit(1e-12)))
+    between = {c: F.exp(log(c) + f * (log(f"{c}_2") - log(c))) for c in ("rate", *geometric)} | {c: F.col(c) + f * (F.col(f"{c}_2") - F.col(c)) for c in linear}
+    hit = F.struct("rate", F.col("rate_2").alias("upto"), F.col("over").alias("faster_below"), *(x.alias(f"at_{c}") for c, x in between.items()))
+    got = step.groupBy("subgraph").agg(F.count(F.lit(1)).alias("n"), F.count_if("over").alias("above"), F.count_if(turn).alias("turns"), F.min(F.when(turn, hit)).alias("hit"), F.max(value).alias("best"), F.min(value).alias("worst"))
+    status = F.when(F.col("above") == 0, "slower everywhere").when(F.col("above") == F.col("n"), "faster everywhere").when(F.col("turns") == 1, "crossover").otherwise("multiple crossings")
+    return got.select("subgraph", status.alias("status"), F.col("hit.at_rate").alias("rate"), F.col("hit.rate").alias("low"), F.col("hit.upto").alias("high"), F.col("hit.faster_below").alias("faster_below"), F.when(F.col("above") == 0, F.col("best")).when(F.col("above") == F.col("n"), F.col("worst")).alias("nearest"), *(F.col(f"hit.at_{c}").alias(c) for c in (*geometric, *linear)))
 
 
 def stable_range(points: DataFrame) -> DataFrame:
@@ -157,7 +179,7 @@ def off_window(series: DataFrame, off_from: int) -> DataFrame:
     gap between pulses so far and their share of time at every step's end (its largest)."""
     end = series.groupBy().agg((F.max("t") + 1).alias("steps"))
     s = series.crossJoin(F.broadcast(end)).withColumn("upto", F.sum("pulses").over(W.partitionBy("run").orderBy("t").rowsBetween(W.unboundedPreceding, W.currentRow)))
-    tail = F.col("steps") - F.floor((F.col("steps") - off_from) / 3)
+    tail = F.col("steps") - tail_steps(F.col("steps"), off_from)
     return s.groupBy("run").agg(F.avg(F.when(F.col("t") < off_from, F.col("pulses"))).alias("on"), F.coalesce(F.avg(F.when(F.col("t") >= tail, F.col("pulses"))), F.lit(0.0)).alias("late"), F.min(F.when((F.col("t") >= off_from) & (F.col("pulses") == 0), F.col("t"))).alias("first_silent"), F.max("upto").alias("pulses"))
 
 

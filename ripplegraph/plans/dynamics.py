@@ -147,14 +147,19 @@ def l4_stimulus_burst(spark, sf):
     return D.stimulus(events(spark, sf)[1], 40, 0.2, 3, "burst", 10, 3, on_steps=30)
 
 
-@query(f"WITH {USERS}, {_stimulus_sql('x', 40, 0.2, 3, 't % 10 = 0')} SELECT * FROM x")
+@query(f"WITH {USERS}, x AS (SELECT CAST(t AS INT) AS t, id, row_number() OVER (PARTITION BY t ORDER BY {uniform32_sql(3, 't', 'id')}, id) AS k FROM (SELECT unnest(range(0, 40, 10)) AS t) CROSS JOIN n) SELECT t, id FROM x WHERE k <= round_even(0.2 * (SELECT count(*) FROM n), 0)")
 def l4_stimulus_pulse(spark, sf):
     return D.stimulus(events(spark, sf)[1], 40, 0.2, 3, "pulse", 10)
 
 
-@query(f"WITH {USERS} SELECT CAST(t AS INT) AS t, id FROM (SELECT unnest(range(40)) AS t) CROSS JOIN n WHERE t % 10 = {uniform32_sql(3, chr(39) + 'o' + chr(39), 'id')} % 10 AND {uniform32_sql(3, chr(39) + 'e' + chr(39), 'id')} < {2**31}")
+def _drawn(what: str) -> str:
+    return uniform32_sql(3, f"'{what}'", "id")
+
+
+@query(f"""WITH {USERS}, e AS (SELECT id FROM n QUALIFY row_number() OVER (ORDER BY {_drawn("e")}, id) <= round_even(0.5 * (SELECT count(*) FROM n), 0)), m AS (SELECT id FROM e QUALIFY row_number() OVER (ORDER BY {_drawn("m")}, id) <= 30)
+SELECT CAST(t AS INT) AS t, id FROM (SELECT unnest(range(40)) AS t) JOIN m ON t % 10 = {_drawn("o")} % 4""")
 def l4_stimulus_pattern(spark, sf):
-    return D.stimulus(events(spark, sf)[1], 40, 0.2, 3, "sparse_pattern", 10, fraction=0.5)
+    return D.stimulus(events(spark, sf)[1], 40, 0.2, 3, "sparse_pattern", 10, 4, fraction=0.5, members=30)
 
 
 PARAMS = D.Params(refractory=2, delay=1, input_weight=2.0)
@@ -270,21 +275,25 @@ def x11_x13_j10_paired(spark, sf):
     return rounded(H.paired(runs(spark, sf), "wall", "a", "b"))
 
 
-CLASS_SQL = f"{PAIRED_SQL}, o AS (SELECT *, CASE WHEN median >= 1.05 AND least > 1 THEN 'A' WHEN median <= 1 / 1.05 AND largest < 1 THEN 'C' ELSE 'B' END AS class FROM ratio)"
+CLASS_SQL = f"{PAIRED_SQL}, o AS (SELECT *, CASE WHEN median >= 1.25 AND least > 1.05 THEN 'A' WHEN median <= 0.8 AND largest < 0.95 THEN 'C' ELSE 'B' END AS class, abs(median - 1) >= 0.05 AND NOT (least <= 1 AND largest >= 1) AS significant FROM ratio)"
 
 
-@query(f"WITH {CLASS_SQL} SELECT subgraph, round(rate, 6) AS rate, class FROM o")
+@query(f"WITH {CLASS_SQL} SELECT subgraph, round(rate, 6) AS rate, class, significant FROM o")
 def x14_outcome(spark, sf):
-    return rounded(H.outcome(H.paired(runs(spark, sf), "wall", "a", "b")).select("subgraph", "rate", "class"))
+    return rounded(H.significant(H.outcome(H.paired(runs(spark, sf), "wall", "a", "b"))).select("subgraph", "rate", "class", "significant"))
 
 
-@query(f"WITH {CLASS_SQL}, c AS (SELECT subgraph, class, count(*) AS n, sum(count(*)) OVER (PARTITION BY subgraph) AS t FROM o GROUP BY 1, 2) SELECT subgraph, max(class) FILTER (2 * n > t) AS class FROM c GROUP BY 1")
+@query(f"WITH {CLASS_SQL}, c AS (SELECT count(*) FILTER (class = 'A') AS a, count(*) FILTER (class = 'B') AS b, count(*) FILTER (class = 'C') AS c, count(*) AS n FROM o) SELECT a, b, c, CASE WHEN 2 * a > n THEN 'A' WHEN 2 * b > n THEN 'B' WHEN 2 * c > n THEN 'C' END AS class FROM c")
 def x14_majority(spark, sf):
     return H.majority(H.outcome(H.paired(runs(spark, sf), "wall", "a", "b")))
 
 
-@query(f"""WITH {PAIRED_SQL}, l AS (SELECT subgraph, ln(rate) AS x, ln(median) AS y, lead(ln(rate)) OVER (PARTITION BY subgraph ORDER BY rate) AS x2, lead(ln(median)) OVER (PARTITION BY subgraph ORDER BY rate) AS y2 FROM ratio)
-SELECT subgraph, round(arg_min(exp(x - y * (x2 - x) / (y2 - y)), x), 6) AS rate FROM l WHERE x2 IS NOT NULL AND sign(y) <> sign(y2) GROUP BY 1""")
+@query(f"""WITH {PAIRED_SQL}, l AS (SELECT subgraph, rate, median, lead(rate) OVER w AS rate2, lead(median) OVER w AS median2 FROM ratio WINDOW w AS (PARTITION BY subgraph ORDER BY rate)),
+x AS (SELECT *, ln(median) / (ln(median) - ln(median2)) AS f FROM l WHERE rate2 IS NOT NULL AND (median > 1) <> (median2 > 1)),
+h AS (SELECT subgraph, count(*) AS turns, arg_min(exp(ln(rate) + f * (ln(rate2) - ln(rate))), rate) AS rate, min(rate) AS low, arg_min(rate2, rate) AS high, arg_min(median > 1, rate) AS faster_below FROM x GROUP BY 1),
+s AS (SELECT subgraph, count(*) AS n, count(*) FILTER (median > 1) AS above, max(median) AS best, min(median) AS worst FROM ratio WHERE median IS NOT NULL GROUP BY 1)
+SELECT subgraph, CASE WHEN above = 0 THEN 'slower everywhere' WHEN above = n THEN 'faster everywhere' WHEN turns = 1 THEN 'crossover' ELSE 'multiple crossings' END AS status, round(rate, 6) AS rate, round(low, 6) AS low, round(high, 6) AS high, faster_below,
+round(CASE WHEN above = 0 THEN best WHEN above = n THEN worst END, 6) AS nearest FROM s LEFT JOIN h USING (subgraph)""")
 def x12_w11_crossover(spark, sf):
     return rounded(H.crossover(H.paired(runs(spark, sf), "wall", "a", "b")))
 

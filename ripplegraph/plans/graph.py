@@ -81,7 +81,7 @@ def p4_membership(spark, sf):
     return I.lookup(rows, "src", A.part_nodes(spark, sf))
 
 
-@query(f"WITH {NODES_SQL} SELECT id, true AS found FROM nodes WHERE id < 50")
+@query(f"WITH {NODES_SQL} SELECT id, true AS found FROM nodes")
 def p5_strict_lookup(spark, sf):
     nodes = A.part_nodes(spark, sf)
     return I.lookup(nodes.select("id"), "id", nodes, strict=True)
@@ -289,22 +289,31 @@ def g7_wedges(spark, sf):
     return S.wedges(S.undirected(graph(spark, sf)))
 
 
+# The grid of degrees, 70 steps from 1 to 10^3.3 of equal ratio.
 KS = sorted({round(10 ** (3.3 * i / 69)) for i in range(70)})
 
 
-@query(f"""WITH {DEGREE_SQL}, d AS (SELECT id, in_degree + out_degree AS d FROM deg), k AS (SELECT unnest({KS}) AS k),
+RICH_SQL = f"""{DEGREE_SQL}, d AS (SELECT id, in_degree + out_degree AS d FROM deg), k AS (SELECT unnest({KS}) AS k),
 e AS (SELECT least(a.d, b.d) AS d FROM g JOIN d a ON src = a.id JOIN d b ON dst = b.id),
-c AS (SELECT CAST(k AS BIGINT) AS k, (SELECT count(*) FROM d WHERE d.d > k.k) AS nodes, (SELECT count(*) FROM e WHERE e.d > k.k) AS edges FROM k)
-SELECT k, nodes, edges, round(CASE WHEN nodes > 1 THEN edges / (nodes * (nodes - 1)) END, 6) AS phi FROM c""")
+c AS (SELECT CAST(k AS BIGINT) AS k, (SELECT count(*) FROM d WHERE d.d > k.k) AS nodes, (SELECT count(*) FROM e WHERE e.d > k.k) AS edges FROM k),
+rich AS (SELECT k, nodes, edges, CASE WHEN nodes > 1 THEN edges / (nodes * (nodes - 1)) END AS phi FROM c)"""
+
+
+@query(f"WITH {RICH_SQL} SELECT k, nodes, edges, round(phi, 6) AS phi FROM rich")
 def g10_f5_rich_club(spark, sf):
     return rounded(S.rich_club(graph(spark, sf), A.part_nodes(spark, sf), KS))
 
 
-@query("SELECT 20 AS first_k, 40 AS last_k, true AS contiguous, 1.03 AS top, 40 AS top_k, 0.3 AS low, 320 AS low_k, 80 AS below_one_k")
+@query(f"""WITH {RICH_SQL}, v AS (SELECT k, nodes, phi / ((SELECT count(*) FROM g) / ((SELECT count(*) FROM d) * ((SELECT count(*) FROM d) - 1))) AS value FROM rich WHERE phi IS NOT NULL AND nodes >= 10),
+a AS (SELECT min(k) AS first_k, max(k) AS last_k FROM v WHERE value > 1.01), t AS (SELECT * FROM v ORDER BY value DESC, k LIMIT 1), b AS (SELECT * FROM v ORDER BY value, k LIMIT 1)
+SELECT first_k, (SELECT nodes FROM v WHERE k = first_k) AS first_nodes, last_k, first_k IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v WHERE k BETWEEN first_k AND last_k AND value <= 1.01) AS contiguous,
+round(t.value, 6) AS top, t.k AS top_k, t.nodes AS top_nodes, round(b.value, 6) AS low, b.k AS low_k, b.nodes AS low_nodes, (SELECT min(k) FROM v WHERE k > t.k AND value < 1) AS below_one_k FROM a, t, b""")
 def g11_rich_club_regime(spark, sf):
-    # A curve whose description is known.
-    curve = spark.createDataFrame([(1, 1.0), (10, 1.005), (20, 1.02), (40, 1.03), (80, 0.99), (160, 0.6), (320, 0.3)], "k int, value double")
-    return S.rich_club_regime(curve)
+    """The curve over the density of the whole graph, which is what a random graph of as many edges has at every k."""
+    g, nodes = graph(spark, sf), A.part_nodes(spark, sf)
+    size = nodes.agg(F.count(F.lit(1)).alias("n")).crossJoin(g.agg(F.count(F.lit(1)).alias("m")))
+    curve = S.rich_club(g, nodes, KS).crossJoin(F.broadcast(size))
+    return rounded(S.rich_club_regime(curve.select("k", (F.col("phi") / (F.col("m") / (F.col("n") * (F.col("n") - 1)))).alias("value"), "nodes")))
 
 
 HIST = [1, 2, 5, 10, 20, 50, 100]

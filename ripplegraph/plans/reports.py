@@ -61,7 +61,7 @@ def series(spark, sf):
     e = A.read(spark, sf, "events")
     t = F.expr("event_id div 200")
     got = e.groupBy(F.col("event_type").alias("run"), t.cast("int").alias("t")).agg(F.count(F.lit(1)).alias("c"))
-    return got.select("run", "t", F.when((F.col("run") == "view") & (F.col("t") > 30), 0).otherwise(F.col("c")).alias("pulses"), (3 * F.col("c")).alias("arrivals"))
+    return got.select("run", "t", F.when((F.col("run") == "view") & (F.col("t") > 30), 0).otherwise(F.col("c")).alias("pulses"), (3 * F.col("c")).alias("arrivals"), F.when(F.col("t") < 30, F.floor(F.col("c") / F.length("run")).cast("long")).otherwise(0).alias("external"))
 
 
 def users(spark, sf):
@@ -69,7 +69,8 @@ def users(spark, sf):
 
 
 OFF = 30
-_TAIL = "t >= steps - floor((steps - 30) / 3)"
+_LAST = "CASE WHEN steps > 30 THEN greatest((steps - 30) // 3, 1) ELSE 0 END"
+_TAIL = f"t >= steps - {_LAST}"
 
 
 @query(f"WITH {SERIES_SQL}, s AS (SELECT *, max(t) OVER () + 1 AS steps FROM series) SELECT run, round(avg(pulses) FILTER (t < 30), 6) AS on, round(coalesce(avg(pulses) FILTER ({_TAIL}), 0), 6) AS late, min(t) FILTER (t >= 30 AND pulses = 0) AS first_silent, CAST(sum(pulses) AS BIGINT) AS pulses FROM s GROUP BY run".replace(" AS on,", ' AS "on",'))
@@ -78,15 +79,17 @@ def w9_off_window(spark, sf):
 
 
 @query(f"""WITH {SERIES_SQL}, s AS (SELECT *, max(t) OVER (PARTITION BY run) + 1 AS steps FROM series) SELECT run, steps, CAST(sum(pulses) AS BIGINT) AS pulses, CAST(sum(arrivals) AS BIGINT) AS arrivals,
-round(sum(pulses) * 1000.0 / (n * steps), 6) AS hz, round(sum(arrivals) / sum(pulses), 6) AS per_pulse, round(sum(pulses * least(2, steps - 1 - t)) / (n * steps), 6) AS occupancy FROM s, n GROUP BY run, steps, n""")
+round(sum(pulses) * 1000.0 / (n * steps), 6) AS hz, round(sum(arrivals) / greatest(sum(pulses), 1), 6) AS per_pulse, round(sum(pulses * least(2, steps - 1 - t)) / (n * steps), 6) AS occupancy, round(sum(pulses) / (n * steps), 6) AS per_slot, round(max(pulses) / n, 6) AS largest_step FROM s, n GROUP BY run, steps, n""")
 def l13_w12_occupancy(spark, sf):
     return rounded(D.run_summary(series(spark, sf), users(spark, sf), PARAMS))
 
 
-@query(f"""WITH {SERIES_SQL}, s AS (SELECT *, max(t) OVER () + 1 AS steps FROM series), m AS (SELECT run, avg(pulses) FILTER (t < 30) AS a, coalesce(avg(pulses) FILTER ({_TAIL}), 0) AS l FROM s GROUP BY run)
-SELECT run, round(a, 6) AS "on", round(l, 6) AS late, CASE WHEN a > 0.5 * n / 3.0 OR l > 1.05 * a THEN 'SATURATED' WHEN a < 0.1 THEN 'DEAD' ELSE 'STABLE' END AS regime, l > 0 AS self_sustained FROM m, n""")
+@query(f"""WITH {SERIES_SQL}, s AS (SELECT *, max(t) OVER (PARTITION BY run) + 1 AS steps FROM series),
+m AS (SELECT run, coalesce(sum(pulses) FILTER (t < 30), 0) / (n * 30) AS a, coalesce(sum(pulses) FILTER (t >= 30 AND {_TAIL}), 0) / (n * greatest(max({_LAST}), 1)) AS l,
+coalesce(sum(pulses) FILTER (t < 30), 0) / greatest(coalesce(sum(arrivals // 3 // length(run)) FILTER (t < 30), 0), 1) AS x FROM s, n GROUP BY run, n)
+SELECT run, round(a, 6) AS rate_on, round(l, 6) AS rate_late, round(x, 6) AS amplification, CASE WHEN a >= 0.5 / 3 OR l >= 0.1 / 3 THEN 'SATURATED' WHEN x < 1.05 AND l = 0 THEN 'DEAD' ELSE 'STABLE' END AS regime, l > 0 AS self_sustained FROM m""")
 def l14_regimes(spark, sf):
-    return D.regimes(series(spark, sf), users(spark, sf), OFF, PARAMS)
+    return rounded(D.regimes(series(spark, sf), users(spark, sf), OFF, PARAMS))
 
 
 @query(f"WITH {SERIES_SQL} SELECT length(run) AS key, t, median(pulses) AS median, min(pulses) AS least, max(pulses) AS largest FROM series GROUP BY 1, 2")
@@ -174,7 +177,7 @@ def x3_sensitivity(spark, sf):
         w = D.transform(F.col("weight"), change.get("how", "log1p")) * 0.1
         configs = spark.createDataFrame([(k, 1.0, 0.02, 1)], "run long, gain double, rate double, seed long")
         s = D.kernel(spark, e.select(F.col("a").alias("src"), F.col("b").alias("dst"), w.alias("w")), configs, n, 60, p, 20)
-        row = D.regimes(s, n, 40, p).select(F.lit(name).alias("variant"), "on", "late", "regime")
+        row = D.regimes(s, n, 40, p).select(F.lit(name).alias("variant"), "rate_on", "rate_late", "amplification", "regime")
         out = row if out is None else out.unionByName(row)
     return out
 

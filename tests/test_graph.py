@@ -264,3 +264,54 @@ def test_strict_lookup_takes_all_nodes(spark):
 
     got = {r["id"]: r["found"] for r in plans.p5_strict_lookup(spark, SMALL).collect()}
     assert got == {r["id"]: True for r in adapters.part_nodes(spark, SMALL).collect()}
+
+
+def test_rich_club_regime(spark):
+    # A curve whose description is known; the last point has too few nodes.
+    rows = [(1, 1.0, 1000), (10, 1.005, 800), (20, 1.02, 500), (40, 1.03, 200), (80, 0.99, 60), (160, 0.6, 20), (320, 0.3, 5)]
+    r = stats.rich_club_regime(spark.createDataFrame(rows, "k int, value double, nodes long")).first()
+    assert (r["first_k"], r["first_nodes"], r["last_k"], r["top_k"], r["below_one_k"], r["low_k"], r["contiguous"]) == (20, 500, 40, 40, 80, 160, True)
+    flat = stats.rich_club_regime(spark.createDataFrame([(1, 1.0, 50), (2, 0.9, 50)], "k int, value double, nodes long")).first()
+    assert flat["first_k"] is None and flat["contiguous"] is False and flat["below_one_k"] == 2
+    gap = stats.rich_club_regime(spark.createDataFrame([(1, 1.1, 50), (2, 0.9, 50), (3, 1.2, 50)], "k int, value double, nodes long")).first()
+    assert gap["contiguous"] is False and gap["below_one_k"] is None
+    assert stats.rich_club_regime(spark.createDataFrame([], "k int, value double, nodes long")).first()["contiguous"] is False
+
+
+def test_regimes(spark):
+    p = dynamics.Params(refractory=2)
+    rows = [("all", t, 10 if t < 30 and t % 3 == 0 else 0, 10 if t < 30 else 0) for t in range(60)]
+    rows += [("fed", t, int(t < 30), int(t < 30)) for t in range(60)]
+    rows += [("grows", t, 2 if t < 30 and t % 2 else 0, int(t < 30 and t % 2)) for t in range(60)]
+    rows += [("late", t, int(t % 10 == 9), 1) for t in range(60)] + [("runaway", t, 0 if t < 30 else 1, 0) for t in range(60)]
+    got = {r["run"]: r for r in dynamics.regimes(spark.createDataFrame(rows, "run string, t int, pulses int, external long"), 10, 30, p).collect()}
+    assert {k: r["regime"] for k, r in got.items()} == {"all": "SATURATED", "fed": "DEAD", "grows": "STABLE", "late": "STABLE", "runaway": "SATURATED"}
+    assert got["grows"]["amplification"] == 2 and got["late"]["self_sustained"] and not got["fed"]["self_sustained"]
+    one = dynamics.regimes(spark.createDataFrame([("x", t, int(t == 31), 0) for t in range(32)], "run string, t int, pulses int, external long"), 1, 30, p).first()
+    assert one["rate_late"] == 1  # of two steps without input the last third is one
+
+
+def test_stimulus_counts(spark):
+    nodes = spark.range(101).withColumnRenamed("id", "id")
+    pulse = dynamics.stimulus(nodes, 30, 0.3, 1, "pulse", 10, fraction=0.5).groupBy("t").count().collect()
+    assert sorted(map(tuple, pulse)) == [(0, 15), (10, 15), (20, 15)]
+    pattern = dynamics.stimulus(nodes, 40, 0.0, 2, "sparse_pattern", 20, 5, members=12).collect()
+    assert len(pattern) == 24 and len({r["id"] for r in pattern}) == 12 and all(r["t"] % 20 < 5 for r in pattern)
+    assert {(r["t"], r["id"]) for r in pattern if r["t"] >= 20} == {(r["t"] + 20, r["id"]) for r in pattern if r["t"] < 20}
+    few = dynamics.stimulus(nodes, 50, 1.0, 3, "poisson", fraction=0.001, on_steps=7)
+    assert few.select("id").distinct().count() == 1 and few.count() == 7
+
+
+def test_outcomes_and_crossings(spark):
+    rows = [("x", 0.1, 1.1, 1.06, 1.2), ("x", 1.0, 1.3, 1.04, 2.0), ("y", 0.1, 1.25, 1.06, 2.0), ("y", 1.0, 0.8, 0.5, 0.94)]
+    got = warehouse.significant(warehouse.outcome(spark.createDataFrame(rows, "subgraph string, rate double, median double, least double, largest double")))
+    assert [r["class"] for r in got.orderBy("subgraph", "rate").collect()] == ["B", "B", "A", "C"]
+    assert [r["significant"] for r in got.orderBy("subgraph", "rate").collect()] == [True, True, True, True]
+    assert tuple(warehouse.majority(got).first()) == (1, 2, 1, None)
+    curves = {"down": [1.0, 0.9, 0.8], "up": [1.2, 1.1, 1.05], "one": [4.0, 0.25, 0.2], "two": [2.0, 0.5, 2.0]}
+    points = spark.createDataFrame([(k, 10.0 ** (i - 3), v, float(i)) for k, vs in curves.items() for i, v in enumerate(vs)], "subgraph string, rate double, median double, events double")
+    r = {x["subgraph"]: x for x in warehouse.crossover(points, linear=("events",)).collect()}
+    assert r["down"]["status"] == "slower everywhere" and r["down"]["nearest"] == 1.0 and r["down"]["rate"] is None
+    assert r["up"]["status"] == "faster everywhere" and r["up"]["nearest"] == 1.05
+    assert r["one"]["status"] == "crossover" and r["one"]["rate"] == pytest.approx(10**-2.5) and r["one"]["faster_below"] and r["one"]["events"] == pytest.approx(0.5)
+    assert r["two"]["status"] == "multiple crossings"
