@@ -275,10 +275,10 @@ def text_keys(text: str = "text"):
 
 
 def _verified(pairs: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of at least this similarity."""
+    """The pairs (a, b) of at least this similarity, written, so that what follows needs no second Python worker in the same task."""
     right = pairs.join(bag.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b")
     both = right.join(bag.select(F.col("id").alias("a"), F.col("bag").alias("bag_a")), "a")
-    return both.filter(_similarity("bag_a", "bag_b") >= threshold).select("a", "b")
+    return written(both.filter(_similarity("bag_a", "bag_b") >= threshold).select("a", "b"), "links")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
