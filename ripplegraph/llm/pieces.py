@@ -29,8 +29,9 @@ from .common import chunks, table, text_or_empty
 
 MARK = "▁"
 WALK = 20_000  #: segments that walk together
-RECENT, SEGMENTS = 250_000, 100_000  #: words and segments in half a table of results
+RECENT, SEGMENTS = 120_000, 100_000  #: words and segments in half a table of results
 SEEN_LENGTH = 48  #: the longest text whose result is held
+PAIRS = 100_000  #: pairs of tokens held as text; the walk of many segments has a table of its own
 
 
 class Vocabulary:
@@ -110,13 +111,17 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def fits(self, left: str | None, right: str) -> bool:
+    def agrees(self, left: str | None, right: str) -> bool:
         """Whether merging anew the text of both tokens gives these tokens."""
+        return self.merged((left or "") + right) == ([left, right] if left else [right])
+
+    def fits(self, left: str | None, right: str) -> bool:
+        """As agrees(), with the answers held."""
         ok = self.pair.get((left, right))
         if ok is None:
-            if len(self.pair) > 500_000:
+            if len(self.pair) > PAIRS:
                 self.pair.clear()
-            ok = self.pair[left, right] = self.merged((left or "") + right) == ([left, right] if left else [right])
+            ok = self.pair[left, right] = self.agrees(left, right)
         return ok
 
     def lengths(self, token: str) -> list[int]:
@@ -375,7 +380,7 @@ class _Tables:
             some, where = np.unique(key[new], return_inverse=True)
             base = len(self.length) + 1
             text = [*self.text, None]
-            found = np.array([self.e.fits(text[x // base], text[x % base]) for x in some.tolist()], np.bool_)
+            found = np.array([self.e.agrees(text[x // base], text[x % base]) for x in some.tolist()], np.bool_)
             ok[new] = found[where]
             slot = self._hash(some)
             self.key[slot], self.value[slot] = some, found
@@ -424,7 +429,7 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", out_
     def run(texts: pa.Array) -> pa.Array:
         e = encoder(model.value)
         ids, decoded = [], []
-        for part in chunks(texts.to_pylist(), 2_000_000):
+        for part in chunks(texts.to_pylist(), 1_000_000):
             e.learn(part)
             found = list(map(e.encode, part))
             ids += found
