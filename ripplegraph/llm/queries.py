@@ -12,6 +12,7 @@ from .pieces import op5_sentencepiece
 from .pii import op10_personal_data
 from .quality import op6_quality
 from .secrets import OP2_SQL, op2_secret_scan
+from .spelling import op11_spelling_variants
 
 
 def pipeline(spark, sf_dir):
@@ -32,6 +33,7 @@ def queries():
         "op8_decontamination": op8_decontamination,
         "op9_token_lengths": op9_token_lengths,
         "op10_personal_data": op10_personal_data,
+        "op11_spelling_variants": op11_spelling_variants,
         "pipeline": pipeline,
     }
 

@@ -32,7 +32,7 @@ def test_hostile(spark, folder, name):
         assert len(got) == len(hostile.pages(SIZE)) and all(r["n_chars"] == len(r["text"]) for r in got)
     elif name == "op9_token_lengths":
         assert sum(r["n_docs"] for r in got) == len(texts)
-    elif name != "op8_decontamination":
+    elif name not in ("op8_decontamination", "op11_spelling_variants"):
         assert sorted(r["doc_id"] for r in got) == list(range(len(texts)))
     if name == "op3_exact_dedup":
         for r in got:
