@@ -92,8 +92,8 @@ def _merged_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([b""], pa.binary()), pa.array([np.packbits(more).tobytes()], pa.binary())], ["shard", "once", "more"])
 
 
-def repeat_filter(hashes: DataFrame, rows: int):
-    """A predicate on a 64-bit hash column: false only for hashes that occur once in the one column of `hashes`."""
+def repeat_test(hashes: DataFrame, rows: int):
+    """A test of numpy arrays of 64-bit hashes in tasks: false only for hashes that occur once in the one column of `hashes`."""
     bits = table_bits(rows)
     shards = bits // SHARD
     parts = hashes.mapInArrow(_local_tables(bits), _PART)
@@ -103,13 +103,23 @@ def repeat_filter(hashes: DataFrame, rows: int):
         repeated[shard] = np.frombuffer(more, np.uint8)
     shared = hashes.sparkSession.sparkContext.broadcast(repeated.tobytes())
 
-    @F.arrow_udf("boolean")
-    def maybe_repeated(h: pa.Array) -> pa.Array:
+    def maybe_repeated(h: np.ndarray) -> np.ndarray:
         bit = np.frombuffer(shared.value, np.uint8)
         hit = np.ones(len(h), np.bool_)
-        for p in positions(h.to_numpy(zero_copy_only=False), bits):
+        for p in positions(h, bits):
             hit &= (bit[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
-        return pa.array(hit)
+        return hit
+
+    return maybe_repeated
+
+
+def repeat_filter(hashes: DataFrame, rows: int):
+    """The same as a predicate on a 64-bit hash column."""
+    test = repeat_test(hashes, rows)
+
+    @F.arrow_udf("boolean")
+    def maybe_repeated(h: pa.Array) -> pa.Array:
+        return pa.array(test(h.to_numpy(zero_copy_only=False)))
 
     return maybe_repeated
 

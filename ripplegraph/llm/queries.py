@@ -13,6 +13,7 @@ from .pii import op10_personal_data
 from .quality import op6_quality
 from .secrets import OP2_SQL, op2_secret_scan
 from .spelling import op11_spelling_variants
+from .suffixes import op12_suffix_dedup
 
 
 def pipeline(spark, sf_dir):
@@ -34,6 +35,7 @@ def queries():
         "op9_token_lengths": op9_token_lengths,
         "op10_personal_data": op10_personal_data,
         "op11_spelling_variants": op11_spelling_variants,
+        "op12_suffix_dedup": op12_suffix_dedup,
         "pipeline": pipeline,
     }
 
