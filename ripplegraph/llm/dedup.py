@@ -27,6 +27,7 @@ from .common import row_hash, table, text_or_empty
 BITS_PER_ROW, MIN_BITS, MAX_BITS = 16, 1 << 16, 1 << 28
 SHARD = 1 << 16  #: bits in a shard; positions in it fit 16 bits
 DENSE = SHARD // 16  #: from so many positions on, a shard travels as a bit map
+HELD = 1 << 20  #: hashes that a task puts into one local table
 
 _PART = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("once", T.BinaryType()), T.StructField("more", T.BinaryType())])
 
@@ -65,17 +66,29 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _local_tables(bits: int):
+    def give(held: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = positions(np.concatenate(held), bits)
+        both = np.sort(np.concatenate([a, b[b != a]]))
+        first = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
+        place, count = both[first], np.diff(np.append(first, len(both)))
+        shard = place // SHARD
+        cuts = np.flatnonzero(np.diff(shard)) + 1
+        low = (place % SHARD).astype(np.uint16)
+        once = [_packed(p) for p in np.split(low, cuts)]
+        more = [_packed(p[n > 1]) for p, n in zip(np.split(low, cuts), np.split(count, cuts))]
+        return pa.record_batch([pa.array(shard[np.append(0, cuts)], pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], ["shard", "once", "more"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n = 0
         for batch in batches:
-            a, b = positions(batch.column(0).to_numpy(zero_copy_only=False), bits)
-            both = np.concatenate([a, b[b != a]])
-            place, count = np.unique(both, return_counts=True)
-            shard = place // SHARD
-            cuts = np.flatnonzero(np.diff(shard)) + 1
-            for p, n in zip(np.split(place, cuts), np.split(count, cuts)):
-                if len(p):
-                    low = p % SHARD
-                    yield pa.record_batch([pa.array([int(p[0] // SHARD)], pa.int32()), pa.array([_packed(low)], pa.binary()), pa.array([_packed(low[n > 1])], pa.binary())], ["shard", "once", "more"])
+            held.append(batch.column(0).to_numpy(zero_copy_only=False))
+            n += batch.num_rows
+            if n >= HELD:
+                yield give(held)
+                held, n = [], 0
+        if n:
+            yield give(held)
 
     return run
 
