@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import ingest, motifs, nulls, paths, stats
+from .operators import communities, ingest, motifs, paths, stats
 from .session import written
 
 
@@ -58,11 +58,11 @@ class Graph:
         if self.allowed("triads", most_wedges // 10):
             out["triads"] = motifs.triad_census(self.edges, self.nodes)
         if sources is not None:
-            out["paths"] = paths.path_summary(paths.distances(self.edges, sources))
+            out["paths"] = paths.path_summary(paths.search_levels(self.edges, sources))
         return out
 
     def communities(self, seed: int = 1) -> DataFrame:
-        return nulls.communities(self.pairs, seed)
+        return communities.communities(self.pairs, seed)
 
     def expand(self, seed: int, size: int) -> Graph:
         return self.subgraph(paths.expand(self.edges, seed, size).select("id"))

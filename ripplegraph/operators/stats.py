@@ -87,9 +87,9 @@ def undirected(edge: DataFrame) -> DataFrame:
     return edge.filter("src <> dst").groupBy(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")).agg(F.sum("weight").cast("long").alias("weight"))
 
 
-def both_ways(pairs: DataFrame) -> DataFrame:
-    """(u, v) for both directions of undirected pairs."""
-    return pairs.select(F.explode(F.array(F.struct(F.col("lo").alias("u"), F.col("hi").alias("v")), F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")))).alias("p")).select("p.*")
+def both_ways(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, u, v) for both directions of undirected pairs."""
+    return pairs.select(*by, F.explode(F.array(F.struct(F.col("lo").alias("u"), F.col("hi").alias("v")), F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")))).alias("p")).select(*by, "p.*")
 
 
 def wedges(pairs: DataFrame) -> DataFrame:
@@ -97,20 +97,23 @@ def wedges(pairs: DataFrame) -> DataFrame:
     return d.agg(F.coalesce(F.sum(F.expr("d * (d - 1) div 2")), F.lit(0)).cast("long").alias("wedges"))
 
 
-def rich_club(edge: DataFrame, nodes: DataFrame, ks: list[int]) -> DataFrame:
-    """Of each k: nodes of a total degree above k, edges among them, and their density (null for less than two nodes).
+def rich_club(edge: DataFrame, nodes: DataFrame, ks: list[int], by: tuple[str, ...] = ()) -> DataFrame:
+    """Of each k (of each key): nodes of a total degree above k, edges among them, and their density (null for less than two nodes).
 
-    Both counts are suffix sums of histograms by degree, so neither depends on the number of ks.
+    Both counts are suffix sums of histograms by degree, so neither depends on the number of ks. With key columns `by` the
+    edges are many graphs on the same nodes.
     """
-    deg = degrees(edge, nodes).select("id", (F.col("in_degree") + F.col("out_degree")).alias("d"))
-    at = lambda c, d: deg.select(F.col("id").alias(c), F.col("d").alias(d))
-    lower = edge.join(at("src", "a"), "src").join(at("dst", "b"), "dst").groupBy(F.least("a", "b").alias("d")).agg(F.count(F.lit(1)).alias("e"), F.lit(0).cast("long").alias("n"))
-    hist = lower.select("d", "e", "n").union(deg.groupBy("d").agg(F.lit(0).cast("long").alias("e"), F.count(F.lit(1)).alias("n")))
+    some = edge.select(*by, F.explode(F.array("src", "dst")).alias("id")).groupBy(*by, "id").agg(F.count(F.lit(1)).alias("d"))
+    whole = nodes.select("id") if not by else edge.select(*by).distinct().crossJoin(nodes.select("id"))
+    deg = whole.join(some, [*by, "id"], "left").na.fill(0, ["d"])
+    at = lambda c, d: deg.select(*by, F.col("id").alias(c), F.col("d").alias(d))
+    lower = edge.join(at("src", "a"), [*by, "src"]).join(at("dst", "b"), [*by, "dst"]).groupBy(*by, F.least("a", "b").alias("d")).agg(F.count(F.lit(1)).alias("e"), F.lit(0).cast("long").alias("n"))
+    hist = lower.select(*by, "d", "e", "n").union(deg.groupBy(*by, "d").agg(F.lit(0).cast("long").alias("e"), F.count(F.lit(1)).alias("n")))
     asked = F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("k"), F.col("d").alias("d")) for k in sorted(set(ks)))))
     # every degree's bin goes to the ks below it; bins are few (distinct degrees), so are the ks
-    binned = hist.groupBy("d").agg(F.sum("e").alias("e"), F.sum("n").alias("n"))
-    got = binned.select(asked.alias("q"), "e", "n").groupBy("q.k").agg(F.sum(F.when(F.col("q.d") > F.col("q.k"), F.col("n")).otherwise(0)).cast("long").alias("nodes"), F.sum(F.when(F.col("q.d") > F.col("q.k"), F.col("e")).otherwise(0)).cast("long").alias("edges"))
-    return got.select("k", "nodes", "edges", F.when(F.col("nodes") > 1, F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))).alias("phi"))
+    binned = hist.groupBy(*by, "d").agg(F.sum("e").alias("e"), F.sum("n").alias("n"))
+    got = binned.select(*by, asked.alias("q"), "e", "n").groupBy(*by, "q.k").agg(F.sum(F.when(F.col("q.d") > F.col("q.k"), F.col("n")).otherwise(0)).cast("long").alias("nodes"), F.sum(F.when(F.col("q.d") > F.col("q.k"), F.col("e")).otherwise(0)).cast("long").alias("edges"))
+    return got.select(*by, "k", "nodes", "edges", F.when(F.col("nodes") > 1, F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))).alias("phi"))
 
 
 def rich_club_regime(curve: DataFrame, above: float = 1.01, least: int = 10) -> DataFrame:

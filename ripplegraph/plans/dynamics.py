@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.draws import uniform32_sql
+from ..operators import communities as C
 from ..operators import dynamics as D
 from ..operators import ingest as I
 from ..operators import nulls as N
+from ..operators import paths as P
 from ..operators import stats as S
 from ..operators import warehouse as H
 from ..session import ship, written
 from ..sources import adapters as A
 from ..sources.adapters import EVENTS_SQL
-from .graph import MEANS_SQL, events, graph, known, rounded
+from ..sources.cache import prepared
+from .graph import KS, MEANS_SQL, events, graph, known, rounded
+
+#: Samples of each null model.
+SEEDS = [1, 2, 3]
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -41,63 +47,161 @@ def _kept_degrees(rewired, nodes):
     return both.join(out, ["sample", "id"], "left").join(into, ["sample", "id"], "left").select("sample", "id", F.coalesce("o", F.lit(0)).alias("out_degree"), F.coalesce("i", F.lit(0)).alias("in_degree"))
 
 
-@query(f"WITH {DEG} SELECT s AS sample, d.* FROM d CROSS JOIN (VALUES (1), (2)) t(s)")
-def g15_degree_preserving(spark, sf):
+def _samples(spark, sf, model, seeds):
+    """Samples of a null model of the event graph, prepared once."""
     edge, nodes = events(spark, sf)
-    ship(spark)
-    return _kept_degrees(N.degree_preserving(edge, [1, 2]).distinct().filter("src <> dst"), nodes)
+    return prepared(spark, f"null-{model}", [f"{sf}/events.parquet"], {"seeds": seeds}, lambda: N.null_model(model, edge, nodes, seeds))
 
 
-@query(f"WITH {EVENTS_SQL} SELECT 1 AS sample, count(*) AS mutual FROM e a WHERE EXISTS (SELECT 1 FROM e b WHERE b.src = a.dst AND b.dst = a.src)")
+@query(f"WITH {DEG} SELECT s AS sample, d.* FROM d CROSS JOIN (VALUES (1), (2), (3)) t(s)")
+def g15_degree_preserving(spark, sf):
+    _, nodes = events(spark, sf)
+    return _kept_degrees(_samples(spark, sf, "degree", SEEDS).distinct().filter("src <> dst"), nodes)
+
+
+@query(f"WITH {EVENTS_SQL}, k AS (SELECT count(*) AS mutual FROM e a WHERE EXISTS (SELECT 1 FROM e b WHERE b.src = a.dst AND b.dst = a.src)) SELECT s AS sample, k.mutual FROM k CROSS JOIN (VALUES (1), (2), (3)) t(s)")
 def g16_reciprocity_preserving(spark, sf):
-    ship(spark)
-    r = N.reciprocity_preserving(events(spark, sf)[0], [1])
+    r = _samples(spark, sf, "reciprocity", SEEDS)
     back = r.select("sample", F.col("dst").alias("src"), F.col("src").alias("dst"))
     return r.join(back, ["sample", "src", "dst"], "left_semi").groupBy("sample").agg(F.count(F.lit(1)).alias("mutual"))
 
 
-@query(f"WITH {EVENTS_SQL} SELECT src, weight, count(*) AS n FROM e GROUP BY ALL")
+@query(f"WITH {EVENTS_SQL}, w AS (SELECT src, weight, count(*) AS n FROM e GROUP BY ALL) SELECT s AS sample, w.* FROM w CROSS JOIN (VALUES (1), (2), (3)) t(s)")
 def g17_reassigned_weights(spark, sf):
-    ship(spark)
     edge, _ = events(spark, sf)
-    new = N.reassign_weights(edge, N.degree_preserving(edge, [1]), 3)
-    return new.groupBy("src", "weight").agg(F.count(F.lit(1)).alias("n"))
+    new = N.reassign_weights(edge, _samples(spark, sf, "degree", SEEDS), 3)
+    return new.groupBy("sample", "src", "weight").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 500 AS edges, 500 AS distinct_edges, 0 AS loops")
+@query(f"WITH {EVENTS_SQL} SELECT s AS sample, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM e) AS distinct_edges, 0 AS loops FROM (VALUES (1), (2), (3)) t(s)")
 def g14_random_graph(spark, sf):
-    _, nodes = events(spark, sf)
-    g = written(N.erdos_renyi(I.dense_index(nodes, "id", "idx", 4), 500, 7), "random")
-    return g.agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("src", "dst").alias("distinct_edges"), F.count_if(F.col("src") == F.col("dst")).alias("loops"))
+    g = _samples(spark, sf, "random", SEEDS)
+    return g.groupBy("sample").agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("src", "dst").alias("distinct_edges"), F.count_if(F.col("src") == F.col("dst")).alias("loops"))
+
+
+@query(f"""WITH {EVENTS_SQL}, k AS (SELECT unnest(['degree', 'reciprocity', 'random']) AS model, count(*) AS edges FROM e)
+SELECT model, s AS sample, CASE WHEN model <> 'reciprocity' THEN edges END AS edges, 0 AS loops, 0 AS repeats FROM k CROSS JOIN (VALUES (1), (2), (3)) t(s)""")
+def g18_null_models(spark, sf):
+    """Every null model by its name. The reciprocity model may leave out some edges of a dense graph, so their number is not compared."""
+    out = None
+    for model in ("degree", "reciprocity", "random"):
+        one = F.count(F.lit(1))
+        kept = F.lit(None).cast("long") if model == "reciprocity" else one
+        g = _samples(spark, sf, model, SEEDS).groupBy("sample").agg(kept.alias("edges"), F.count_if(F.col("src") == F.col("dst")).alias("loops"), (one - F.count_distinct("src", "dst")).alias("repeats"))
+        out = g.withColumn("model", F.lit(model)) if out is None else out.unionByName(g.withColumn("model", F.lit(model)))
+    return out
+
+
+def strong_communities(spark, sf):
+    pairs = S.undirected(graph(spark, sf, 25))
+    return prepared(spark, "communities", [f"{sf}/{t}.parquet" for t in ("lineitem", "supplier", "nation", "part")], {"least": 25}, lambda: C.communities(pairs, passes=2))
 
 
 @query()
 def g12_communities(spark, sf):
-    ship(spark)
-    return N.communities(S.undirected(graph(spark, sf, 25)))
+    return strong_communities(spark, sf)
 
 
 @query()
 def g28_community_report(spark, sf):
-    ship(spark)
-    pairs = S.undirected(graph(spark, sf, 25))
-    found = written(N.communities(pairs), "communities")
+    """Modularity of the communities, of a rewired graph's, and of two partitions by annotation; sizes, and agreement with the annotations."""
+    edge = graph(spark, sf, 25)
+    pairs = written(S.undirected(edge), "pairs")
+    found = strong_communities(spark, sf)
+    ends = found.select("id")
+    named = A.part_nodes(spark, sf).join(ends, "id").select("id", F.col("super_class"), F.col("cell_type"))
+    null = N.degree_preserving(edge, [1], attempts=3).select("src", "dst", F.lit(1).alias("weight"))
+    flat = pairs.select("lo", "hi", F.lit(1).alias("weight"))
+    null_pairs = written(S.undirected(null).select("lo", "hi", F.lit(1).alias("weight")), "pairs")
+    one = lambda name, df, c: df.select(F.lit(name).alias("name"), F.col(c).cast("double").alias("value"))
     sizes = found.groupBy("community").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("communities"), F.max("n").alias("largest"))
-    return rounded(S.modularity(pairs, found, "community").crossJoin(sizes))
+    parts = [
+        one("modularity", S.modularity(pairs, found, "community"), "modularity"),
+        one("modularity, unweighted", S.modularity(flat, C.communities(flat, passes=1), "community"), "modularity"),
+        one("modularity, rewired", S.modularity(null_pairs, C.communities(null_pairs, passes=1), "community"), "modularity"),
+        one("communities", sizes, "communities"), one("largest", sizes, "largest"),
+    ]
+    for c in ("super_class", "cell_type"):
+        both = found.join(named, "id")
+        agree = written(S.partition_agreement(both, "community", c), "agreement")
+        parts += [one(f"modularity of {c}", S.modularity(pairs, named.withColumn(c, F.coalesce(c, F.lit("(none)"))), c), "modularity"), one(f"nmi with {c}", agree, "nmi"), one(f"ari with {c}", agree, "ari")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return rounded(out)
+
+
+@query()
+def g28_community_composition(spark, sf):
+    """The fifteen largest communities with their commonest classes and types."""
+    found, nodes = strong_communities(spark, sf), A.part_nodes(spark, sf)
+    parts = [C.composition(found, nodes.select("id", F.col(c).alias("label")), c) for c in ("super_class", "cell_type")]
+    return rounded(parts[0].unionByName(parts[1]))
 
 
 @query(f"""WITH {EVENTS_SQL}, s AS (SELECT src % 3 AS sample, src % 2 AS name, count(*) AS value FROM e GROUP BY 1, 2), r AS (SELECT src % 2 AS name, count(*) AS v FROM e GROUP BY 1)
 SELECT name, v AS real, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS spread, round(v / avg(value), 6) AS ratio, round((v - avg(value)) / stddev_samp(value), 6) AS z FROM r JOIN s USING (name) GROUP BY name, v""")
 def g29_null_summary(spark, sf):
+    """The summary's arithmetic alone, on groups of the real edges; g29_null_ensemble has null models."""
     e, _ = events(spark, sf)
     samples = e.groupBy((F.col("src") % 3).alias("sample"), (F.col("src") % 2).alias("name")).agg(F.count(F.lit(1)).alias("value"))
     real = e.groupBy((F.col("src") % 2).alias("name")).agg(F.count(F.lit(1)).alias("value"))
     return rounded(N.null_summary(real, samples))
 
 
-@query("SELECT round((0.3 / 0.01) / (2.9 / 2.4), 6) AS s")
+def _real(edge):
+    return edge.select(F.lit(0).cast("long").alias("sample"), "src", "dst")
+
+
+def _measured(spark, sf, model):
+    """(sample, name, value) of the samples of a model, or of the real graph as sample 0."""
+    edge, nodes = events(spark, sf)
+    given = _real(edge) if model == "real" else _samples(spark, sf, model, SEEDS)
+    return prepared(spark, f"measures-{model}", [f"{sf}/events.parquet"], {"seeds": SEEDS, "ks": KS}, lambda: N.measures(given, nodes, KS))
+
+
+@query()
+def g29_null_ensemble(spark, sf):
+    """Reciprocity, transitivity and every triad class of the event graph against its degree-preserving samples."""
+    keep = "name NOT LIKE 'rich:%'"
+    return rounded(N.null_summary(_measured(spark, sf, "real").filter(keep), _measured(spark, sf, "degree").filter(keep)))
+
+
+@query()
+def f4_motif_log_ratios(spark, sf):
+    """Triads of two dyads at least: log2 of the real number over the mean of each ensemble, with the z value; null where a mean is 0."""
+    out = None
+    for model in ("degree", "random"):
+        real = _measured(spark, sf, "real").filter("name LIKE 'triad:%' AND name NOT IN ('triad:003', 'triad:012', 'triad:102')")
+        got = N.null_summary(real, _measured(spark, sf, model)).select(F.substring_index("name", ":", -1).alias("triad"), F.lit(model).alias("model"), "real", "mean", F.when(F.col("ratio") > 0, F.log2("ratio")).alias("log_ratio"), "z")
+        out = got if out is None else out.unionByName(got)
+    return rounded(out)
+
+
+@query()
+def f5_normalised_rich_club(spark, sf):
+    """(k, nodes, phi, phi_null, normalised): the rich-club curve over the mean of the degree-preserving samples."""
+    edge, nodes = events(spark, sf)
+    return rounded(N.normalised_rich_club(S.rich_club(edge, nodes, KS), _measured(spark, sf, "degree")))
+
+
+@query()
+def g11_normalised_regime(spark, sf):
+    edge, nodes = events(spark, sf)
+    curve = N.normalised_rich_club(S.rich_club(edge, nodes, KS), _measured(spark, sf, "degree"))
+    return rounded(S.rich_club_regime(curve.select("k", F.col("normalised").alias("value"), "nodes")))
+
+
+@query()
 def g30_small_world(spark, sf):
-    return rounded(spark.range(1).select(N.small_world(F.lit(0.3), F.lit(0.01), F.lit(2.9), F.lit(2.4)).alias("s")))
+    """Clustering against a random graph over mean path length against it, both computed from the event graph."""
+    edge, nodes = events(spark, sf)
+    drawn = _samples(spark, sf, "random", SEEDS).filter("sample = 1").select("src", "dst")
+    every = nodes.filter("id % 3 = 0")  # sampled sources
+    c = [written(_measured(spark, sf, m).filter(f"name = 'transitivity' AND sample = {k}").select("value"), "clustering") for m, k in (("real", 0), ("random", 1))]
+    length = [written(P.path_summary(P.search_levels(g, every)).select("mean"), "length") for g in (edge, drawn)]
+    row = c[0].toDF("c").crossJoin(c[1].toDF("cr")).crossJoin(length[0].toDF("l")).crossJoin(length[1].toDF("lr"))  # one row each
+    return rounded(row.select("c", "cr", "l", "lr", N.small_world(F.col("c"), F.col("cr"), F.col("l"), F.col("lr")).alias("s")))
 
 
 # -- networks and dynamics -----------------------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from ..operators import ingest as I
 from ..operators import stats as S
 from ..sources import adapters as A
 from ..sources.adapters import CLASSES, EDGES_SQL, EVENTS_SQL, NODES_SQL, RAW_SQL
+from ..sources.cache import prepared
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -28,22 +29,26 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*(F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
+def _files(sf: str, *names: str) -> list[str]:
+    return [f"{sf}/{name}.parquet" for name in names]
+
+
 def known(spark: SparkSession, sf: str) -> DataFrame:
-    return I.known_rows(A.coorder_rows(spark, sf), A.part_nodes(spark, sf))
+    """The known rows of the co-order graph, prepared once for these input files."""
+    return prepared(spark, "known", _files(sf, "lineitem", "supplier", "nation", "part"), {}, lambda: I.known_rows(A.coorder_rows(spark, sf), A.part_nodes(spark, sf)))
 
 
 def graph(spark: SparkSession, sf: str, least: int = 1) -> DataFrame:
-    return I.simple_graph(I.edges(known(spark, sf)), least)
+    edge = prepared(spark, "edges", _files(sf, "lineitem", "supplier", "nation", "part"), {}, lambda: I.edges(known(spark, sf)))
+    return I.simple_graph(edge, least)
 
 
 def events(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Edges and nodes of the graph of consecutive events."""
-    rows = A.event_rows(spark, sf)
+    edge = prepared(spark, "event-edges", _files(sf, "events"), {}, lambda: I.simple_graph(I.edges(A.event_rows(spark, sf))))
     nodes = A.read(spark, sf, "events").select(F.col("user_id").alias("id")).distinct()
-    return I.simple_graph(I.edges(rows)), nodes
-
+    return edge, nodes
 
-# -- rows, encodings, ingest ---------------------------------------------------------------------------------------
 
 ONE_HOT = ", ".join(f"CAST(class = '{c}' AS INT) AS p{i}" for i, c in enumerate(CLASSES))
 

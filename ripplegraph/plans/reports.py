@@ -137,14 +137,31 @@ def g22_expanded_subgraph(spark, sf):
     return inside.agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("weight")).crossJoin(H.list_digest(ids, "id"))
 
 
+def _bottlenecks(spark, sf):
+    edge, nodes = events(spark, sf)
+    return P.bottlenecks(edge.filter("weight >= 2"), nodes, 64, 11), nodes
+
+
 @query()
 def g27_bottlenecks(spark, sf):
-    edge, nodes = events(spark, sf)
-    strong = edge.filter("weight >= 2")
-    half = [P.betweenness(strong, nodes, nodes.filter(F.col("id") % 2 == k)) for k in (0, 1)]
-    both = written(half[0].withColumnRenamed("betweenness", "a").join(half[1].withColumnRenamed("betweenness", "b"), "id"), "halves")
-    top = [S.top_nodes(both.select("id", F.col(c).alias("v")), "v", 20) for c in ("a", "b")]
-    return rounded(S.correlations(both, "a", "b").crossJoin(S.jaccard(*top, "id")), 4)
+    """Each node's betweenness from either sample of sources and on average."""
+    return rounded(_bottlenecks(spark, sf)[0][0], 4)
+
+
+@query()
+def g27_bottleneck_agreement(spark, sf):
+    return rounded(_bottlenecks(spark, sf)[0][1], 4)
+
+
+@query()
+def g27_bottleneck_shares(spark, sf):
+    """Which event type users have most of: its share among the top percent of bottlenecks and among all users."""
+    from pyspark.sql import Window as W
+
+    (values, _), nodes = _bottlenecks(spark, sf)
+    counts = A.read(spark, sf, "events").groupBy(F.col("user_id").alias("id"), F.col("event_type").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    most = counts.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.col("n").desc(), "label"))).filter("r = 1").select("id", "label")
+    return rounded(P.shares_at_the_top(values, "betweenness", nodes.join(most, "id", "left").select("id", "label")), 6)
 
 
 @query(f"WITH {EVENTS_SQL}, s AS (SELECT src % 3 AS sample, src % 4 AS name, count(*) AS v FROM e GROUP BY 1, 2), r AS (SELECT src % 4 AS name, count(*) AS v FROM e GROUP BY 1) SELECT name, round(log2(r.v / avg(s.v)), 6) AS log_ratio FROM r JOIN s USING (name) GROUP BY name, r.v")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import written
+
 # The six classes of a row, and the spellings of a missing region.
 CLASSES = ("AF", "AO", "NF", "NO", "RF", "RO")
 MISSING_REGIONS = ("UNASGD", "None")
@@ -46,15 +48,24 @@ def part_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("super_class"), F.col("p_brand").alias("cell_type"), (F.col("p_size") % 2).alias("side"), F.col("p_size").alias("size"))
 
 
-def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users in the order of their events: a row from each event's user to the next event's user.
+def successors(rows: DataFrame, order: list[str], columns: list[str], partitions: int = 32) -> DataFrame:
+    """rows with next, a struct of the columns of the row that follows in the order of all rows (null for the last).
 
-    The order of all events is one sequence: the window has one partition and suits up to some million events.
+    Rows are dealt by ranges of the order; within a range a window looks ahead, and the last row of a range takes the first
+    row of the next range that has one. No task holds more than a range, and one row of each range is looked at together.
     """
-    events = read(spark, sf_dir, "events")
-    order = W.orderBy("ts", "event_id")
-    rows = events.select(F.col("user_id").alias("src"), F.lead("user_id").over(order).alias("dst"), F.col("event_type").alias("region"), F.lit(1).cast("long").alias("weight"))
-    return rows.filter("dst IS NOT NULL")
+    spread = written(rows.repartitionByRange(partitions, *order).withColumn("range", F.spark_partition_id()), "ordered")
+    own = spread.withColumn("ahead", F.lead(F.struct(*columns)).over(W.partitionBy("range").orderBy(*order)))
+    first = spread.groupBy("range").agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("first"))
+    after = first.select("range", F.lead("first").over(W.orderBy("range")).alias("carried"))  # a row for each range
+    return own.join(F.broadcast(after), "range").withColumn("next", F.coalesce("ahead", "carried")).drop("range", "ahead", "carried")
+
+
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users in the order of their events: a row from each event's user to the next event's user."""
+    events = read(spark, sf_dir, "events").select("ts", "event_id", "user_id", "event_type")
+    rows = successors(events, ["ts", "event_id"], ["user_id"]).filter("next IS NOT NULL")
+    return rows.select(F.col("user_id").alias("src"), F.col("next.user_id").alias("dst"), F.col("event_type").alias("region"), F.lit(1).cast("long").alias("weight"))
 
 
 #: The same tables for DuckDB, as common table expressions.
