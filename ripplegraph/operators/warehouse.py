@@ -177,8 +177,9 @@ def regimes_by_gain(points: DataFrame) -> DataFrame:
 def off_window(series: DataFrame, off_from: int) -> DataFrame:
     """Of each run: pulses a step while input is on and in the last third after it ended, first silent step after it ended, and the
     gap between pulses so far and their share of time at every step's end (its largest)."""
-    end = series.groupBy().agg((F.max("t") + 1).alias("steps"))
-    s = series.crossJoin(F.broadcast(end)).withColumn("upto", F.sum("pulses").over(W.partitionBy("run").orderBy("t").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    # A run ends with its own last step; runs of a sweep may be of different length.
+    end = series.groupBy("run").agg((F.max("t") + 1).alias("steps"))
+    s = series.join(end, "run").withColumn("upto", F.sum("pulses").over(W.partitionBy("run").orderBy("t").rowsBetween(W.unboundedPreceding, W.currentRow)))
     tail = F.col("steps") - tail_steps(F.col("steps"), off_from)
     return s.groupBy("run").agg(F.avg(F.when(F.col("t") < off_from, F.col("pulses"))).alias("on"), F.coalesce(F.avg(F.when(F.col("t") >= tail, F.col("pulses"))), F.lit(0.0)).alias("late"), F.min(F.when((F.col("t") >= off_from) & (F.col("pulses") == 0), F.col("t"))).alias("first_silent"), F.max("upto").alias("pulses"))
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import checks as C
 from ..session import written
 from ..sources import adapters as A
-from ..sources import files
+from ..sources import arrow, files, store
+from ..sources.adapters import NODES_SQL, RAW_SQL
 from .graph import COUNT_SQL, rounded
 
 QUERIES: dict = {}
@@ -95,26 +96,61 @@ def checks_overall(spark, sf):
     return C.overall(checked(spark, sf))
 
 
-@query("SELECT p_partkey AS id, p_name AS name, p_size AS size FROM part")
-def s5_s6_store_round_trip(spark, sf):
+def _folder(spark, name):
+    """A folder of its own for each call."""
+    import uuid
+
     from ..session import scratch_dir
 
-    part = A.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("size"))
-    path = f"{scratch_dir(spark)}/store"
-    files.write_store({"part": part}, path)
-    return files.read_store(spark, path)["part"]
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("SELECT r_regionkey AS id, r_name AS name, CAST(r_regionkey AS DOUBLE) / 2 AS half FROM region")
-def s3_tsv_round_trip(spark, sf):
-    from ..session import scratch_dir
+@query(f"WITH {NODES_SQL} SELECT id, super_class, cell_type, side, size FROM nodes")
+def s5_s6_store_round_trip(spark, sf):
+    """The second version of a store, opened with its digests verified."""
+    path, nodes = _folder(spark, "store"), A.part_nodes(spark, sf)
+    store.write_store({"nodes": nodes.filter("id % 2 = 0")}, path)
+    store.write_store({"nodes": nodes}, path)
+    return store.read_store(spark, path)["nodes"]
 
-    path = f"{scratch_dir(spark)}/tsv"
-    region = A.read(spark, sf, "region")
-    region.select(F.concat(F.col("r_regionkey").cast("string"), F.lit(".0")).alias("id"), F.col("r_name").alias("name"), (F.col("r_regionkey") / 2).alias("half")).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+
+@query()
+def a1_locked_inputs(spark, sf):
+    """Check A1: each raw file that a store was made from, and whether it is the same now."""
+    path = _folder(spark, "store")
+    raw = [f"{sf}/{t}.parquet" for t in ("part", "lineitem", "supplier", "nation")]
+    store.write_store({"nodes": A.part_nodes(spark, sf)}, path, store.listing_of(spark, raw))
+    now = store.listing_of(spark, raw)
+    return now.join(store.changed_inputs(now, path), "name", "left").select("name", F.coalesce("problem", F.lit("same")).alias("status"))
+
+
+@query("SELECT name, problem FROM (VALUES ('part', 'new'), ('nation', 'size'), ('orders', 'missing')) t(name, problem)")
+def s8_catalogue(spark, sf):
+    """Tables as they are against a lock in which one is left out, one has another size and one is there too much."""
+    path = _folder(spark, "catalogue")
+    tables = [f"{sf}/{t}.parquet" for t in ("part", "nation", "region", "customer")]
+    now = store.listing_of(spark, tables).groupBy(F.split("name", r"\.")[0].alias("name")).agg(F.sum("size").alias("size"), F.sha2(F.array_join(F.array_sort(F.collect_list("sha256")), ","), 256).alias("sha256"))
+    declared = now.filter("name <> 'part'").withColumn("size", F.when(F.col("name") == "nation", F.col("size") + 1).otherwise(F.col("size")))
+    store.lock(declared.union(now.filter("name = 'part'").select(F.lit("orders"), "size", "sha256")), path)
+    return store.match(now, store.locked(spark, path))
+
+
+@query("SELECT p_partkey AS id, p_name AS name, p_retailprice / 2 AS half FROM part")
+def s3_tsv_round_trip(spark, sf):
+    path, part = _folder(spark, "tsv"), A.read(spark, sf, "part")
+    part.select(F.concat(F.col("p_partkey").cast("string"), F.lit(".0")).alias("id"), F.col("p_name").alias("name"), (F.col("p_retailprice") / 2).alias("half")).write.option("sep", "\t").option("header", True).csv(path)
     return files.read_tsv(spark, path, ("half",), ("id",))
 
 
+@query(f"WITH {RAW_SQL} SELECT src, dst, weight FROM raw")
+def s1_arrow_scan(spark, sf):
+    """Raw rows written as Arrow files by many tasks, and three of their columns read by groups of record batches."""
+    path = _folder(spark, "arrow")
+    arrow.register(spark)
+    A.coorder_rows(spark, sf).write.format(arrow.NAME).mode("append").save(path)
+    return spark.read.format(arrow.NAME).schema("src long, dst long, weight long").load(path)
+
+
 @query("SELECT o_orderkey AS run, o_orderpriority AS subgraph FROM orders WHERE o_orderkey % 3 < 2")
 def s9_records(spark, sf):
     import uuid

@@ -73,9 +73,10 @@ _LAST = "CASE WHEN steps > 30 THEN greatest((steps - 30) // 3, 1) ELSE 0 END"
 _TAIL = f"t >= steps - {_LAST}"
 
 
-@query(f"WITH {SERIES_SQL}, s AS (SELECT *, max(t) OVER () + 1 AS steps FROM series) SELECT run, round(avg(pulses) FILTER (t < 30), 6) AS on, round(coalesce(avg(pulses) FILTER ({_TAIL}), 0), 6) AS late, min(t) FILTER (t >= 30 AND pulses = 0) AS first_silent, CAST(sum(pulses) AS BIGINT) AS pulses FROM s GROUP BY run".replace(" AS on,", ' AS "on",'))
+@query(f"WITH {SERIES_SQL}, s AS (SELECT *, max(t) OVER (PARTITION BY run) + 1 AS steps FROM series WHERE run <> 'click' OR t < 41) SELECT run, round(avg(pulses) FILTER (t < 30), 6) AS on, round(coalesce(avg(pulses) FILTER ({_TAIL}), 0), 6) AS late, min(t) FILTER (t >= 30 AND pulses = 0) AS first_silent, CAST(sum(pulses) AS BIGINT) AS pulses FROM s GROUP BY run".replace(" AS on,", ' AS "on",'))
 def w9_off_window(spark, sf):
-    return rounded(H.off_window(series(spark, sf), OFF))
+    """One of the runs ends earlier than the others."""
+    return rounded(H.off_window(series(spark, sf).filter("run <> 'click' OR t < 41"), OFF))
 
 
 @query(f"""WITH {SERIES_SQL}, s AS (SELECT *, max(t) OVER (PARTITION BY run) + 1 AS steps FROM series) SELECT run, steps, CAST(sum(pulses) AS BIGINT) AS pulses, CAST(sum(arrivals) AS BIGINT) AS arrivals,

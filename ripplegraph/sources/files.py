@@ -1,4 +1,4 @@
-"""Files: readers, verified stores, and sinks of records.
+"""Files: readers, digests, and sinks of records.
 
 Readers return DataFrames; formats that Spark does not read itself go through binaryFile and an Arrow function, so
 that any file system Spark knows will do.
@@ -7,7 +7,6 @@ that any file system Spark knows will do.
 from __future__ import annotations
 
 import io
-import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -79,36 +78,6 @@ def verified(found: DataFrame, expected: DataFrame) -> DataFrame:
     return e.join(found, "name", "left").select("name", problem.alias("problem")).filter("problem IS NOT NULL")
 
 
-def _hadoop(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
-
-
-def write_store(tables: dict[str, DataFrame], path: str, version: int = 1) -> None:
-    """Writes tables beside each other and then renames the folder into place, so readers see all or nothing; with a manifest."""
-    spark = next(iter(tables.values())).sparkSession
-    fs, target, jvm = _hadoop(spark, path)
-    draft = jvm.org.apache.hadoop.fs.Path(path + ".tmp")
-    fs.delete(draft, True)
-    manifest = []
-    for name, df in tables.items():
-        df.write.parquet(f"{path}.tmp/{name}")
-        manifest.append((name, version, json.dumps(json.loads(df.schema.json()), sort_keys=True)))
-    spark.createDataFrame(manifest, "name string, version int, schema string").coalesce(1).write.json(f"{path}.tmp/manifest")
-    fs.delete(target, True)
-    if not fs.rename(draft, target):
-        raise OSError(f"cannot move the store to {path}")
-
-
-def read_store(spark: SparkSession, path: str, only: list[str] | None = None, version: int = 1) -> dict[str, DataFrame]:
-    """Tables of a store by name, lazily; an error on another format version."""
-    manifest = spark.read.json(f"{path}/manifest").collect()  # a row per table
-    if bad := [m["name"] for m in manifest if m["version"] != version]:
-        raise ValueError(f"another format version: {bad}")
-    return {m["name"]: spark.read.schema(T.StructType.fromJson(json.loads(m["schema"]))).parquet(f"{path}/{m['name']}") for m in manifest if only is None or m["name"] in only}
-
-
 def append_records(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
@@ -153,8 +122,6 @@ def parse_size(text: str) -> int:
 
 
 def format_size(n: float) -> str:
-    for unit in ("B", "KiB", "MiB", "GiB"):
-        if n < 1024 or unit == "GiB":
-            return f"{n:.4g} {unit}"
-        n /= 1024
-    return ""
+    """Bytes in the largest of four units of which there is one at least."""
+    power = max(0, min(3, (int(n).bit_length() - 1) // 10))
+    return f"{n / 1024**power:.4g} {('B', 'KiB', 'MiB', 'GiB')[power]}"
