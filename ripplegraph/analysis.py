@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import communities, ingest, motifs, paths, stats
+from .operators import communities, ingest, motifs, nulls, paths, stats
 from .session import written
 
 
@@ -44,6 +45,10 @@ class Graph:
         self.log.append((step, f"{'run' if ok else 'skipped'}: {n} wedges"))
         return ok
 
+    def gate(self, rates: DataFrame, limit_s: float, safety: float = 1.5) -> DataFrame:
+        """(step, wedges, estimate_s, decision) of steps with measured rates (step, wedges_per_s), see calibrate."""
+        return cost_gate(stats.wedges(self.pairs), rates, limit_s, safety)
+
     def describe(self, sources: DataFrame | None = None, most_wedges: int = 10**11) -> dict[str, DataFrame]:
         """Tables of the report by name; steps that the cost gate skips are missing and in the log."""
         out = {
@@ -66,3 +71,25 @@ class Graph:
 
     def expand(self, seed: int, size: int) -> Graph:
         return self.subgraph(paths.expand(self.edges, seed, size).select("id"))
+
+
+def cost_gate(wedges: DataFrame, rates: DataFrame, limit_s: float, safety: float = 1.5) -> DataFrame:
+    """(step, wedges, estimate_s, decision): wedges over a step's measured throughput, times a margin of safety; run, or skip above the limit."""
+    estimate = F.col("wedges") * safety / F.col("wedges_per_s")
+    got = rates.select("step", "wedges_per_s").crossJoin(wedges).withColumn("estimate_s", estimate)  # one row of wedges
+    return got.select("step", "wedges", "estimate_s", F.when(F.col("estimate_s") <= limit_s, "run").otherwise("skip").alias("decision"))
+
+
+def calibrate(spark: SparkSession, nodes: int = 2_000, edges: int = 40_000, seed: int = 1) -> DataFrame:
+    """(step, wedges, seconds, wedges_per_s): the throughput of the wedge-bound steps here and now, on a random graph of the given size."""
+    some = spark.range(nodes).select("id", F.col("id").alias("idx"))
+    drawn = written(nulls.erdos_renyi(some, edges, seed).withColumn("weight", F.lit(1).cast("long")), "calibration")
+    pairs = written(stats.undirected(drawn), "calibration")
+    n = stats.wedges(pairs).first()["wedges"]
+    rows = []
+    for step, table in (("clustering", motifs.clustering(pairs, some)), ("triads", motifs.triad_census(drawn, some))):
+        begin = time.monotonic()
+        table.collect()  # one row, or sixteen
+        took = time.monotonic() - begin
+        rows.append((step, n, took, n / took))
+    return spark.createDataFrame(rows, "step string, wedges long, seconds double, wedges_per_s double")

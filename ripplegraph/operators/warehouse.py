@@ -139,16 +139,6 @@ def model_errors(runs: DataFrame, terms: list[str], measure: str, weights: list[
     return runs.filter(F.col(measure) > 0).agg(F.percentile(e, F.lit(0.5)).alias("median"), F.percentile(e, F.lit(0.9)).alias("p90"), F.max(e).alias("largest"))
 
 
-def interpolated(points: DataFrame, at: DataFrame) -> DataFrame:
-    """Value at each asked rate by log-linear interpolation between the neighbouring points (rate, value); null outside them."""
-    w = W.orderBy("rate")
-    seg = points.select("rate", "value", F.lead("rate").over(w).alias("rate2"), F.lead("value").over(w).alias("value2"))
-    inside = (F.col("asked") >= F.col("rate")) & (F.col("asked") <= F.coalesce("rate2", "rate"))
-    got = at.select(F.col("rate").alias("asked")).join(F.broadcast(seg), inside, "left")
-    share = F.coalesce(F.try_divide(F.ln("asked") - F.ln("rate"), F.ln("rate2") - F.ln("rate")), F.lit(0.0))
-    return got.groupBy(F.col("asked").alias("rate")).agg(F.min_by(F.col("value") + share * (F.coalesce("value2", "value") - F.col("value")), F.col("rate")).alias("value"))
-
-
 def cell_statistics(runs: DataFrame, keys: list[str], measure: str) -> DataFrame:
     return runs.groupBy(*keys).agg(F.median(measure).alias("median"), F.min(measure).alias("least"), F.max(measure).alias("largest"), F.count(F.lit(1)).alias("n"))
 

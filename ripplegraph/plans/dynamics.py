@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.draws import uniform32_sql
+from ..operators import asof as J
 from ..operators import communities as C
 from ..operators import dynamics as D
 from ..operators import ingest as I
@@ -460,10 +461,21 @@ def x15_cost_model(spark, sf):
     return rounded(spark.createDataFrame([tuple(w)], "base double, n double, e double").crossJoin(H.model_errors(o, ["base", "n", "e"], "wall", w)))
 
 
-@query("SELECT round(rate, 6) AS rate, round(value, 6) AS value FROM (VALUES (0.01, 2.0), (0.1, 3.0), (1.0, 4.0), (0.03162277660168379, 2.5)) t(rate, value)")
+BUDGET = 160_000.0
+
+
+@query(f"""WITH {RUNS_SQL}, p AS (SELECT subgraph, mode, rate, median(wall) AS value FROM runs GROUP BY ALL),
+s AS (SELECT DISTINCT o_orderpriority AS subgraph, CASE WHEN (o_orderkey // 3) % 2 = 0 THEN 'a' ELSE 'b' END AS mode, exp(-CAST(o_orderkey % 80 AS DOUBLE) / 10) AS rate FROM orders),
+j AS (SELECT s.subgraph, s.mode, s.rate, max(p.rate) FILTER (p.rate <= s.rate) AS r1, arg_max(value, p.rate) FILTER (p.rate <= s.rate) AS v1, min(p.rate) FILTER (p.rate > s.rate) AS r2, arg_min(value, p.rate) FILTER (p.rate > s.rate) AS v2 FROM s JOIN p USING (subgraph, mode) GROUP BY ALL),
+e AS (SELECT subgraph, mode, rate, CASE WHEN r1 = rate THEN v1 ELSE v1 + (ln(rate) - ln(r1)) / (ln(r2) - ln(r1)) * (v2 - v1) END AS estimate FROM j)
+SELECT subgraph, mode, round(rate, 6) AS rate, round(estimate, 2) AS estimate, CASE WHEN estimate IS NULL THEN 'unknown' WHEN estimate <= {BUDGET} THEN 'run' ELSE 'skip' END AS decision FROM e""")
 def x16_interpolated(spark, sf):
-    pts = spark.createDataFrame([(0.01, 2.0), (0.1, 3.0), (1.0, 4.0)], "rate double, value double")
-    return rounded(H.interpolated(pts, spark.createDataFrame([(0.01,), (0.1,), (1.0,), (0.03162277660168379,)], "rate double")))
+    """Scenarios at rates between the measured ones: the interpolated cost, and whether it is within the budget."""
+    measured = H.cell_statistics(runs(spark, sf), ["subgraph", "mode", "rate"], "wall").select("subgraph", "mode", "rate", F.col("median").alias("value"))
+    mode = F.when(F.expr("(o_orderkey div 3) % 2 = 0"), "a").otherwise("b")
+    scenarios = A.read(spark, sf, "orders").select(F.col("o_orderpriority").alias("subgraph"), mode.alias("mode"), F.exp(-(F.col("o_orderkey") % 80).cast("double") / 10).alias("rate")).distinct()
+    got = J.estimates(scenarios, measured, ["subgraph", "mode"], BUDGET)
+    return got.select("subgraph", "mode", F.round("rate", 6).alias("rate"), F.round("estimate", 2).alias("estimate"), "decision")
 
 
 @query("SELECT o_orderkey AS run, o_orderpriority AS phase, round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey), 6) AS share FROM orders")

@@ -14,9 +14,9 @@ from ..operators import stats as S
 from ..operators import warehouse as H
 from ..session import ship, written
 from ..sources import adapters as A
-from ..sources.adapters import EDGES_SQL, EVENTS_SQL, NODES_SQL
-from .dynamics import PAIRED_SQL, PARAMS, RUNS_SQL, _sweep, runs
-from .graph import COUNT_SQL, events, graph, homes, rounded
+from ..sources.adapters import EVENTS_SQL, NODES_SQL
+from .dynamics import PAIRED_SQL, PARAMS, RUNS_SQL, SEEDS, _samples, _sweep, runs
+from .graph import COUNT_SQL, PAIRS_SQL, events, graph, homes, rounded
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -207,8 +207,9 @@ def x4_null_controls(spark, sf):
     edge, nodes = events(spark, sf)
     idx = I.dense_index(nodes, "id", "idx", 4)
     at = lambda c, o: idx.select(F.col("id").alias(c), F.col("idx").alias(o))
+    null = lambda model: N.reassign_weights(edge, _samples(spark, sf, model, SEEDS).filter("sample = 1"), 1)
     out = None
-    for name, g in (("real", edge), ("degree_preserving", N.reassign_weights(edge, N.degree_preserving(edge, [1]), 1)), ("reciprocity_preserving", N.reassign_weights(edge, N.reciprocity_preserving(edge, [1]), 1))):
+    for name, g in (("real", edge), ("degree_preserving", null("degree")), ("reciprocity_preserving", null("reciprocity"))):
         net = g.join(at("src", "a"), "src").join(at("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"), (F.col("weight") * 0.05).alias("w"))
         configs = spark.createDataFrame([(s, 1.0, 0.02, s) for s in (1, 2)], "run long, gain double, rate double, seed long")
         row = D.run_summary(D.kernel(spark, net, configs, nodes.count(), 60, PARAMS, 20), nodes.count(), PARAMS).withColumn("topology", F.lit(name))
@@ -216,13 +217,22 @@ def x4_null_controls(spark, sf):
     return rounded(out)
 
 
-@query(f"WITH {EDGES_SQL} SELECT count(*) AS n, round(avg(weight), 6) AS mean FROM g")
+@query(f"""WITH {PAIRS_SQL}, d AS (SELECT count(*) AS d FROM (SELECT lo AS u FROM pairs UNION ALL SELECT hi FROM pairs) GROUP BY u), w AS (SELECT CAST(sum(d * (d - 1) // 2) AS BIGINT) AS wedges FROM d)
+SELECT step, wedges, round(wedges * 1.5 / rate, 6) AS estimate_s, CASE WHEN wedges * 1.5 / rate <= 60 THEN 'run' ELSE 'skip' END AS decision FROM w CROSS JOIN (VALUES ('clustering', 4e6), ('triads', 2e5)) t(step, rate)""")
 def x23_cost_gate(spark, sf):
-    from ..analysis import Graph
+    """What each wedge-bound step of the whole graph would take at given throughputs, and whether it runs within a minute."""
+    from ..analysis import cost_gate
 
-    g = Graph.from_rows(A.coorder_rows(spark, sf), A.part_nodes(spark, sf))
-    assert not g.allowed("triads", 10) and g.allowed("clustering", 10**12) and len(g.log) == 2
-    return rounded(g.edges.agg(F.count(F.lit(1)).alias("n"), F.avg("weight").alias("mean")))
+    rates = spark.createDataFrame([("clustering", 4e6), ("triads", 2e5)], "step string, wedges_per_s double")
+    return rounded(cost_gate(S.wedges(S.undirected(graph(spark, sf))), rates, 60.0))
+
+
+@query()
+def x23_calibrated_gate(spark, sf):
+    """The same with throughputs measured now."""
+    from ..analysis import calibrate, cost_gate
+
+    return cost_gate(S.wedges(S.undirected(graph(spark, sf))), calibrate(spark), 600.0)
 
 
 @query()

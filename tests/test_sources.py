@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ripplegraph import __main__ as command
-from ripplegraph.operators import warehouse
+from ripplegraph.analysis import Graph, calibrate
+from ripplegraph.operators import asof, warehouse
 from ripplegraph.sources import arrow, store
 
 SF = "/root/testdata/sf0.001"
@@ -119,3 +120,34 @@ def test_commands(spark, tmp_path, capsys):
     assert command.main(["analyze", SF, "--least", "20", "--most-wedges", "10", "--sources", "3"]) == 0
     said = capsys.readouterr().out
     assert "## paths" in said and "clustering: skipped" in said
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 40])
+def test_as_of_join_brackets_every_ask(spark, partitions):
+    """One key holds most rows; asks below, above, on and between points; a key without points; nulls."""
+    import math
+    import random
+
+    rng = random.Random(2)
+    points = [("hot" if i % 5 else "k", 2.0**-i, float(rng.randint(1, 99))) for i in range(60)]
+    asks = [(rng.choice(["hot", "hot", "k", "none", None]), rng.choice([2.0 ** -rng.uniform(-2, 62), 2.0 ** -rng.randint(0, 59)]), i) for i in range(400)]
+    got = asof.bracketed(spark.createDataFrame(asks, "key string, rate double, tag long"), spark.createDataFrame(points, "key string, rate double, value double"), ["key"], "rate", "value", partitions).collect()
+    assert len(got) == len(asks)
+    by_tag = {r["tag"]: r for r in got}
+    for key, rate, tag in asks:
+        mine = sorted((r, v) for k, r, v in points if k == key)
+        below, above = [p for p in mine if p[0] <= rate], [p for p in mine if p[0] > rate]
+        r = by_tag[tag]
+        assert (r["key"], r["rate"]) == (key, rate)
+        assert (tuple(r["below"]) if r["below"] else None) == (below[-1] if below else None)
+        assert (tuple(r["above"]) if r["above"] else None) == (above[0] if above else None)
+    est = {r["tag"]: r for r in asof.estimates(spark.createDataFrame([("hot", math.sqrt(2.0**-1 * 2.0**-2), 1), ("hot", 8.0, 2)], "key string, rate double, tag long"), spark.createDataFrame([("hot", 0.5, 10.0), ("hot", 0.25, 30.0)], "key string, rate double, value double"), ["key"], 15.0, partitions=partitions).collect()}
+    assert est[1]["estimate"] == pytest.approx(20.0) and est[1]["decision"] == "skip" and est[2]["decision"] == "unknown"
+
+
+def test_calibrated_cost_gate(spark):
+    rates = calibrate(spark, 100, 400)
+    assert {r["step"] for r in rates.collect()} == {"clustering", "triads"} and rates.filter("wedges_per_s <= 0").isEmpty()
+    g = Graph(spark.createDataFrame([(0, 1, 1), (1, 2, 1), (2, 3, 1)], "src long, dst long, weight long"), spark.range(4))
+    given = spark.createDataFrame([("clustering", 1.0), ("triads", 0.1)], "step string, wedges_per_s double")
+    assert {tuple(r) for r in g.gate(given, 10.0).collect()} == {("clustering", 2, 3.0, "run"), ("triads", 2, 30.0, "skip")}
