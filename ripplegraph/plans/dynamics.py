@@ -207,8 +207,8 @@ def g30_small_world(spark, sf):
 
 # -- networks and dynamics -----------------------------------------------------------------------------------------
 
-NET_SQL = f"""{MEANS_SQL}, k AS (SELECT src, dst, weight, CASE greatest(q0, q1, q2, q3, q4, q5) WHEN 0 THEN NULL WHEN q0 THEN 0 WHEN q1 THEN 1 WHEN q2 THEN 2 WHEN q3 THEN 3 WHEN q4 THEN 4 ELSE 5 END AS class FROM q),
-f AS (SELECT *, ln(1 + weight) AS f FROM k), m AS (SELECT avg(f) AS norm FROM f),
+NET_SQL = f"""{MEANS_SQL}, k AS MATERIALIZED (SELECT src, dst, weight, CASE greatest(q0, q1, q2, q3, q4, q5) WHEN 0 THEN NULL WHEN q0 THEN 0 WHEN q1 THEN 1 WHEN q2 THEN 2 WHEN q3 THEN 3 WHEN q4 THEN 4 ELSE 5 END AS class FROM q),
+f AS MATERIALIZED (SELECT *, ln(1 + weight) AS f FROM k), m AS (SELECT avg(f) AS norm FROM f),
 net AS (SELECT src, dst, CASE WHEN class IN (2, 4) THEN -1 ELSE 1 END * 2.0 * f / norm AS w FROM f, m WHERE src <> dst AND class IS NOT NULL)"""
 
 
