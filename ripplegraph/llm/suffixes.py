@@ -40,6 +40,8 @@ from .dedup import repeat_test
 LENGTH = 400
 #: Bytes that are parsed at once; groups of a core, and groups of all cores, that a task merges at once.
 CHUNK, FAMILY, MERGED = 1 << 19, 20_000, 40_000
+#: Bytes of a text within which its spans are united at once.
+BLOCK = 1 << 16
 
 _LOW = np.uint64(0xFFFFFFFF)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -253,11 +255,34 @@ def _merged(length: int):
     return run
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each row's spans the runs that they cover together."""
+    for batch in batches:
+        lists = batch.column("spans")
+        cuts = lists.offsets.to_numpy()
+        flat = lists.values
+        start, end = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end"))
+        row = np.repeat(np.arange(len(lists)), np.diff(cuts))
+        start, end = start[cuts[0] : cuts[-1]], end[cuts[0] : cuts[-1]]
+        order = np.lexsort((start, row))
+        row, start, end = row[order], start[order], end[order]
+        # The furthest end so far within the row: rows are lifted above each other, so one running maximum serves all.
+        lift = row * (int(end.max(initial=0)) + 1)
+        reach = np.maximum.accumulate(end + lift)
+        new = np.append(True, (start + lift)[1:] > reach[:-1])[: len(start)] | np.append(True, row[1:] != row[:-1])[: len(start)]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(start)) - 1
+        runs = pa.StructArray.from_arrays([pa.array(start[first]), pa.array((reach - lift)[last])], ["start", "end"])
+        sizes = np.bincount(row[first], minlength=len(lists))
+        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+        yield pa.record_batch([batch.column("key"), pa.ListArray.from_arrays(offsets, runs)], ["key", "spans"])
+
+
 def repeated_spans(texts: DataFrame, length: int = LENGTH, limit: int = FAMILY) -> DataFrame:
     """(key, spans): for each text with a repeated string of `length` bytes, starts and ends of all such strings' stretches.
 
-    texts: key (binary) and text, where equal keys mean equal texts. Spans of one text may overlap; they are a set of
-    structs (start, end) in no order, one for each group of strings at most, and so bounded by the text.
+    texts: key (binary) and text, where equal keys mean equal texts. Spans are structs (start, end) in no order; within BLOCK
+    bytes of a text they are maximal runs, so a text has one per `length` bytes and one per block at most.
     """
     window, _ = widths(length)
     cores = written(texts.mapInArrow(_scan(length), "k long"), "cores")
@@ -296,7 +321,10 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, limit: int = FAMILY)
     spans = whole.unionByName(merging.mapInArrow(_merged(length), "key binary, start long, end long"))
     if single is not None:
         spans = spans.unionByName(single)
-    return written(spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    # Stretches are united block by block of a text, so that a text of one repeated letter is no list of all its positions.
+    blocks = spans.groupBy("key", F.expr(f"start div {BLOCK}").alias("block")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    united = blocks.select("key", "spans").mapInArrow(_united, "key binary, spans array<struct<start: long, end: long>>")
+    return written(united.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -62,6 +62,16 @@ def test_strings_across_chunks(spark, monkeypatch):
     assert got(spark, texts, 400, 7) == brute(texts, 400)
 
 
+def test_spans_are_united(spark, monkeypatch):
+    """A text of one letter is a few runs, however many strings repeat in it, and blocks do not change the result."""
+    monkeypatch.setattr(suffixes, "BLOCK", 1000)
+    texts = ["z" * 30_000, "ab" * 5_000 + "c", "q" * 50, "xyz" + "z" * 500]
+    docs = spark.createDataFrame([(str(i).encode(), t) for i, t in enumerate(texts)], "key binary, text string")
+    spans = {bytes(r["key"]): r["spans"] for r in suffixes.repeated_spans(docs, 400).collect()}
+    assert set(spans) == {b"0", b"1", b"3"} and len(spans[b"0"]) == 30
+    assert got(spark, texts, 400) == brute(texts, 400)
+
+
 def test_query(spark, tmp_path):
     rng = random.Random(4)
     texts = mixture(rng, 30, 1500, "abcdefgh ")
