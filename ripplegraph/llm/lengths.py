@@ -24,7 +24,8 @@ from .common import table, text_or_empty
 BLOCK = 1024
 #: The encoder's matcher keeps a state for each white-space character of a run and gives up at a million of them.
 LONG_RUN = 10_000
-_LONG_RUN = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_RUN},}}")
+_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_LONG_RUN = re.compile(rf"(?<!{_SPACE}){_SPACE}{{{LONG_RUN},}}")  # only from the start of a run, so that shorter ones are read once
 
 
 @lru_cache(2)
