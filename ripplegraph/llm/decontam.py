@@ -16,8 +16,14 @@ capital may have other reasons, the first word of a sentence is read as a name t
 reading may match. Windows with less than half plain words are no evidence in these readings. In a third one, of windows with
 a number or unit, every token stands for itself, so that verbatim passages match whatever they consist of.
 
-Null texts match nothing, nor do items of less than SHORTEST tokens. An item in which a window of tokens is repeated n times
-meets a text that repeats it m times in n x m rows.
+Words for small numbers (NUMBER_WORDS) are numbers too. An item of less than SHORTEST tokens has no windows: it contaminates a
+text in which its tokens stand word for word from the start of a sentence to the end of one (SENTENCE_ENDS, or ends of the
+text), whatever marks are between them.
+Null texts match nothing, nor do items without a token.
+
+A window that a text repeats m times and an item n times is one row of m and one of n places in the join. What is judged
+are offsets with enough windows, the fullest first, until no other can have more. What repeats a template with ever other
+values, none consistent, is judged at each of its offsets.
 """
 
 from __future__ import annotations
@@ -35,7 +41,9 @@ from ..session import written
 from .common import chunks, code_points, digits, letters, mix, prepare, run_hashes, table, text_or_empty
 
 WINDOW, PASSAGE = 8, 13
-SHORTEST = 5  #: tokens; shorter items are no evidence
+SHORTEST = 5  #: tokens; shorter items must be met as whole sentences
+SENTENCE_ENDS = ".!?\n"
+KNOWN_SHAPES = 100  #: verdicts that are remembered at once
 #: Window hashes (8 bytes each) that are broadcast at once at most; a larger benchmark is taken in several blocks.
 BLOCK_WINDOWS = 2_000_000
 
@@ -47,22 +55,23 @@ UNITS = (
     "degree degrees c f k w kw mw v a hz khz mhz ghz b kb mb gb tb n j kj pa kpa mph kmh"
 ).split()
 
+# Words that are numbers.
+NUMBER_WORDS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen"
+).split()
+
 WORD, NUMBER, NAME, UNIT = 0, 1, 2, 3
 #: The kinds that are slots: with names (over words or runs of names), with names as plain words, and verbatim (over words).
 READINGS = ((NUMBER, NAME, UNIT), (NUMBER, UNIT), ())
 
-_ITEM = T.StructType([
-    T.StructField("item_id", T.LongType()),
-    T.StructField("item_key", T.LongType()),
-    T.StructField("item_windows", T.IntegerType()),
-    T.StructField("named", T.BooleanType()),
-    T.StructField("windows", T.IntegerType()),
-    T.StructField("template_windows", T.IntegerType()),
-    T.StructField("template", T.BooleanType()),
-    T.StructField("item_pos", T.IntegerType()),
-    T.StructField("h", T.LongType()),
-    T.StructField("item_slots", T.ArrayType(T.StructType([T.StructField("k", T.IntegerType()), T.StructField("v", T.LongType())]))),
-])
+_SLOTS = "array<struct<k:int,v:bigint>>"
+#: Per item, reading and window: its hash and its places in the item.
+_ITEM = (
+    "item_id bigint, item_key bigint, item_windows int, named boolean, windows int, template_windows int, template boolean, "
+    f"h bigint, places array<struct<at:int,slots:{_SLOTS}>>, size int"
+)
+_FOUND = f"array<struct<h:bigint,spots:array<struct<pos:int,slots:{_SLOTS}>>>>"
 
 
 @cache
@@ -80,30 +89,35 @@ def _folding() -> tuple[np.ndarray, np.ndarray]:
 
 
 @cache
-def _unit_hashes() -> np.ndarray:
-    codes, starts = code_points(UNITS)
-    return np.sort(run_hashes(codes, starts + 1, starts + 1 + np.array([len(u) for u in UNITS])))
+def _hashes(words: tuple[str, ...]) -> np.ndarray:
+    codes, starts = code_points(list(words))
+    return np.sort(run_hashes(codes, starts + 1, starts + 1 + np.array([len(w) for w in words])))
 
 
 _SLOT_HASH = mix(np.array([11, 12, 13, 14], np.uint64))
 
 
 class Tokens:
-    """A sequence of tokens of several texts: hashes, kinds, the text of each and where each text begins."""
+    """A sequence of tokens of several texts: hashes, kinds, the text of each, whether it opens a sentence, and where each text begins."""
 
-    def __init__(self, value: np.ndarray, kind: np.ndarray, text: np.ndarray, texts: int):
-        self.value, self.kind, self.text = value, kind, text
+    def __init__(self, value: np.ndarray, kind: np.ndarray, text: np.ndarray, opens: np.ndarray, texts: int):
+        self.value, self.kind, self.text, self.opens = value, kind, text, opens
         self.bounds = np.searchsorted(text, np.arange(texts + 1))
 
     def windows(self, size: int, slots: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-        """Positions at which windows of this size within one text start that are evidence, and their hashes."""
+        """Positions at which windows of this size within one text start that are evidence, and their hashes.
+
+        Windows below SHORTEST are whole sentences, word for word.
+        """
         n = len(self.value) - size + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         free = np.isin(self.kind, slots)
         template = np.where(free, _SLOT_HASH[self.kind], self.value)
         at = self.text[:n] == self.text[size - 1 :]
-        if slots:
+        if size < SHORTEST:
+            at &= self.opens[:n] & np.append(self.opens, True)[size:]
+        elif slots:
             upto = np.concatenate(([0], np.cumsum(~free)))
             at &= 2 * (upto[size:] - upto[:-size]) >= size
         else:
@@ -132,73 +146,89 @@ def tokens(texts: list[str]) -> tuple[Tokens, Tokens]:
     value = run_hashes(low[codes], begin, end)
     text = np.searchsorted(starts, begin, side="right") - 1
     what = np.where(kind[begin] == 2, NUMBER, WORD).astype(np.int8)
-    joined = np.zeros(len(begin), np.bool_)
+    joined, opens = np.zeros(len(begin), np.bool_), np.zeros(len(begin), np.bool_)
     if len(begin):
         what[upper[codes[begin]] & (end - begin > 1) & ~upper[codes[begin + 1]] & (what == WORD)] = NAME
+        words = np.flatnonzero(what != NUMBER)
+        what[words[np.isin(value[words], _hashes(tuple(NUMBER_WORDS)))]] = NUMBER
         after = np.concatenate(([False], (what[:-1] == NUMBER) & (text[1:] == text[:-1])))
         maybe = np.flatnonzero(after & (what != NUMBER))
-        what[maybe[np.isin(value[maybe], _unit_hashes())]] = UNIT
-        breaks = np.concatenate(([0], np.cumsum(np.isin(codes, np.array([ord(x) for x in ".!?\n"], np.uint32)) & (kind == 0))))
-        joined[1:] = (what[1:] == NAME) & (what[:-1] == NAME) & (text[1:] == text[:-1]) & (breaks[begin[1:]] == breaks[end[:-1]])
+        what[maybe[np.isin(value[maybe], _hashes(tuple(UNITS)))]] = UNIT
+        breaks = np.concatenate(([0], np.cumsum(np.isin(codes, np.array([ord(x) for x in SENTENCE_ENDS], np.uint32)) & (kind == 0))))
+        opens[0] = True
+        opens[1:] = (text[1:] != text[:-1]) | (breaks[begin[1:]] != breaks[end[:-1]])
+        joined[1:] = (what[1:] == NAME) & (what[:-1] == NAME) & ~opens[1:]
     first = np.flatnonzero(~joined)
     place = (np.arange(len(begin)) - np.repeat(first, np.diff(np.append(first, len(begin))))).astype(np.uint64)
     names = np.add.reduceat(np.where(place > 0, mix(value + place), value), first) if len(first) else value
-    return Tokens(names, what[first], text[first], len(texts)), Tokens(value, what, text, len(texts))
+    return Tokens(names, what[first], text[first], opens[first], len(texts)), Tokens(value, what, text, opens, len(texts))
 
 
 def _item_windows(size: int):
+    names = _arrow_items().names
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for item, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 named, plain = tokens([text or ""])
-                if len(plain.value) < SHORTEST:
+                if not (own := min(size, len(plain.value))):
                     continue
-                own = min(size, len(plain.value))
-                for t, readings in ((named, READINGS[:1]), (plain, READINGS[1:])):
+                for t, readings in ((plain, READINGS[2:]),) if own < SHORTEST else ((named, READINGS[:1]), (plain, READINGS[1:])):
                     if len(t.value) < min(own, SHORTEST):
                         continue
                     width = min(own, len(t.value))
-                    # Of verbatim windows the values are kept too, as each stands for itself.
-                    found = [(int(a), int(x), t.slots(a, width, kinds or READINGS[0]), bool(kinds)) for kinds in readings for a, x in zip(*(v.view(np.int64) for v in t.windows(width, kinds)))]
-                    usable = len({a for a, _, _, template in found if template})
-                    rows += [(item, key, len(plain.value) - own + 1, t is named, len(t.value) - width + 1, usable, template, a, x, slots, width) for a, x, slots, template in found]
-            yield pa.RecordBatch.from_pylist([dict(zip([*_ITEM.names, "size"], r)) for r in rows], schema=_arrow_items())
+                    found: dict[tuple[bool, int], list] = {}
+                    usable = set()
+                    for kinds in readings:
+                        for a, h in zip(*(v.view(np.int64).tolist() for v in t.windows(width, kinds))):
+                            # Of verbatim windows the values are kept too, as each stands for itself.
+                            found.setdefault((bool(kinds), h), []).append({"at": a, "slots": t.slots(a, width, kinds or READINGS[0])})
+                            if kinds:
+                                usable.add(a)
+                    rows += [(item, key, len(plain.value) - own + 1, t is named, len(t.value) - width + 1, len(usable), template, h, places, width) for (template, h), places in found.items()]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=_arrow_items())
 
     return run
 
 
+def _slots() -> pa.DataType:
+    return pa.list_(pa.struct([("k", pa.int32()), ("v", pa.int64())]))
+
+
 def _arrow_items() -> pa.Schema:
-    slot = pa.list_(pa.struct([("k", pa.int32()), ("v", pa.int64())]))
-    return pa.schema([("item_id", pa.int64()), ("item_key", pa.int64()), ("item_windows", pa.int32()), ("named", pa.bool_()), ("windows", pa.int32()), ("template_windows", pa.int32()), ("template", pa.bool_()), ("item_pos", pa.int32()), ("h", pa.int64()), ("item_slots", slot), ("size", pa.int32())])
+    place = pa.list_(pa.struct([("at", pa.int32()), ("slots", _slots())]))
+    return pa.schema([("item_id", pa.int64()), ("item_key", pa.int64()), ("item_windows", pa.int32()), ("named", pa.bool_()), ("windows", pa.int32()), ("template_windows", pa.int32()), ("template", pa.bool_()), ("h", pa.int64()), ("places", place), ("size", pa.int32())])
 
 
 def _finder(spark: SparkSession, hashes: np.ndarray, sizes: list[int]):
-    """A function of a text column: the windows of the text whose hash is among these."""
+    """A function of a text column: the windows of the text whose hash is among these, with all their places."""
     bits = np.zeros(1 << 21, np.bool_)
     bits[(hashes.view(np.uint64) & np.uint64((1 << 21) - 1)).astype(np.int64)] = True
     shared = spark.sparkContext.broadcast((np.sort(hashes), np.packbits(bits).tobytes()))
 
-    @F.arrow_udf("array<struct<h:bigint,pos:int,slots:array<struct<k:int,v:bigint>>>>")
+    spots = pa.list_(pa.struct([("pos", pa.int32()), ("slots", _slots())]))
+
+    @F.arrow_udf(_FOUND)
     def find(texts: pa.Array) -> pa.Array:
         known, packed = shared.value
         maybe = np.unpackbits(np.frombuffer(packed, np.uint8)).view(np.bool_)
         out: list[list[dict]] = []
         for part in chunks([t or "" for t in texts.to_pylist()]):
             named, plain = tokens(part)
-            found: list[list[dict]] = [[] for _ in part]
+            found: list[dict[int, list]] = [{} for _ in part]
             for size in sizes:
-                for t, kinds in ((named, READINGS[0]), (plain, READINGS[1]), (plain, READINGS[2])):
+                for t, kinds in ((plain, READINGS[2]),) if size < SHORTEST else ((named, READINGS[0]), (plain, READINGS[1]), (plain, READINGS[2])):
                     at, h = t.windows(size, kinds)
                     near = np.flatnonzero(maybe[(h & np.uint64((1 << 21) - 1)).astype(np.int64)])
                     signed = h[near].view(np.int64)
                     place = np.minimum(np.searchsorted(known, signed), len(known) - 1)
-                    for i in near[known[place] == signed]:
+                    for i, x in zip(*(v[known[place] == signed].tolist() for v in (near, signed))):
                         a = int(at[i])
                         own = int(t.text[a])
-                        found[own].append({"h": int(h[i].astype(np.int64)), "pos": a - int(t.bounds[own]), "slots": t.slots(a, size, kinds)})
-            out += found
-        return pa.array(out, pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.struct([("k", pa.int32()), ("v", pa.int64())])))])))
+                        found[own].setdefault(x, []).append({"pos": a - int(t.bounds[own]), "slots": t.slots(a, size, kinds)})
+            out += [[{"h": h, "spots": places} for h, places in some.items()] for some in found]
+        return pa.array(out, pa.list_(pa.struct([("h", pa.int64()), ("spots", spots)])))
 
     return find
 
@@ -271,14 +301,56 @@ def judged(rows: list[tuple[int, bool, list]], least: int, windows: int, templat
     return best
 
 
+def best_offset(met: list[dict], least: int, windows: int, template_windows: int) -> tuple[int, int, bool]:
+    """The most consistent windows at one offset of a text to an item, the least such offset, and whether a slot has another value.
+
+    met: the windows that both have: whether of a template, their places (at, slots) in the item and spots (pos, slots) in the
+    text. Every offset that has enough windows is judged, unless it has fewer than the best one found, or its values are those
+    of one judged before but for their names.
+    """
+    spots = [{s["pos"]: s["slots"] for s in m["spots"]} for m in met]
+    positions = [np.fromiter(s, np.int64, len(s)) for s in spots]
+    by_place: dict[int, list[tuple[int, list]]] = {}  # what the item has at each of its positions
+    for k, m in enumerate(met):
+        for p in m["places"]:
+            by_place.setdefault(p["at"], []).append((k, p["slots"]))
+    low = min(int(p.min()) for p in positions) - max(by_place)
+    count = np.zeros(max(int(p.max()) for p in positions) - min(by_place) - low + 1, np.int32)
+    joint: dict[tuple, np.ndarray] = {}
+    for at, some in by_place.items():
+        own = tuple(k for k, _ in some)
+        if own not in joint:
+            joint[own] = positions[own[0]] if len(own) == 1 else np.unique(np.concatenate([positions[k] for k in own]))
+        count[joint[own] - (at + low)] += 1
+    enough = np.flatnonzero(count >= max(1, min(least, windows, template_windows or windows)))
+    best, known = (0, 0, False), {}
+    for i in enough[np.argsort(-count[enough], kind="stable")].tolist():
+        offset = i + low
+        if (count[i], -offset) < (best[0], -best[1]):
+            break
+        rows = []
+        for at, some in by_place.items():
+            for k, own in some:
+                if (slots := spots[k].get(at + offset)) is not None:
+                    other = own if len(slots) < len(own) else slots  # fewer: a verbatim window
+                    rows.append((at, met[k]["template"], [(a["k"], a["v"], b["v"]) for a, b in zip(own, other)]))
+        labels: dict[int, int] = {}
+        shape = tuple((at, template, *((labels.setdefault(d, len(labels)), i == d) for _, i, d in bound)) for at, template, bound in rows)
+        if (verdict := known.get(shape)) is None:
+            if len(known) == KNOWN_SHAPES:
+                known.clear()
+            verdict = known[shape] = judged(rows, least, windows, template_windows)
+        matched, changed = verdict
+        if (matched, -offset) > (best[0], -best[1]) and matched:
+            best = (matched, offset, changed)
+    return best
+
+
 def _judge(least: int):
-    @F.arrow_udf("struct<matched:int,other:boolean>")
-    def judge(rows: pa.Array, windows: pa.Array, template_windows: pa.Array) -> pa.Array:
-        out = []
-        for some, n, m in zip(rows, windows.to_pylist(), template_windows.to_pylist()):
-            read = [(r["at"], r["template"], [(x["k"], x["item"], x["doc"]) for x in r["bound"]]) for r in some.as_py()]
-            out.append(dict(zip(("matched", "other"), judged(read, least, n, m))))
-        return pa.array(out, pa.struct([("matched", pa.int32()), ("other", pa.bool_())]))
+    @F.arrow_udf("struct<matched:int,first:int,other:boolean>")
+    def judge(met: pa.Array, windows: pa.Array, template_windows: pa.Array) -> pa.Array:
+        found = [best_offset(some.as_py(), least, n, m) for some, n, m in zip(met, windows.to_pylist(), template_windows.to_pylist())]
+        return pa.array([dict(zip(("matched", "first", "other"), x)) for x in found], pa.struct([("matched", pa.int32()), ("first", pa.int32()), ("other", pa.bool_())]))
 
     return judge
 
@@ -293,7 +365,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pa
     spark = docs.sparkSession
     prepare(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("item_key"), "text").filter("text IS NOT NULL").dropDuplicates(["item_id", "item_key"])
-    sized = items.mapInArrow(_item_windows(window), T.StructType([*_ITEM.fields, T.StructField("size", T.IntegerType())])).persist()
+    sized = written(items.mapInArrow(_item_windows(window), _ITEM), "windows")
     blocks = max(1, -(-sized.count() // BLOCK_WINDOWS))
     sizes = [r["size"] for r in sized.select("size").distinct().collect()]  # at most `window` values
     work = docs.select("doc_id", F.xxhash64(F.col("doc_id"), F.col("text")).alias("row_hash"), text_or_empty().alias("text"))
@@ -303,20 +375,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pa
         hashes = own.select("h").distinct().toArrow()["h"].to_numpy()
         if not len(hashes):
             continue
-        hits = work.select("doc_id", "row_hash", F.explode(_finder(spark, hashes, sizes)(F.col("text"))).alias("w")).select("doc_id", "row_hash", "w.h", "w.pos", "w.slots")
+        hits = work.select("doc_id", "row_hash", F.explode(_finder(spark, hashes, sizes)(F.col("text"))).alias("w")).select("doc_id", "row_hash", "w.h", "w.spots")
         part = hits.join(own.drop("size"), "h")
         met = part if met is None else met.unionByName(part)
     if met is None:
         return spark.createDataFrame([], T.StructType([docs.schema["doc_id"], T.StructField("row_hash", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("matched_windows", T.LongType()), T.StructField("item_windows", T.IntegerType()), T.StructField("reparameterised", T.BooleanType())]))
-    zipped = F.zip_with("item_slots", "slots", lambda i, d: F.struct(i["k"].alias("k"), i["v"].alias("item"), d["v"].alias("doc")))
-    same = F.transform("item_slots", lambda i: F.struct(i["k"].alias("k"), i["v"].alias("item"), i["v"].alias("doc")))
-    bound = F.when(F.size("slots") < F.size("item_slots"), same).otherwise(zipped)  # fewer: a verbatim window
-    # An occurrence has no more rows than the item has windows, in at most three readings each.
+    # A group has no more places than the text and the item have windows, in at most three readings each.
     key = ["doc_id", "row_hash", "item_id", "item_key", "item_windows"]
-    rows = F.collect_list(F.struct(F.col("item_pos").alias("at"), "template", bound.alias("bound"))).alias("rows")
-    at = met.groupBy(*key, "named", "windows", "template_windows", (F.col("pos") - F.col("item_pos")).alias("offset")).agg(rows)
-    judged = at.select(*key, "offset", _judge(max(1, passage - window + 1))("rows", "windows", "template_windows").alias("found")).filter("found.matched > 0")
-    best = F.max(F.struct(F.col("found.matched").cast("long").alias("matched_windows"), F.negative("offset").alias("first"), F.col("found.other").alias("other")))
+    rows = F.collect_list(F.struct("template", "places", "spots")).alias("met")
+    pairs = met.groupBy(*key, "named", "windows", "template_windows").agg(rows)
+    judged = pairs.select(*key, _judge(max(1, passage - window + 1))("met", "windows", "template_windows").alias("found")).filter("found.matched > 0")
+    best = F.max(F.struct(F.col("found.matched").cast("long").alias("matched_windows"), F.negative("found.first").alias("first"), F.col("found.other").alias("other")))
     return judged.groupBy(*key).agg(best.alias("best")).select("doc_id", "row_hash", "item_id", F.col("best.matched_windows").alias("matched_windows"), "item_windows", F.col("best.other").alias("reparameterised"))
 
 

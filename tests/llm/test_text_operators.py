@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -407,6 +408,75 @@ def test_verbatim_passages_of_numbers(spark):
     assert found_items(spark, texts, [item, long]) == {(0, 0), (2, 1)}
 
 
+def test_short_items_are_met_as_whole_sentences(spark):
+    items = ["Who wrote Hamlet?", "Yes. No", "", "?!"]
+    texts = ["It was late. who wrote hamlet! Nobody knew", "I know who wrote Hamlet?", "Who wrote Hamlet", "yes\nno", "yes no", "", None]
+    assert found_items(spark, texts, items) == {(0, 0), (2, 0), (3, 1), (4, 1)}
+
+
+def test_spelled_numbers_are_slots(spark):
+    ask = "A baker sold {} loaves on monday and on tuesday {} loaves more than he had baked so how many loaves were left".format
+    assert found_items(spark, [ask("seven", "20"), ask("some", "many")], [ask("three", "twelve")]) == {(0, 0)}
+
+
+def naive_best(item, text, least, own, readings):
+    """Every offset judged by itself."""
+    at: dict[int, list] = {}
+    width = min(8, len(item.value))
+    for kinds in readings:
+        of_text = {}
+        for p, h in zip(*text.windows(width, kinds)):
+            of_text.setdefault(int(h), []).append(int(p))
+        for a, h in zip(*item.windows(width, kinds)):
+            for p in of_text.get(int(h), []):
+                mine = item.slots(int(a), width, kinds or decontam.READINGS[0])
+                other = text.slots(p, width, kinds) if kinds else mine
+                at.setdefault(p - int(a), []).append((int(a), bool(kinds), [(x["k"], x["v"], y["v"]) for x, y in zip(mine, other)]))
+    usable = len({int(a) for kinds in readings if kinds for a in item.windows(width, kinds)[0]})
+    found = [(n, -o, x) for o, rows in at.items() for n, x in [decontam.judged(rows, least, own, usable)] if n]
+    return max(found, default=None)
+
+
+def test_best_offset_by_brute_force():
+    """Repetitive texts and items, in which a window has many places in both."""
+    rng = random.Random(3)
+    for _ in range(150):
+        words = rng.sample(["row", "la", "sum", "is", "Anna", "Bob", "7", "8", "km"], 4)
+        texts = [" ".join(rng.choice(words) if rng.random() < 0.15 else words[i % 3] for i in range(rng.randint(8, 40))) for _ in range(2)]
+        (named, plain), (named_text, plain_text) = decontam.tokens(texts[:1]), decontam.tokens(texts[1:])
+        for item, text, readings in ((named, named_text, decontam.READINGS[:1]), (plain, plain_text, decontam.READINGS[1:])):
+            if len(item.value) < 8:
+                continue
+            met = []
+            for kinds in readings:
+                mine, other = {}, {}
+                for into, t, key, shown in ((mine, item, "at", kinds or decontam.READINGS[0]), (other, text, "pos", kinds)):
+                    for a, h in zip(*t.windows(8, kinds)):
+                        into.setdefault(int(h), []).append({key: int(a), "slots": t.slots(int(a), 8, shown)})
+                met += [{"template": bool(kinds), "places": mine[h], "spots": other[h]} for h in mine if h in other]
+            usable = len({int(a) for kinds in readings if kinds for a in item.windows(8, kinds)[0]})
+            own = len(item.value) - 7
+            got = decontam.best_offset(met, 6, own, usable) if met else (0, 0, False)
+            want = naive_best(item, text, 6, own, readings)
+            assert got[:2] == ((want[0], -want[1]) if want else (0, 0))
+
+
+def test_repeated_windows_take_no_product_of_rows(spark):
+    docs = spark.createDataFrame([(1, "1 " * 3000), (2, "row 1 " * 1000), (3, " ".join(f"row {k}" for k in range(1000)))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "1 " * 300), (2, " ".join(f"row {k % 7}" for k in range(100)))], "item_id long, text string")
+    decontam.contaminated(docs.limit(0), items).count()
+    begin = time.time()
+    got = {(r["doc_id"], r["item_id"]): (r["matched_windows"], r["item_windows"]) for r in decontam.contaminated(docs, items).collect()}
+    assert time.time() - begin < 30 and got[1, 1] == (293, 293)
+
+
+def test_long_white_space_is_read_once():
+    text = (" " * (lengths.LONG_RUN - 1) + "x") * 100
+    begin = time.time()
+    assert not lengths._LONG_RUN.search(text) and lengths._LONG_RUN.search(text + " " * lengths.LONG_RUN).start() == len(text)
+    assert time.time() - begin < 2
+
+
 def test_remainders(spark):
     from ripplegraph.llm.common import remainder
 
