@@ -63,6 +63,14 @@ CUES = {
     "ip": ["ip", "host", "server"],
 }
 STREETS = ["street", "st", "road", "rd", "avenue", "ave", "lane", "ln", "drive", "dr", "boulevard", "blvd", "way", "square", "straße", "strasse", "rue", "calle", "weg", "platz"]
+MONTHS = (
+    "january february march april may june july august september october november december "
+    "jan feb mar apr jun jul aug sep sept oct nov dec januar februar märz mai juni juli oktober dezember "
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre "
+    "janvier février mars avril juin juillet août septembre octobre novembre décembre"
+).split()
+_MONTHS = frozenset(MONTHS)
+_BETWEEN = frozenset([".", ",", "-", "/", "st", "nd", "rd", "th", "of", "de", "er"])  # within a date
 _CUE = {w: k for k, words in CUES.items() for w in words}
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|_")
 _PERSON_CUES = frozenset(CUES["person"])
@@ -147,8 +155,9 @@ class Line:
         return j
 
     def candidates(self) -> list[tuple[int, int]]:
-        """Segments (first token, end) that may be entities: numbers, what is around one at sign, letters and digits that may be
-        an IBAN, streets with a number, and capitalised words soon after a cue word for persons."""
+        """Segments (first token, end) that may be entities: numbers, what is around one at sign, letters and digits with the check
+        sum of an IBAN and no letter or digit next to them, streets with a number, dates with the name of a month, and capitalised words soon after
+        a cue word for persons."""
         out: set[tuple[int, int]] = set()
         words, digits, n = self.words, self.digits, len(self.tokens)
         for i, w in enumerate(words):
@@ -172,17 +181,47 @@ class Line:
                     if words[a][0].isalnum():
                         end = self._end(a, lambda k: True)
                         out.update((a, b) for b in range(i + 1, min(i + 5, end) + 1) if (digits[b - 1] or b == i + 1) and any(digits[a:b]))
-            if len(w) == 2 and w.isascii() and w.isalpha() and i + 1 < n and digits[i + 1] and not self._gap(i + 1):
+            elif w in _MONTHS:
+                out.update(self._dates(i))
+            if len(w) == 2 and w.isascii() and w.isalpha() and i + 1 < n and digits[i + 1] and not self._gap(i + 1) and not self._stuck(i, i):
                 size = 0
                 for j in range(i, self._end(i, lambda k: words[k].isascii() and words[k].isalnum())):
                     size += len(words[j])
-                    if 15 <= size <= 34:
+                    if 15 <= size <= 34 and not self._stuck(i, j) and _iban(self.span(i, j + 1)):
                         out.add((i, j + 1))
             if self.cue[i] == "person" and self._titled(i):
                 end = self._end(i, self._titled)
                 out.update((i, b) for b in range(i + 1, min(end, i + NAME_TOKENS) + 1))
         return sorted(out)
 
+    def _stuck(self, i: int, j: int) -> bool:
+        """Whether a letter, digit or low line stands right before token i or, for another token j, right after it."""
+        before = self.text[self.tokens[i][0] - 1 : self.tokens[i][0]]
+        after = self.text[self.tokens[j][1] : self.tokens[j][1] + 1] if j > i else ""
+        return any(c.isalnum() or c == "_" for c in before + after)
+
+    def _dates(self, i: int) -> Iterator[tuple[int, int]]:
+        """Segments with a month's name at i: a day before it or after it, and then a year, with marks or small words between."""
+        n = len(self.words)
+
+        def number(k: int, step: int, sizes: tuple[int, ...]) -> int:
+            """The nearest token on this side with so many digits, with two others between at most; -1 if there is none."""
+            for _ in range(3):
+                if not 0 <= k < n or "\n" in self._gap(max(k, k - step)):
+                    return -1
+                if self.digits[k]:
+                    return k if self.digits[k] in sizes else -1
+                if self.words[k] not in _BETWEEN:
+                    return -1
+                k += step
+            return -1
+
+        day = number(i - 1, -1, (1, 2))
+        if day >= 0 and (year := number(i + 1, 1, (4,))) >= 0:
+            yield day, year + 1
+        elif (day := number(i + 1, 1, (1, 2))) >= 0 and (year := number(day + 1, 1, (4,))) >= 0:
+            yield i, year + 1
+
     def _alone(self, k: int) -> bool:
         """Whether there is a space on either side of a token: a single digit so is no part of a number."""
         return bool(self._gap(k)) and k + 1 < len(self.tokens) and bool(self._gap(k + 1))
@@ -209,6 +248,8 @@ class Line:
                 out.append("three two four")
             if m := re.fullmatch(r"([0-9]{1,4})([-./])([0-9]{1,2})\2([0-9]{1,4})", s):
                 out.append("date" if any(1900 <= int(m[k]) <= 2030 for k in (1, 4)) and int(m[3]) <= 31 else "dotted")
+            if any(w in _MONTHS for w in words):
+                out.append(f"month:{any(1900 <= int(w) <= 2030 for w, d in zip(words, self.digits[i:j]) if d == 4)}")
             if any(w in _STREETS or w.endswith(("straße", "strasse")) for w in words):
                 out += ["street and number", f"street ends:{words[-1] in _STREETS or words[-1].isdigit()}", f"street starts:{self._titled(i) or words[0].isdigit()}"]
         if all(w.isalpha() for w in words):
@@ -316,6 +357,11 @@ def made_up(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
         return rng.choice([s, " ".join(s[k : k + 4] for k in range(0, len(s), 4))])
 
     year = lambda: str(rng.randint(1930, 2010))
+
+    def spoken() -> str:
+        day, month = rng.randint(1, 28), rng.choice(MONTHS).capitalize()
+        return rng.choice([f"{day} {month} {year()}", f"{month} {day}, {year()}", f"{day}. {month} {year()}", f"{day} de {month} de {year()}"])
+
     make = {
         "email": lambda: f"{word()}.{word()}@{word()}.example.{rng.choice(['com', 'org', 'net'])}",
         "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
@@ -324,10 +370,10 @@ def made_up(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
         "person": lambda: " ".join(title() for _ in range(rng.randint(1, 3))),
         "iban": iban,
         "ssn": lambda: f"{number(3)}-{number(2)}-{number(4)}",
-        "birthdate": lambda: rng.choice([f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{year()}", f"{year()}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", f"{rng.randint(1, 12)}/{rng.randint(1, 28)}/{year()}"]),
+        "birthdate": lambda: rng.choice([f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{year()}", f"{year()}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", f"{rng.randint(1, 12)}/{rng.randint(1, 28)}/{year()}", spoken()]),
         "address": lambda: rng.choice([f"{rng.randint(1, 999)} {title()} {rng.choice(['Street', 'Road', 'Avenue', 'Lane', 'St', 'Blvd'])}", f"{title()}straße {rng.randint(1, 200)}", f"Calle {title()} {rng.randint(1, 99)}"]),
     }
-    noise = [lambda: str(rng.randint(0, 9999)), lambda: number(rng.choice([8, 12, 16, 20])), lambda: f"{rng.randint(1, 9)}.{rng.randint(0, 9)}", lambda: f"{year()}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", lambda: f"{rng.randint(1, 99)}%", lambda: number(32), lambda: f"CC BY {rng.randint(1, 4)}.0", lambda: f"v{rng.randint(0, 9)}.{rng.randint(0, 9)}.{rng.randint(0, 9)}", lambda: f"{word()}@ {word()}", lambda: f"{number(3)} {title()} {word()}"]
+    noise = [lambda: str(rng.randint(0, 9999)), lambda: number(rng.choice([8, 12, 16, 20])), lambda: f"{rng.randint(1, 9)}.{rng.randint(0, 9)}", lambda: f"{year()}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", spoken, lambda: f"{rng.randint(1, 99)}%", lambda: number(32), lambda: f"CC BY {rng.randint(1, 4)}.0", lambda: f"v{rng.randint(0, 9)}.{rng.randint(0, 9)}.{rng.randint(0, 9)}", lambda: f"{word()}@ {word()}", lambda: f"{number(3)} {title()} {word()}"]
     text, spans = " ".join(word() for _ in range(rng.randint(0, 6))), []
     for _ in range(rng.randint(1, 3)):
         if rng.random() < 0.6:

@@ -317,6 +317,26 @@ def test_personal_examples():
     assert not spans("in 2019 about 12345 people, 3.14 or 1999-2003, CC BY 4.0, v1.2.3, page 12 of 300")
 
 
+def test_ibans_have_their_check_sum_and_stand_alone():
+    model = pii.trained()
+    kinds = lambda text: {k for _, _, k in pii.all_spans(text, model)[1]}
+    assert kinds("account DE89370400440532013000 is ours") == {"iban"}
+    assert "iban" not in kinds("account DE88370400440532013000 is ours")
+    assert "iban" not in kinds("account xDE89370400440532013000") | kinds("account DE89370400440532013000f") | kinds("_DE89370400440532013000")
+    rng = random.Random(2)
+    for _ in range(300):
+        assert "iban" not in kinds('token = "' + "".join(rng.choice("0123456789abcdef") for _ in range(64)) + '"')
+
+
+def test_dates_with_names_of_months():
+    model = pii.trained()
+    spans = lambda text: {(text[s:e], k) for s, e, k in pii.all_spans(text, model)[1]}
+    for date in ("12 March 1985", "March 12, 1985", "3. Oktober 1971", "5 de mayo de 1990", "1st of June 1964"):
+        assert spans(f"born on {date} in a town") == {(date, "birthdate")}
+        assert not spans(f"it rained on {date} in a town")
+    assert not spans("you may 5 times") and all("\n" not in x for x, _ in spans("born in May\n12 1985"))
+
+
 def test_personal_frame(spark):
     got = pii.find(frame(spark, [*EDGES, "mail a.b@c.de"])).filter("doc_id = 9").first()["personal"]
     assert [(s["kind"], s["start"], s["end"]) for s in got["base"]] == [("email", 5, 13)]
