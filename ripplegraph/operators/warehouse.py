@@ -6,13 +6,16 @@ model solves its small normal equations on the driver.
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .dynamics import tail_steps
 
 
@@ -224,12 +227,26 @@ def set_digest(values: DataFrame, column: str) -> DataFrame:
     return values.agg(F.count(column).alias("n"), F.bit_xor(F.xxhash64(column)).alias("digest"))
 
 
-def list_digest(values: DataFrame, column: str, most: int = 100_000) -> DataFrame:
-    """One row: SHA-256 of the sorted values joined by commas, for a list of bounded length; longer ones raise."""
-    got = values.agg(F.count(column).alias("n"))
-    if got.first()["n"] > most:
-        raise ValueError(f"a list digest takes up to {most} values; use set_digest")
-    return values.agg(F.sha2(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(column)), lambda x: x.cast("string"))), 256).alias("digest"))
+def _hashed(batches):
+    """The SHA-256 of the texts of one partition, joined by commas, without holding them."""
+    state, first = hashlib.sha256(), True
+    for batch in batches:
+        text = ",".join(batch.column(0).to_pylist())
+        if batch.num_rows:
+            state.update((text if first else "," + text).encode())
+            first = False
+    yield pa.RecordBatch.from_pydict({"digest": [state.hexdigest()]})
+
+
+def list_digest(values: DataFrame, column: str) -> DataFrame:
+    """One row: SHA-256 of the sorted values joined by commas, nulls left out.
+
+    This hash takes its input in order, so one task reads the values as Spark sorts (and spills) them, and holds a batch.
+    """
+    ship(values.sparkSession)
+    some = values.select(column).filter(F.col(column).isNotNull()).repartition(1).sortWithinPartitions(column)
+    got = some.select(F.col(column).cast("string").alias("text")).mapInArrow(_hashed, "digest string")
+    return got.agg(F.coalesce(F.max("digest"), F.sha2(F.lit(""), 256)).alias("digest"))
 
 
 #: Variants of a configuration for sensitivity runs: what each changes.
