@@ -7,7 +7,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplegraph.operators import dynamics, paths, warehouse
+from ripplegraph.operators import dynamics, ingest, paths, warehouse
+from ripplegraph.sources import adapters
 
 
 def test_list_digest_of_any_length(spark):
@@ -51,3 +52,15 @@ def test_kernel_leaves_the_network_to_spark(spark, monkeypatch):
             times, targets = np.nonzero(np.random.default_rng([k, 17]).random((15, 30)) < 0.1)
             pulses, _, _ = dynamics.simulate(src, dst, w * (1.0 + k), 30, times, targets, p, 20)
             assert [got[k, t] for t in range(20)] == [(len(x), int((times == t).sum())) for t, x in enumerate(pulses)]
+
+
+def test_known_rows_are_paired_after_unknown_parts_left(spark):
+    """The nodes are joined to lines, not to the longer list of pairs; the rows are the same."""
+    sf = "/root/testdata/sf0.001"
+    nodes = adapters.part_nodes(spark, sf)
+    got = ingest.weighted_rows(adapters.coorder_rows(spark, sf, nodes))
+    want = ingest.known_rows(adapters.coorder_rows(spark, sf), nodes)
+    key = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert key(got) == key(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("Join LeftSemi")  # an operator stands above its inputs
