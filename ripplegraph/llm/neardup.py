@@ -10,9 +10,10 @@ Signatures are cut into BANDS bands; documents that agree in a whole band are ca
 is missed with probability 2.6e-5). Candidates are verified exactly on the bags of both texts, and a class is a
 connected component of verified links. No bucket is expanded into its pairs: a text's score is the number of texts it
 meets in all its buckets, which is largest for the least edited text of a group. Each text is compared with the
-highest scores it meets, which finds nearly all links at linear cost. What remains, all other pairs of a bucket whose
-texts are in different classes, is compared block by block on sketches that bound the similarity from above, and every pair that the bound does not
-exclude is verified exactly: no candidate pair of different classes stays untested.
+highest scores it meets, which finds nearly all links at linear cost. What remains are pairs of different classes in the buckets that
+still hold several. Those of them that can be similar have a shingle in common in the short tails of their rarest shingles; every
+pair that this and the bounds of its similarity do not exclude is verified exactly, so no candidate pair of different classes
+stays untested.
 
 Null texts count as empty. Texts without words are in a class with equal texts only. Of rows with the same id the first is
 the one with the smaller hash of all its columns.
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,8 +40,8 @@ BANDS, ROWS = 20, 4
 COMPONENTS = BANDS * ROWS
 #: Code points whose signatures are made at once, but for a single longer text.
 SIGNED_CHARS = 120_000
-#: Members and sketch bytes that a block of a bucket holds on average at most.
-BLOCK_TEXTS, BLOCK_BYTES = 256, 65_536
+#: Texts with a common shingle that a block holds on average at most.
+BLOCK_TEXTS = 512
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -197,76 +199,82 @@ def bounds(left: list[bytes], right: list[bytes]) -> np.ndarray:
     return out
 
 
-def _forest(score: np.ndarray, x: np.ndarray, y: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Of pairs of members, the indices of those that join the classes they are in, highest scores first, without a cycle."""
-    order = np.lexsort((y, x, -score))
-    low, high = np.minimum(label[x], label[y])[order], np.maximum(label[x], label[y])[order]
-    _, first = np.unique(np.stack([low, high]), axis=1, return_index=True)
-    root: dict[int, int] = {}
-    out = []
-    for k in np.sort(first).tolist():
-        ends = []
-        for end in (int(low[k]), int(high[k])):
-            while (up := root.get(end, end)) != end:
-                root[end] = root.get(up, up)
-                end = up
-            ends.append(end)
-        if ends[0] != ends[1]:
-            root[ends[1]] = ends[0]
-            out.append(k)
-    return order[out]
-
-
-def _near_in_blocks(threshold: float, forest: bool):
-    """Of rows with the members (side, node, label, sketch) of two blocks of a bucket: the pairs of different classes, one
-    of each side, that the bound does not exclude; with forest, only as many as connect the same classes."""
+@F.arrow_udf(T.DoubleType())
+def _bound(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([float(bounds([x.as_py()], [y.as_py()])[0, 0]) for x, y in zip(a, b)], pa.float64())
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of texts (node, label, bag): a row (node, label, h, w, total, unit) per shingle, with its weight and the weight of all."""
+    for batch in batches:
+        node, label = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        for k, data in enumerate(batch.column(2)):
+            h, w = _unbag(data.as_py())
+            columns = [np.full(len(h), node[k]), np.full(len(h), label[k]), h.view(np.int64), w.astype(np.float64), np.full(len(h), w.sum(), np.float64), np.full(len(h), w.max(initial=0) <= 1)]
+            yield pa.record_batch([pa.array(c) for c in columns], ["node", "label", "h", "w", "total", "unit"])
+
+
+def _pairs_of_members(threshold: float):
+    """Of rows with the members (block, node, label, upto, total, unit) of two blocks i and j that have a shingle in common: the
+    pairs of different classes, one of each block, that may be so similar if this is their rarest common shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for members in batch.column(0):
-                flat = members.values
-                side, node, label = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                order = np.argsort(node, kind="stable")
-                side, node, label = side[order], node[order], label[order]
-                sketch = flat.field(3).take(pa.array(order)).to_pylist()
-                left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-                if not len(left) or not len(right):
-                    continue
-                bound = bounds([sketch[k] for k in left], [sketch[k] for k in right])
-                i, j = np.nonzero((bound >= threshold - 1e-9) & (label[left][:, None] != label[right][None, :]))
-                x, y = np.minimum(left[i], right[j]), np.maximum(left[i], right[j])
-                swap = node[x] > node[y]
-                x, y = np.where(swap, y, x), np.where(swap, x, y)
-                if forest and len(x):
-                    keep = _forest(bound[i, j], x, y, label)
-                    x, y = x[keep], y[keep]
-                yield pa.record_batch([pa.array(v) for v in (node[x], node[y], label[x], label[y])], ["a", "b", "label_a", "label_b"])
+            for i, j, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                block, node, label, upto, total, unit = (members.values.field(k).to_numpy(zero_copy_only=False) for k in range(6))
+                x, y = np.flatnonzero(block == i)[:, None], np.flatnonzero(block == j)[None, :]
+                common = np.minimum(upto[x], upto[y])  # of bags without repeated shingles
+                bound = np.where(unit[x] & unit[y], common / (total[x] + total[y] - common), 1 / (total[x] / upto[x] + total[y] / upto[y] - 1))
+                near, far = np.nonzero((bound >= threshold - 1e-9) & (label[x] != label[y]) & ((i != j) | (node[x] < node[y])))
+                a, b, score = x[near, 0], y[0, far], bound[near, far]
+                a, b = np.where(node[a] < node[b], a, b), np.where(node[a] < node[b], b, a)
+                yield pa.record_batch([pa.array(v) for v in (node[a], node[b], label[a], label[b], score)], ["a", "b", "label_a", "label_b", "score"])
 
     return run
 
 
-def _rest(state: DataFrame, bag: DataFrame, threshold: float, forest: bool = False) -> DataFrame:
-    """All pairs (a, b, label_a, label_b) of texts of different classes in a bucket that may be so similar; with forest, of
-    each two blocks only pairs that connect the classes which these pairs connect.
+def _tails(state: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
+    """Of the texts of open buckets the shingles h by which they are compared: h, node, label, upto, total, unit, and the own block and
+    each other block of the texts of h.
 
-    In a bucket, every text outside its largest class is compared with all texts of other classes. Both sides are cut into
-    blocks of bounded size, and each two blocks are one row, wherever they are.
+    Let c and d be the shares that the common shingles have in two bags; then their similarity is at most 1 / (1/c + 1/d - 1): in
+    its definition the sum of quotients for a common shingle with shares p and q is at least 1/q + (1 - c)/p, and the sum of the
+    inverses over all common shingles is largest where p/q is the same for all. Bags without repeated shingles give the
+    Jaccard similarity by counts. Shingles are ordered by how many texts have them, those of one class only last of all.
+    All common shingles of a pair come no later than the rarest one, so c and d are at most the shares of the
+    shingles up to it (upto / total): it lies in the short tails where this share is at least the threshold. Only
+    texts that have a shingle in their tails in common need be compared; most shingles have one block of texts.
+    """
+    members = written(state.select("node", "label").distinct(), "members")
+    texts = bag.join(members, bag["id"] == members["node"]).select("node", "label", "bag")
+    shingles = written(texts.mapInArrow(_shingles, "node long, label long, h long, w double, total double, unit boolean"), "shingles")
+    classes = (F.min("label") < F.max("label")).alias("several")
+    shared = written(shingles.groupBy("h").agg(F.count(F.lit(1)).alias("n"), classes).filter("several").select("h", "n"), "shared")
+    upto = F.sum("w").over(W.partitionBy("node").orderBy(F.col("n").desc(), "h").rowsBetween(W.unboundedPreceding, W.currentRow))
+    tail = written(shingles.join(shared, "h").withColumn("upto", upto).filter(F.col("upto") >= (threshold - 1e-9) * F.col("total")).drop("n", "w"), "tails")
+    live = tail.groupBy("h").agg(F.count(F.lit(1)).alias("n"), classes, F.min(F.col("total") / F.col("upto")).alias("least")).filter("several")
+    dealt = tail.join(live, "h").filter(F.col("total") / F.col("upto") + F.col("least") - 1 <= 1 / (threshold - 1e-9))
+    blocks = F.ceil(F.col("n") / BLOCK_TEXTS).cast("int")
+    return dealt.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+
+
+def _rest(state: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a, b, label_a, label_b, score) of texts of different classes in open buckets that may be so similar, with an upper
+    bound of the similarity: each two blocks of the texts that have a shingle in their tails in common are one row.
     """
-    inside = state.select("node").distinct()
-    sketch = written(bag.join(inside, bag["id"] == inside["node"], "left_semi").select(F.col("id").alias("node"), _sketch("bag").alias("sketch")), "sketches")
-    parts = written(state.join(sketch.select("node", F.length("sketch").alias("bytes")), "node").groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")), "classes")
-    largest = F.max(F.struct("n", "bytes", "label")).alias("top")
-    sizes = parts.groupBy("band").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), largest)
-    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK_TEXTS), F.ceil(size / BLOCK_BYTES)).cast("int")
-    wide = written(sizes.select("band", F.col("top.label").alias("main"), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("rows"), blocks(F.col("n"), F.col("bytes")).alias("columns")), "blocks")
-    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    dealt = state.join(wide, "band").select("node", "label", "band", "main", "rows", "columns")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    lower = dealt.filter("label <> main").select("band", "node", "label", F.lit(0).alias("side"), own("rows").alias("i"), upto("columns").alias("j"))
-    upper = dealt.select("band", "node", "label", F.lit(1).alias("side"), upto("rows").alias("i"), own("columns").alias("j"))
-    at = lower.unionByName(upper).join(sketch, "node").select("band", "i", "j", F.struct("side", "node", "label", "sketch").alias("member"))
-    tasks = at.repartition("band", "i", "j").groupBy("band", "i", "j").agg(F.collect_list("member").alias("members"))
-    return tasks.select("members").mapInArrow(_near_in_blocks(threshold, forest), "a long, b long, label_a long, label_b long").distinct()
+    dealt = _tails(state, bag, threshold)
+    at = dealt.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.struct("block", "node", "label", "upto", "total", "unit").alias("member"))
+    tasks = at.repartition("h", "i", "j").groupBy("h", "i", "j").agg(F.collect_list("member").alias("members")).filter(F.size("members") > 1)
+    found = tasks.select("i", "j", "members").mapInArrow(_pairs_of_members(threshold), "a long, b long, label_a long, label_b long, score double")
+    return found.groupBy("a", "b", "label_a", "label_b").agg(F.min("score").alias("score"))
+
+
+def _not_excluded(pairs: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b, ...) whose sketches, a quarter of the bags, do not bound the similarity below the threshold."""
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sketch = written(bag.join(ends, "id", "left_semi").select("id", _sketch("bag").alias("sketch")), "sketches")
+    at = lambda c: sketch.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+    return pairs.join(at("a"), "a").join(at("b"), "b").filter(_bound("sketch_a", "sketch_b") >= threshold - 1e-9).drop("sketch_a", "sketch_b")
 
 
 def text_keys(text: str = "text"):
@@ -329,18 +337,21 @@ def _last_merges(state: DataFrame, tested: DataFrame, bag: DataFrame, threshold:
     """The merges (id, label) by what was not tested at first: afterwards every candidate pair is in one class, tested or
     excluded by its bound.
 
-    As the bound is seldom far from the similarity, links that connect the classes of each two blocks are verified first,
-    which are no more than there are members. The pairs that are still in different classes then are all verified.
+    Of each two classes the pair of the highest bound is verified first. The pairs that are still in different classes then
+    are all verified.
     """
-    merges = []
-    for forest in (True, False):
-        todo = written(_rest(state, bag, threshold, forest).join(tested, ["a", "b"], "left_anti"), "candidates")
-        merges.append(connected(_verified(todo, bag, threshold).join(todo, ["a", "b"]).select("label_a", "label_b"), "label_a", "label_b"))
-        if forest:
-            tested, state = tested.union(todo.select("a", "b")), _open_buckets(state, merges[0])
-            if state.isEmpty():
-                break
-    return merges
+    rest = written(_rest(state, bag, threshold).join(tested, ["a", "b"], "left_anti"), "candidates")
+    todo = written(_not_excluded(rest, bag, threshold), "candidates")
+    two = [F.least("label_a", "label_b").alias("low"), F.greatest("label_a", "label_b").alias("high")]
+    best = written(todo.groupBy(*two).agg(F.max_by(F.struct("a", "b"), F.struct("score", "a", "b")).alias("pair")).select("pair.a", "pair.b"), "candidates")
+    first = connected(_verified(best, bag, threshold).join(todo, ["a", "b"]).select("label_a", "label_b"), "label_a", "label_b")
+    to = lambda c: first.select(F.col("id").alias(c), F.col("label").alias(f"new_{c[-1]}"))
+    named = todo.join(best, ["a", "b"], "left_anti").join(to("label_a"), "label_a", "left").join(to("label_b"), "label_b", "left")
+    named = named.select("a", "b", F.coalesce("new_a", "label_a").alias("label_a"), F.coalesce("new_b", "label_b").alias("label_b"))
+    open_ = written(named.filter("label_a <> label_b"), "candidates")
+    if open_.isEmpty():
+        return [first]
+    return [first, connected(_verified(open_, bag, threshold).join(open_, ["a", "b"]).select("label_a", "label_b"), "label_a", "label_b")]
 
 
 def _bags_of(work: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -201,6 +201,34 @@ def test_links_among_lower_classes_of_a_bucket(spark):
     assert [got[k] for k in range(80)] == want
 
 
+def test_texts_of_a_large_bucket_are_dealt_once(spark):
+    """Rows grow with the texts of one bucket that are no near duplicates, not with its square."""
+    rng, rows = np.random.default_rng(8), {}
+    common = set(range(1, 31))
+    for n in (600, 1200):
+        sets = [common | set(rng.integers(1000, 2**40, 10).tolist()) | {2000 + k // 2} for k in range(n)]
+        state = spark.createDataFrame([(1, k, k) for k in range(n)], "band long, node long, label long")
+        rows[n] = neardup._tails(state, bag_table(spark, sets), 0.8).count()
+    assert rows[1200] < 2.5 * rows[600] + 10
+    base = [set(range(100 * k + 1, 100 * k + 91)) for k in range(5)]
+    sets = [b | {10_000 + 5 * c + k} for k, b in enumerate(base) for c in range(200)]  # each set 200 times but for one element
+    state = spark.createDataFrame([(1, k, k) for k in range(1000)], "band long, node long, label long")
+    pairs = neardup._rest(state, bag_table(spark, sets), 0.8).select("a", "b").collect()
+    assert len(pairs) == 5 * 200 * 199 // 2 and all(r["a"] // 200 == r["b"] // 200 for r in pairs)
+
+
+def test_a_bound_by_shares_is_never_below_the_similarity():
+    rng = np.random.default_rng(9)
+    for most in (2, 5, 50) * 500:
+        n = rng.integers(2, 12)
+        a, b = rng.integers(0, most, n), rng.integers(0, most, n)
+        if not ((both := (a > 0) & (b > 0)).any()):
+            continue
+        ids = np.arange(1, n + 1, dtype=np.uint64)
+        got = neardup.similarity((ids[a > 0], a[a > 0]), (ids[b > 0], b[b > 0]))
+        assert got <= 1 / (a.sum() / a[both].sum() + b.sum() / b[both].sum() - 1) + 1e-9
+
+
 def test_a_bound_is_never_below_the_similarity():
     rng = np.random.default_rng(5)
     bags = []
