@@ -324,3 +324,19 @@ def test_outcomes_and_crossings(spark):
     assert r["up"]["status"] == "faster everywhere" and r["up"]["nearest"] == 1.05
     assert r["one"]["status"] == "crossover" and r["one"]["rate"] == pytest.approx(10**-2.5) and r["one"]["faster_below"] and r["one"]["events"] == pytest.approx(0.5)
     assert r["two"]["status"] == "multiple crossings"
+
+
+def test_checks_read_the_raw_rows_once(spark):
+    """The raw rows may be a large join: every check reads them as written, none computes them anew."""
+    from ripplegraph.operators import checks
+
+    p = ", ".join(f"CAST({int(i == 0)} AS DOUBLE) AS p{i}" for i in range(6))
+    rows = spark.sql(f"SELECT id % 7 AS src, id % 5 AS dst, 'A' AS region, id % 3 AS weight, {p} FROM range(50)")
+    nodes = spark.createDataFrame([(i,) for i in range(5)], "id long")
+    annotations = spark.createDataFrame([(1, "a", "b")], "id long, super_class string, cell_type string")
+    got = checks.observed(rows, nodes, annotations)
+    assert "Range (" not in got._jdf.queryExecution().optimizedPlan().toString()
+    found = {r["id"]: r["observed"] for r in got.collect()}
+    raw = [(k % 7, k % 5, k % 3) for k in range(50)]
+    assert found["C1"] == 50 and found["C2"] == sum(s > 4 for s, _, _ in raw) and found["C3"] == 0 and found["C4"] == sum(w == 0 for *_, w in raw)
+    assert found["D2"] == sum(w for s, _, w in raw if s < 5) and found["D8"] == found["E3"] == found["F1f"] == 0
