@@ -64,3 +64,13 @@ def test_known_rows_are_paired_after_unknown_parts_left(spark):
     assert key(got) == key(want)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join Inner") < plan.index("Join LeftSemi")  # an operator stands above its inputs
+
+
+def test_edges_are_summed_in_tasks_of_bounded_rows(spark):
+    """The number of tasks grows with the rows, also under adaptive execution; before, a task took whatever one file or 64 MB held."""
+    rows = spark.range(20_000).select((F.col("id") % 9_000).alias("src"), (F.col("id") % 7).alias("dst"), F.lit(2).alias("weight"), *(F.lit(1.0 if i else float("nan")).alias(f"p{i}") for i in range(6)))
+    spread = ingest.dealt(rows, 500)
+    sizes = [r["n"] for r in spread.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) >= 35 and max(sizes) < 1_500
+    assert sorted(map(tuple, ingest.edges(spread).collect())) == sorted(map(tuple, ingest.edges(rows).collect()))
+    assert "REPARTITION_BY_NUM" in ingest.class_quality(rows)._jdf.queryExecution().executedPlan().toString()
