@@ -9,15 +9,25 @@ manifest, row against row in a full outer join, by digest (or, quickly, by size)
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
+
 #: Of the layout; a store of another format is refused.
 FORMAT = 2
+#: Bytes up to which a file is digested as a whole, by one task.
+WHOLE = 1 << 27
+#: Of the polynomial of the digests of a larger file's lines.
+_PRIME = (1 << 521) - 1
+_BASE = int.from_bytes(hashlib.sha512(b"ripplegraph lines").digest(), "big")
 _POINTER = "number long, version string, format int, lock string"
 _MANIFEST = "name string, size long, sha256 string"
 
@@ -26,20 +36,54 @@ class StoreError(Exception):
     """A store that is missing, of another format, or not what was written."""
 
 
+def _line_sums(batches):
+    """(name, start, n, sum) of each block of a file: its number of lines and the polynomial of their digests, in their order."""
+    found: dict[tuple[str, int], list[int]] = {}
+    for batch in batches:
+        for name, start, line in zip(*(batch.column(c).to_pylist() for c in ("name", "start", "line")), strict=True):
+            block = found.setdefault((name, start), [0, 0])
+            block[0] += 1
+            block[1] = (block[1] * _BASE + int.from_bytes(hashlib.sha256(line).digest(), "big")) % _PRIME
+    rows = [(*k, n, f"{x:x}") for k, (n, x) in found.items()]
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], ["name", "start", "n", "sum"])
+
+
+def _joined_sums(blocks: pa.Table) -> pa.Table:
+    """The digest of a file from its blocks; it does not depend on where they are cut."""
+    total = 0
+    for b in sorted(blocks.to_pylist(), key=lambda b: b["start"]):
+        total = (total * pow(_BASE, b["n"], _PRIME) + int(b["sum"], 16)) % _PRIME
+    return pa.table({"name": blocks.column("name").slice(0, 1), "sha256": pa.array(["lines-" + hashlib.sha256(f"{total:x}".encode()).hexdigest()])})
+
+
+def _listed(spark: SparkSession, path: str, name: Callable[[Column], Column], content: bool, whole: int = WHOLE) -> DataFrame:
+    """(name, size, sha256) of the files under a path. A file above `whole` bytes is read by many tasks, in lines: SHA-256
+    takes its input in order, so its digest is made of the lines' digests and begins with "lines-"."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    named = lambda df, digest: df.select(name(F.col("path")).alias("name"), F.col("length").alias("size"), digest.alias("sha256"))
+    if not content:
+        return named(files, F.lit(None).cast("string"))
+    short, long = named(files.filter(F.col("length") <= whole), F.sha2("content", 256)), files.filter(F.col("length") > whole).select("path", "length")
+    paths = [r["path"] for r in long.select("path").toLocalIterator()]  # a name for each large file
+    if not paths:
+        return short
+    ship(spark)
+    lines = spark.read.option("lineSep", "\n").text(paths).select(name(F.col("_metadata.file_path")).alias("name"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
+    sums = lines.mapInArrow(_line_sums, "name string, start long, n long, sum string").groupBy("name").applyInArrow(_joined_sums, "name string, sha256 string")
+    return short.unionByName(named(long, F.lit(None).cast("string")).drop("sha256").join(sums, "name"))
+
+
 def listing(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
     """(name, size, sha256) of the files under a folder; names are relative to it. Without content no file is read and sha256 is null."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    digest = F.sha2("content", 256) if content else F.lit(None).cast("string")
-    return files.select(F.substring_index("path", f"/{path.rstrip('/').rsplit('/', 1)[-1]}/", -1).alias("name"), F.col("length").alias("size"), digest.alias("sha256"))
+    return _listed(spark, path, lambda p: F.substring_index(p, f"/{path.rstrip('/').rsplit('/', 1)[-1]}/", -1), content)
 
 
 def listing_of(spark: SparkSession, paths: list[str], content: bool = True) -> DataFrame:
     """(name, size, sha256) of the files of several tables; a table that is a folder gives TABLE/FILE."""
     out = None
     for path in paths:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-        name = F.substring_index(F.col("path"), "/" + path.rstrip("/").rsplit("/", 1)[0].rsplit("/", 1)[-1] + "/", -1)
-        got = files.select(name.alias("name"), F.col("length").alias("size"), (F.sha2("content", 256) if content else F.lit(None).cast("string")).alias("sha256"))
+        above = "/" + path.rstrip("/").rsplit("/", 1)[0].rsplit("/", 1)[-1] + "/"
+        got = _listed(spark, path, lambda p, above=above: F.substring_index(p, above, -1), content)
         out = got if out is None else out.unionByName(got)
     return out
 

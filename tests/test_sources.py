@@ -1,5 +1,6 @@
 """Arrow files, versioned stores, catalogues, off windows and the command line."""
 
+import hashlib
 from pathlib import Path
 
 import pyarrow as pa
@@ -151,3 +152,26 @@ def test_calibrated_cost_gate(spark):
     g = Graph(spark.createDataFrame([(0, 1, 1), (1, 2, 1), (2, 3, 1)], "src long, dst long, weight long"), spark.range(4))
     given = spark.createDataFrame([("clustering", 1.0), ("triads", 0.1)], "step string, wedges_per_s double")
     assert {tuple(r) for r in g.gate(given, 10.0).collect()} == {("clustering", 2, 3.0, "run"), ("triads", 2, 30.0, "skip")}
+
+
+def test_a_large_file_is_digested_by_many_tasks(spark, tmp_path):
+    """The digest does not depend on the cuts, and sees an exchanged pair of lines; before, one task read the file as one row."""
+    import os
+    import random
+
+    lines = [random.Random(i).randbytes(900).replace(b"\n", b"x") for i in range(6_000)]
+    (tmp_path / "a").mkdir()
+    got, tasks, conf = [], [], "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(conf)
+    try:
+        for size, order in ((1 << 20, lines), (1 << 27, lines), (1 << 20, [lines[1], lines[0], *lines[2:]])):
+            (tmp_path / "a" / "big").write_bytes(b"\n".join(order))
+            (tmp_path / "a" / "small").write_bytes(b"x")
+            spark.conf.set(conf, size)
+            files = {r["name"]: r for r in store._listed(spark, str(tmp_path / "a"), lambda p: F.substring_index(p, "/", -1), True, 1 << 20).collect()}
+            got.append(files["big"]["sha256"])
+            assert files["big"]["size"] == os.path.getsize(tmp_path / "a" / "big") and files["small"]["sha256"] == hashlib.sha256(b"x").hexdigest()
+            tasks.append(spark.read.option("lineSep", "\n").text(str(tmp_path / "a" / "big")).rdd.getNumPartitions())
+    finally:
+        spark.conf.set(conf, before)
+    assert got[0] == got[1] != got[2] and got[0].startswith("lines-") and tasks[0] > tasks[1] >= 1
