@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,3 +75,52 @@ def test_edges_are_summed_in_tasks_of_bounded_rows(spark):
     assert len(sizes) >= 35 and max(sizes) < 1_500
     assert sorted(map(tuple, ingest.edges(spread).collect())) == sorted(map(tuple, ingest.edges(rows).collect()))
     assert "REPARTITION_BY_NUM" in ingest.class_quality(rows)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_paths_cost_no_jobs(spark, monkeypatch):
+    """A search once took three jobs a step, and betweenness a plan that grew with every step; on 600 steps neither came to an end."""
+    n, made = 600, []
+    real = paths.written
+    monkeypatch.setattr(paths, "written", lambda df, name: made.append(name) or real(df, name))
+    edge = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1).alias("weight"))
+    nodes = spark.range(n + 1)
+    start = spark.range(0, n, 5)
+    levels, _ = paths.search_levels(edge, start)
+    assert levels.agg(F.max("hops"), F.sum(F.bit_count("bits"))).first() == (n, sum(n + 1 - s for s in range(0, n, 5)))
+    hops = [h for s in range(0, n, 5) for h in range(1, n + 1 - s)]
+    assert paths.mean_length(edge, start).first()["mean"] == sum(hops) / len(hops)
+    got = {r["id"]: r["betweenness"] for r in paths.betweenness(edge, nodes, start).collect()}
+    assert got == {v: pytest.approx((n - v) * len(range(0, min(v, n), 5)) * (n + 1) / len(range(0, n, 5))) for v in range(n + 1)}
+    assert len(made) < 12
+
+
+def test_searches_in_tasks_and_by_joins_agree(spark):
+    """Above the bound of arcs every step is a join; hubs, loops, cycles, nodes without arcs and sources outside the graph on either way."""
+    rng = random.Random(4)
+    edges = {(a, b) for a, b in ((rng.randrange(70), rng.randrange(70)) for _ in range(150))} | {(0, v) for v in range(70)} | {(v, v + 1) for v in range(70, 78)}
+    edge = spark.createDataFrame(sorted(edges), "src long, dst long")
+    nodes = spark.createDataFrame([(v,) for v in [*range(85), -3, 2**40]], "id long")
+    start = spark.createDataFrame([(v,) for v in [*range(1, 80), 84, 2**40]], "id long")
+    listed = lambda df: sorted(map(tuple, df.collect()))
+    (a, i), (b, j) = (paths.search_levels(edge, start, most_arcs=most) for most in (paths.MOST_ARCS, 0))
+    assert listed(a.select(b.columns)) == listed(b) and listed(i) == listed(j)
+    assert paths.mean_length(edge, start).first()["mean"] == paths.path_summary((b, j)).first()["mean"]
+    part = start.filter("id > 66")
+    a, b = (dict(map(tuple, paths.betweenness(edge, nodes, part, most).collect())) for most in (paths.MOST_ARCS, 0))
+    assert a == {k: pytest.approx(v) for k, v in b.items()} and len(a) == 87 and max(a.values()) > 0
+    none = start.filter("false")
+    assert paths.mean_length(edge, none).first()["mean"] is None
+    assert {r["betweenness"] for r in paths.betweenness(edge, nodes, none).collect()} == {0.0}
+    assert listed(paths.search_levels(edge.filter("false"), start)[0].select("id", "hops")) == sorted((r["id"], 0) for r in start.collect())
+
+
+def test_steps_in_bits_in_small_pieces():
+    """A hub's arcs that are cut into pieces meet again."""
+    src, dst = np.array([1, 2, 3, 4, 0, 0], np.int32), np.array([0, 0, 0, 0, 5, 6], np.int32)
+    start = np.zeros((7, 2), np.uint64)
+    for k in range(1, 5):
+        start[k, k % 2] |= np.uint64(1 << k)
+    want = [(h, list(v), b.tolist()) for h, v, b in paths._steps_in_bits(src, dst, start)]
+    assert want[1] == (1, [0], [[20, 10]]) and want[2][1] == [5, 6]
+    for piece in (1, 4):
+        assert [(h, list(v), b.tolist()) for h, v, b in paths._steps_in_bits(src, dst, start, piece)] == want
