@@ -8,6 +8,7 @@ from collections import Counter
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from jobs import common, release, word_graph
 from jobs.queries import job1_word_graph
@@ -144,3 +145,23 @@ def test_command_lines(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"expected": {"B1": 1}}')
     done = call("jobs.release", SF, str(tmp_path / "r"), "--config", str(tmp_path / "r.json"))
     assert done.returncode == 1 and "not published, failed: B1" in done.stderr, done.stderr[-2000:]
+
+
+def test_tasks_of_a_batch_grow_with_its_text(spark, corpus, monkeypatch):
+    """However much one file holds: before, a split of a file was counted in one task, and what was written was summed by split, too."""
+    docs = [(i, " ".join(f"w{chr(97 + i % 26)}{chr(97 + k)}" for k in range(20)), "en") for i in range(80)]
+    corpus.add(docs)
+    seen, real = [], word_graph.transitions
+
+    def watched(texts, letters):
+        seen.append((texts.rdd.getNumPartitions(), int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        return real(texts, letters)
+
+    monkeypatch.setattr(word_graph, "transitions", watched)
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    corpus.run(characters_per_task=200)
+    assert min(seen[0]) >= 30 and spark.conf.get("spark.sql.shuffle.partitions") == usual
+    assert graph_rows(spark, corpus.out) == brute(docs)
+    spread = word_graph.rows(spark, corpus.out, 20)
+    assert {(r["region"], r["src"], r["dst"], r["weight"]) for r in spread.collect()} == brute(docs)
+    assert max(r["n"] for r in spread.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()) < 60
