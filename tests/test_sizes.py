@@ -55,6 +55,33 @@ def test_kernel_leaves_the_network_to_spark(spark, monkeypatch):
             assert [got[k, t] for t in range(20)] == [(len(x), int((times == t).sum())) for t, x in enumerate(pulses)]
 
 
+@pytest.mark.parametrize("held", [10**6, 50])
+def test_kernel_refuses_no_size(spark, held):
+    """Above 20,000,000 edges it raised an error; now columns above a bound lie in a file, in chunks and pieces of any size, with the same runs."""
+    rng = np.random.default_rng(4)
+    src, dst = (x.astype(np.int64) for x in np.unique(rng.integers(0, 40, (500, 2)), axis=0).T)
+    w = rng.random(len(src)) * 0.4
+    network = spark.createDataFrame(list(zip(src.tolist(), dst.tolist(), w.tolist())), "src long, dst long, w double").repartition(3)
+    configs = spark.createDataFrame([(k, 0.5 + k, 0.1, k) for k in range(5)], "run long, gain double, rate double, seed long")
+    p = dynamics.Params(delay=2)
+    got = {(r["run"], r["t"]): r for r in dynamics.kernel(spark, network, configs, 40, 20, p, 5, held=held).collect()}
+    assert len(got) == 100
+    for k in range(5):
+        times, targets = np.nonzero(np.random.default_rng([k, 17]).random((15, 40)) < 0.1)
+        pulses, _, _ = dynamics.simulate(src, dst, w * (0.5 + k), 40, times, targets, p, 20)
+        reached = [0, 0, *(len(set(dst[np.isin(src, x)])) for x in pulses)]
+        arrivals = [int(np.isin(src, x).sum()) for x in pulses]
+        assert [got[k, t]["pulses"] for t in range(20)] == [len(x) for x in pulses]
+        assert [(got[k, t]["arrivals"], got[k, t]["targets"]) for t in range(20)] == list(zip(arrivals, reached[:20]))
+
+
+def test_edges_of_many_nodes_in_pieces():
+    first, nodes = np.array([0, 3, 3, 8, 9]), np.array([0, 1, 2, 3])
+    for most in (1, 4, 100):
+        got = list(dynamics._pieces(first, nodes, most))
+        assert np.concatenate(got).tolist() == list(range(9)) and all(len(x) <= max(most, 5) for x in got)
+
+
 def test_known_rows_are_paired_after_unknown_parts_left(spark):
     """The nodes are joined to lines, not to the longer list of pairs; the rows are the same."""
     sf = "/root/testdata/sf0.001"
