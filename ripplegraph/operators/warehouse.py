@@ -168,13 +168,24 @@ def regimes_by_gain(points: DataFrame) -> DataFrame:
 
 
 def off_window(series: DataFrame, off_from: int) -> DataFrame:
-    """Of each run: pulses a step while input is on and in the last third after it ended, first silent step after it ended, and the
-    gap between pulses so far and their share of time at every step's end (its largest)."""
+    """Of each run: pulses a step while input is on and in the last third after it ended, first silent step after it ended, all pulses."""
     # A run ends with its own last step; runs of a sweep may be of different length.
     end = series.groupBy("run").agg((F.max("t") + 1).alias("steps"))
-    s = series.join(end, "run").withColumn("upto", F.sum("pulses").over(W.partitionBy("run").orderBy("t").rowsBetween(W.unboundedPreceding, W.currentRow)))
     tail = F.col("steps") - tail_steps(F.col("steps"), off_from)
-    return s.groupBy("run").agg(F.avg(F.when(F.col("t") < off_from, F.col("pulses"))).alias("on"), F.coalesce(F.avg(F.when(F.col("t") >= tail, F.col("pulses"))), F.lit(0.0)).alias("late"), F.min(F.when((F.col("t") >= off_from) & (F.col("pulses") == 0), F.col("t"))).alias("first_silent"), F.max("upto").alias("pulses"))
+    return series.join(end, "run").groupBy("run").agg(F.avg(F.when(F.col("t") < off_from, F.col("pulses"))).alias("on"), F.coalesce(F.avg(F.when(F.col("t") >= tail, F.col("pulses"))), F.lit(0.0)).alias("late"), F.min(F.when((F.col("t") >= off_from) & (F.col("pulses") == 0), F.col("t"))).alias("first_silent"), F.sum("pulses").alias("pulses"))
+
+
+def off_probe(series: DataFrame, off_from: int, n: int, dt: float) -> DataFrame:
+    """off_window, and of each run: both rates in Hz a node, steps from the end of input to the first silent one, distinct nodes that pulses
+    reach in a step (mean and largest), and the largest gap at a step's end between pulses so far and their share of time."""
+    hz = lambda c: F.try_divide(F.col(c) * 1000.0, F.lit(n * dt))
+    got = off_window(series, off_from)
+    got = got.select("*", hz("on").alias("hz_on"), hz("late").alias("hz_late"), (F.col("first_silent") - off_from).alias("silent_after"))
+    whole = series.groupBy("run").agg((F.max("t") + 1).alias("steps"), F.sum("pulses").alias("all"), F.avg("targets").alias("targets"), F.max("targets").alias("most_targets"))
+    upto = F.sum("pulses").over(W.partitionBy("run").orderBy("t").rowsBetween(W.unboundedPreceding, W.currentRow))
+    far = series.select("run", "t", upto.alias("upto")).join(whole, "run")
+    gap = far.groupBy("run").agg(F.max(F.abs(F.col("upto") - F.col("all") * (F.col("t") + 1) / F.col("steps"))).alias("gap"))
+    return got.join(whole.select("run", "targets", "most_targets"), "run").join(gap, "run")
 
 
 def varint_size(value):

@@ -111,6 +111,15 @@ def test_off_window_of_runs_of_unequal_length(spark):
     assert (got["long"]["late"], got["long"]["first_silent"], got["long"]["on"]) == (0.0, 35, 1.0)
 
 
+def test_off_probe_has_rates_targets_and_the_gap(spark):
+    """The gap was described and not made; rates in Hz and distinct targets were missing."""
+    rows = [("a", t, 8 if t < 4 else int(t == 4), 3 * t) for t in range(10)]
+    got = warehouse.off_probe(spark.createDataFrame(rows, "run string, t int, pulses long, targets long"), 4, 50, 0.5).first()
+    assert (got["on"], got["late"], got["hz_on"], got["hz_late"]) == (8.0, 0.0, 320.0, 0.0)
+    assert (got["first_silent"], got["silent_after"], got["pulses"], got["targets"], got["most_targets"]) == (5, 1, 33, 13.5, 27)
+    assert got["gap"] == pytest.approx(max(abs(sum(r[2] for r in rows[: t + 1]) - 33 * (t + 1) / 10) for t in range(10)))
+
+
 def test_commands(spark, tmp_path, capsys):
     out = str(tmp_path / "store")
     assert command.main(["queries"]) == 0 and "s1_arrow_scan" in capsys.readouterr().out
