@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.operators import dynamics, ingest, paths, warehouse
+from ripplegraph.plans.dynamics import g30_small_world
+from ripplegraph.plans.graph import events
 from ripplegraph.sources import adapters
 
 
@@ -141,6 +143,31 @@ def test_searches_in_tasks_and_by_joins_agree(spark):
     assert listed(paths.search_levels(edge.filter("false"), start)[0].select("id", "hops")) == sorted((r["id"], 0) for r in start.collect())
 
 
+def test_mean_length_in_many_groups_and_from_files(spark):
+    """Groups of one word, tasks with several of them, and arcs in files give the same mean; sources without arcs count nothing."""
+    rng = random.Random(6)
+    edges = sorted({(rng.randrange(600), rng.randrange(600)) for _ in range(1500)})
+    out, total, pairs = {}, 0, 0
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+    for s in range(620):
+        far, level = {s: 0}, [s]
+        while level:
+            level = [b for a in level for b in out.get(a, []) if b not in far and not far.update({b: far[a] + 1})]
+        total, pairs = total + sum(far.values()), pairs + len(far) - 1
+    edge = spark.createDataFrame(edges, "src long, dst long").repartition(3)
+    for cells, held in ((8_000_000, None), (1, 100)):
+        assert paths.mean_length(edge, spark.range(620), cells, held).first()["mean"] == total / pairs
+
+
+def test_small_world_searches_from_every_node(spark):
+    """Only every third node was a source."""
+    sf = "/root/testdata/sf0.01"
+    edge, nodes = events(spark, sf)
+    want = paths.path_summary(paths.search_levels(edge, nodes)).first()["mean"]
+    assert g30_small_world(spark, sf).first()["l"] == pytest.approx(want, abs=1e-6)
+
+
 def test_steps_in_bits_in_small_pieces():
     """A hub's arcs that are cut into pieces meet again."""
     src, dst = np.array([1, 2, 3, 4, 0, 0], np.int32), np.array([0, 0, 0, 0, 5, 6], np.int32)
