@@ -340,3 +340,17 @@ def test_checks_read_the_raw_rows_once(spark):
     raw = [(k % 7, k % 5, k % 3) for k in range(50)]
     assert found["C1"] == 50 and found["C2"] == sum(s > 4 for s, _, _ in raw) and found["C3"] == 0 and found["C4"] == sum(w == 0 for *_, w in raw)
     assert found["D2"] == sum(w for s, _, w in raw if s < 5) and found["D8"] == found["E3"] == found["F1f"] == 0
+
+
+def test_checks_are_planned_one_by_one(spark):
+    """One plan of all checks held the stages of every aggregate on the driver at once; now the result is a scan of their rows."""
+    from ripplegraph.operators import checks
+
+    p = ", ".join(f"CAST({int(i == 0)} AS DOUBLE) AS p{i}" for i in range(6))
+    rows = spark.sql(f"SELECT id % 7 AS src, id % 5 AS dst, 'A' AS region, id % 3 AS weight, {p} FROM range(50)")
+    annotations = spark.createDataFrame([(1, "a", "b")], "id long, super_class string, cell_type string")
+    got = checks.observed(rows, spark.range(5), annotations, raw_digest=1)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Union" not in plan and "Join" not in plan
+    found = [r["id"] for r in got.collect()]
+    assert len(found) == len(set(found)) == len(checks.CHECKS)
